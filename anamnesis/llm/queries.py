@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, embeddings, packing, simhash
 from .durable import ship, table
 
 
@@ -23,5 +23,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(ship(spark), sf_dir, "documents"), _vocab())
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe}
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(ship(spark), sf_dir, "embeddings"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(ship(spark), sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe, "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, packing, simhash
+from . import attribution, bpe, embeddings, orderhash, packing, simhash, warc
 from .durable import ship, table
 
 
@@ -32,5 +32,33 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_bpe": op4_bpe, "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the archive of all pages, read it back and keep the columns of the contract."""
+    path = warc.write_archive(table(ship(spark), sf_dir, "pages"))
+    return warc.read_archive(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(table(ship(spark), sf_dir, "documents"), _vocab("byte_bpe_50k.tiktoken"))
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.compare_edits(table(ship(spark), sf_dir, "documents"))
+
+
+#: In DuckDB: base32 of a SHA-1, five hexadecimal digits (four letters) at a time.
+_BASE32 = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((instr('0123456789abcdef', substr(h, 5 * (i // 4) + 1, 1)) - 1) * 65536 + (instr('0123456789abcdef', substr(h, 5 * (i // 4) + 2, 1)) - 1) * 4096 + (instr('0123456789abcdef', substr(h, 5 * (i // 4) + 3, 1)) - 1) * 256 + (instr('0123456789abcdef', substr(h, 5 * (i // 4) + 4, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, 5 * (i // 4) + 5, 1)) - 1) // (1 << (15 - 5 * (i % 4)))) % 32 + 1, 1)), 'string_agg', '')"
+
+ORACLES: dict[str, str] = {
+    "op2_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages),
+d AS (SELECT page_id, owner, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM d""",
+}
+
+QUERIES = {
+    "op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_counts": op3_token_counts, "op4_bpe": op4_bpe,
+    "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash, "op10_order_minhash": op10_order_minhash,
+}

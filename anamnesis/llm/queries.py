@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, embeddings, orderhash, packing, simhash, warc
+from . import attribution, bpe, embeddings, orderhash, packing, sharding, simhash, warc
 from .durable import ship, table
 
 
@@ -23,6 +23,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(ship(spark), sf_dir, "documents"), _vocab())
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(ship(spark), sf_dir, "documents"), 24)
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(ship(spark), sf_dir, "embeddings"))
 
@@ -60,5 +64,5 @@ FROM d""",
 
 QUERIES = {
     "op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_counts": op3_token_counts, "op4_bpe": op4_bpe,
-    "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash, "op10_order_minhash": op10_order_minhash,
+    "op6_kd_shards": op6_kd_shards, "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash, "op10_order_minhash": op10_order_minhash,
 }

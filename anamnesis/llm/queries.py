@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, embeddings, orderhash, packing, sharding, simhash, warc
+from . import attribution, bpe, embeddings, orderhash, packing, quality, sharding, simhash, toxicity, warc
 from .durable import ship, table
 
 
@@ -23,6 +23,25 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(ship(spark), sf_dir, "documents"), _vocab())
 
 
+def _remainder(modulus: int):
+    """crc32 of the id as text, modulo ``modulus``."""
+    return lambda doc_id: F.crc32(doc_id.cast("string")) % modulus
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose remainder modulo 4 is 2 are never learned from."""
+    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels, lambda i: _remainder(4)(i) != 2))
+    return found.select("doc_id", F.coalesce(_remainder(4)(F.col("doc_id")) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose remainder modulo 3 is 1 are never learned from."""
+    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.fit(docs, labels, lambda i: _remainder(3)(i) != 1))
+    return found.select("doc_id", F.coalesce(_remainder(3)(F.col("doc_id")) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(ship(spark), sf_dir, "documents"), 24)
 
@@ -64,5 +83,5 @@ FROM d""",
 
 QUERIES = {
     "op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_counts": op3_token_counts, "op4_bpe": op4_bpe,
-    "op6_kd_shards": op6_kd_shards, "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash, "op10_order_minhash": op10_order_minhash,
+    "op5_toxicity": op5_toxicity, "op7_quality": op7_quality, "op6_kd_shards": op6_kd_shards, "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash, "op10_order_minhash": op10_order_minhash,
 }

@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,3 +209,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], [id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def scorer(spark, model: tuple[np.ndarray, Network | None]):
+    """A column function: the score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader, (vectors, network) = Reader(), shared.value
+        for texts in batches:
+            if network is None or not len(texts):
+                yield pd.Series(np.full(len(texts), 0.5))
+            else:
+                yield pd.Series(network.probabilities(np.stack([pooled(reader.rows(t), vectors) for t in texts])))
+
+    return run

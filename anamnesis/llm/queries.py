@@ -9,21 +9,21 @@ from . import attribution, bpe, embeddings, orderhash, packing, quality, shardin
 from .durable import ship, table
 
 
-def _vocab(name: str = "word_bpe_49k.json") -> str:
+def vocab(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(ship(spark), sf_dir, "documents"), _vocab()).drop("queue", "ids")
+    return packing.pack(table(ship(spark), sf_dir, "documents"), vocab()).drop("queue", "ids")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(ship(spark), sf_dir, "documents"), _vocab())
+    return bpe.round_trip_digests(table(ship(spark), sf_dir, "documents"), vocab())
 
 
-def _remainder(modulus: int):
+def remainder(modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return lambda doc_id: F.crc32(doc_id.cast("string")) % modulus
 
@@ -31,15 +31,15 @@ def _remainder(modulus: int):
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of rows whose remainder modulo 4 is 2 are never learned from."""
     docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = toxicity.score(docs, toxicity.fit(docs, labels, lambda i: _remainder(4)(i) != 2))
-    return found.select("doc_id", F.coalesce(_remainder(4)(F.col("doc_id")) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels, lambda i: remainder(4)(i) != 2))
+    return found.select("doc_id", F.coalesce(remainder(4)(F.col("doc_id")) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of rows whose remainder modulo 3 is 1 are never learned from."""
     docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = quality.score(docs, quality.fit(docs, labels, lambda i: _remainder(3)(i) != 1))
-    return found.select("doc_id", F.coalesce(_remainder(3)(F.col("doc_id")) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = quality.score(docs, quality.fit(docs, labels, lambda i: remainder(3)(i) != 1))
+    return found.select("doc_id", F.coalesce(remainder(3)(F.col("doc_id")) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.section_tokens(table(ship(spark), sf_dir, "documents"), _vocab("byte_bpe_50k.tiktoken"))
+    return attribution.section_tokens(table(ship(spark), sf_dir, "documents"), vocab("byte_bpe_50k.tiktoken"))
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

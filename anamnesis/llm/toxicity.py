@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ EDGE, OTHER, SIZE = 0, len(LETTERS) + 1, len(LETTERS) + 2
 #: Letters that signs and digits imitate.
 IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "*": "aeiou",
 }
 
 #: Signs that separate letters without meaning any.
@@ -150,12 +151,16 @@ class Reader:
     def __init__(self, channel: Channel, limit: int = 300_000):
         self.channel, self.limit, self.memo = channel, limit, {}
 
+    def _spelled(self, letters: str) -> str:
+        """A spelled-out run, also without a letter at either end, which may be a word of its own."""
+        return " ".join(map(self.channel.decode, (letters, letters[1:], letters[:-1])))
+
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
         text = text.lower()
         if SPELLED.search(text):
-            text = SPELLED.sub(lambda m: self.channel.decode("".join(m[0].split())), text)
+            text = SPELLED.sub(lambda m: self._spelled("".join(m[0].split())), text)
         memo, out = self.memo, []
         if len(memo) > self.limit:
             memo.clear()
@@ -269,6 +274,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def scorer(spark, model: Model):
+    """A column function: the score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(shared.value.channel)
+        for texts in batches:
+            yield pd.Series([shared.value.score(reader.words(t)) for t in texts], dtype=float)
+
+    return run
+
+
 def restore(docs: DataFrame, channel: Channel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text): restored texts; a null text counts as empty."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,12 +1,57 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: toxicity, quality, near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All
+but the last return the columns of documents. Labels come from ``sf_dir``; rows that
+the operators' queries hold out are held out here too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from anamnesis.llm import packing, quality, simhash, toxicity
+from anamnesis.llm.durable import materialise, ship, table
+from anamnesis.llm.queries import remainder, vocab
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.3."""
+    model = toxicity.fit(docs, table(ship(spark), sf_dir, "labels"), lambda i: remainder(4)(i) != 2)
+    return docs.where(toxicity.scorer(spark, model)("text") < 0.3)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a probability of good quality of 0.5 or more."""
+    model = quality.fit(docs, table(ship(spark), sf_dir, "labels"), lambda i: remainder(3)(i) != 1)
+    return docs.where(quality.scorer(spark, model)("text") >= 0.5)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id; documents without an id all stay."""
+    ship(spark)
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
+    kept = materialise(kept, "kept")
+    stays = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("count > 1").limit(1).count():
+        stays = stays.dropDuplicates(["doc_id"])
+    return stays.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 ids."""
+    ship(spark)
+    return packing.pack(docs.select("doc_id", "text", "source"), vocab()).drop("queue", "ids")
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near-duplicates", drop_copies), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages in turn over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import Unions, connected_components
+from .components import connected_components
 from .durable import materialise
 
 SEED = 42
@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def near(home: np.ndarray, guest: np.ndarray, radius: int, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (home, guest) within the radius. Blocks are groups of equal population counts of the four quarters."""
+def near(home: np.ndarray, guest: np.ndarray, radius: int, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (home, guest) within the radius, a block at a time. Blocks join groups of near population counts of the four quarters."""
 
     def groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         quarters = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)
@@ -70,10 +70,9 @@ def near(home: np.ndarray, guest: np.ndarray, radius: int, block: int = 1 << 19)
         return order, np.append(first, len(x)), quarters[order][first]
 
     if not len(home) or not len(guest):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     (ho, hb, hq), (go, gb, gq) = groups(home), groups(guest)
     hs, gs = home[ho], guest[go]
-    out_h, out_g = [], []
     for g in range(len(gq)):
         fits = np.flatnonzero(np.abs(hq - gq[g]).sum(1) <= radius)
         if not len(fits):
@@ -83,66 +82,78 @@ def near(home: np.ndarray, guest: np.ndarray, radius: int, block: int = 1 << 19)
         step = max(1, block // len(part))
         for i in range(gb[g], gb[g + 1], step):
             found_g, found_h = np.nonzero(np.bitwise_count(gs[i : min(i + step, gb[g + 1]), None] ^ part) <= radius)
-            out_h.append(ho[at[found_h]])
-            out_g.append(go[i + found_g])
-    return (np.concatenate(out_h), np.concatenate(out_g)) if out_h else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if len(found_g):
+                yield ho[at[found_h]], go[i + found_g]
+
+
+class Tile:
+    """A held home tile: compares itself and its guests and returns only links that join something new."""
+
+    def __init__(self, held: np.ndarray, radius: int):
+        self.held, self.radius, self.root = held, radius, np.arange(len(held))
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in near(held, held, radius):
+            self._join(i, j)
+
+    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            # each of these roots hangs on a smaller one, so no ring can form
+            up = np.arange(len(self.root))
+            up[high] = np.minimum(a, b)[first]
+            while (up != up[up]).any():
+                up = up[up]
+            self.root = up[self.root]
+            self.new.append((self.held[i[first]], self.held[j[first]]))
+
+    def meet(self, guests: np.ndarray) -> None:
+        partner = np.full(len(guests), -1)
+        for h, g in near(self.held, guests, self.radius):
+            fresh, first = np.unique(g[partner[g] < 0], return_index=True)
+            partner[fresh] = h[partner[g] < 0][first]
+            self.new.append((self.held[partner[fresh]], guests[fresh]))
+            self._join(partner[g], h)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The links found since the last call."""
+        new, self.new = [x for x in self.new if len(x[0])], []
+        return tuple(np.concatenate(x).view(np.int64) for x in zip(*new)) if new else None
 
 
 def tile_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links among rows (p, q, chunk, guest, fp) sorted by all but the last: a home tile, then its guests, and so on."""
-    key, home, unions, compared = None, [], None, True
+    key, home, tile = None, [], None
+
+    def told(found) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    def closed() -> Tile | None:
+        return tile or (Tile(np.concatenate(home).view(np.uint64), radius) if home else None)
+
     for batch in batches:
         p, q, c, guest, fp = (batch.column(i).to_numpy() for i in range(5))
         cut = np.flatnonzero((np.diff(p) != 0) | (np.diff(q) != 0) | (np.diff(c) != 0) | (np.diff(guest) != 0)) + 1
-        a, b = [], []
         for i, j in zip([0, *cut], [*cut, len(fp)]):
             if i == j:
                 continue
             if (p[i], q[i], c[i]) != key:
-                if not compared and home:
-                    _within(np.concatenate(home).view(np.uint64), radius, unions, a, b)
-                key, home, unions, compared = (p[i], q[i], c[i]), [], None, False
+                if (last := closed()) is not None:
+                    yield from told(last.take())
+                key, home, tile = (p[i], q[i], c[i]), [], None
             if not guest[i]:
                 home.append(fp[i:j].copy())
-                continue
-            if not home:
-                continue
-            held = np.concatenate(home).view(np.uint64)
-            home = [held.view(np.int64)]
-            if unions is None:
-                unions = Unions(len(held))
-            if not compared:
-                _within(held, radius, unions, a, b)
-                compared = True
-            x = fp[i:j].copy().view(np.uint64)
-            h, g = near(held, x, radius)
-            order = np.argsort(g, kind="stable")
-            first = -1
-            for hi, gi in zip(h[order].tolist(), g[order].tolist()):
-                if gi != first:  # the guest's first partner; further ones only join home rows with each other
-                    first, partner = gi, hi
-                    a.append(int(held[hi]))
-                    b.append(int(x[gi]))
-                elif unions.join(partner, hi):
-                    a.append(int(held[partner]))
-                    b.append(int(held[hi]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], ["a", "b"])
-    if not compared and home:
-        a, b = [], []
-        _within(np.concatenate(home).view(np.uint64), radius, unions, a, b)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], ["a", "b"])
-
-
-def _within(held: np.ndarray, radius: int, unions: Unions | None, a: list, b: list) -> None:
-    unions = unions or Unions(len(held))
-    h, g = near(held, held, radius)
-    below = h < g
-    for i, j in zip(h[below].tolist(), g[below].tolist()):
-        if unions.join(i, j):
-            a.append(int(held[i]))
-            b.append(int(held[j]))
+            elif home:
+                tile = closed()
+                tile.meet(fp[i:j].copy().view(np.uint64))
+                yield from told(tile.take())
+    if (last := closed()) is not None:
+        yield from told(last.take())
 
 
 def links(distinct: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:

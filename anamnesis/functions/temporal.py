@@ -6,8 +6,6 @@ least or the greatest 64-bit number.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +37,11 @@ ACCENTED, BARE = "àáèéìíòóùúñ", "aaeeiioouun"
 OPEN_START, OPEN_END = -(2**63), 2**63 - 1
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often the result names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def plain(text: Column) -> Column:
     """Lower case without the accents of the three languages."""
     return F.translate(F.lower(text), ACCENTED, BARE)
@@ -88,12 +91,17 @@ def valid_day(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(text: Column, default_year: Column) -> Column:
     """The day of an ISO date, 'Month D[, YYYY]' or 'D Month [YYYY]' that is the whole text."""
-    year = lambda p: F.coalesce(_group(text, p, 3), default_year.cast("string"))
-    return (
-        F.when(text.rlike(ISO), valid_day(_group(text, ISO, 1), _group(text, ISO, 2), _group(text, ISO, 3)))
-        .when(text.rlike(MONTH_DAY), valid_day(year(MONTH_DAY), month_number(_group(text, MONTH_DAY, 1)), _group(text, MONTH_DAY, 2)))
-        .when(text.rlike(DAY_MONTH), valid_day(year(DAY_MONTH), month_number(_group(text, DAY_MONTH, 2)), _group(text, DAY_MONTH, 1)))
-    )
+
+    def parsed(t: Column) -> Column:
+        year = lambda p: F.coalesce(_group(t, p, 3), default_year.cast("string"))
+        parts = (
+            F.when(t.rlike(ISO), F.array(_group(t, ISO, 1), _group(t, ISO, 2), _group(t, ISO, 3)))
+            .when(t.rlike(MONTH_DAY), F.array(year(MONTH_DAY), month_number(_group(t, MONTH_DAY, 1)).cast("string"), _group(t, MONTH_DAY, 2)))
+            .when(t.rlike(DAY_MONTH), F.array(year(DAY_MONTH), month_number(_group(t, DAY_MONTH, 2)).cast("string"), _group(t, DAY_MONTH, 1)))
+        )
+        return bound(parts, lambda p: valid_day(p[0], p[1], p[2]))
+
+    return bound(text, parsed)
 
 
 def first_date(text: Column, default_year: Column) -> Column:
@@ -104,7 +112,7 @@ def first_date(text: Column, default_year: Column) -> Column:
 def mentioned_days(text: Column, reference: Column) -> Column:
     """All days that a text names, sorted without repeats: today and yesterday relative to ``reference``, and full dates."""
     today, lower = utc_day(reference), plain(text)
-    relative = F.array(F.when(lower.rlike(TODAY), today), F.when(lower.rlike(YESTERDAY), today - 1))
+    relative = bound(lower, lambda t: F.array(F.when(t.rlike(TODAY), today), F.when(t.rlike(YESTERDAY), today - 1)))
     explicit = F.transform(F.regexp_extract_all(text, F.lit(FULL_DATE), 1), lambda t: parse_date(t, F.year(date_of(today))))
     return F.array_sort(F.array_distinct(F.filter(F.concat(relative, explicit), lambda d: d.isNotNull())))
 
@@ -115,39 +123,41 @@ def both_mentioned_days(user: Column, assistant: Column, reference: Column) -> C
 
 def window(query: Column, now: Column) -> Column:
     """struct(start_day, end_day) of the first temporal expression by the order of the rules below; null if there is none."""
-    text, today = plain(query), utc_day(now)
-    date, year = date_of(today), F.year(date_of(today))
+    return bound(plain(query), lambda text: bound(utc_day(now), lambda today: _window(text, today)))
+
+
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("long").alias("start_day"), end.cast("long").alias("end_day"))
+
+
+def _one(day: Column) -> Column:
+    """The window of one day; null for no day."""
+    return bound(day, lambda d: F.when(d.isNotNull(), _span(d, d + 1)))
 
-    def span(start: Column, end: Column) -> Column:
-        return F.struct(start.cast("long").alias("start_day"), end.cast("long").alias("end_day"))
 
-    def one(day: Column) -> Column:
-        return span(day, day + 1)
+def _window(text: Column, today: Column) -> Column:
+    date = date_of(today)
+    year = F.year(date)
 
-    def group(i: int) -> Column:
-        return _group(text, AGO, i)
+    def ago(m: Column) -> Column:
+        count, unit = m[0].try_cast("int"), m[1]
+        return F.when(unit.isin("day", "days", "giorni", "dias"), today - count).when(unit.isin("week", "weeks", "settimane", "semanas"), today - 7 * count).otherwise(day_of(F.add_months(date, -count)))
 
-    count, unit = F.coalesce(group(1), group(3), group(5)).try_cast("int"), F.coalesce(group(2), group(4), group(6))
-    ago = F.when(unit.isin("day", "days", "giorni", "dias"), today - count).when(unit.isin("week", "weeks", "settimane", "semanas"), today - 7 * count).otherwise(day_of(F.add_months(date, -count)))
-    name = reduce(lambda out, w: F.coalesce(out, F.when(text.rlike(rf"\b({w[0]})\s+(last|scorso|pasado)\b"), F.lit(w[1]))), _weekdays_in_order(), F.lit(None).cast("int"))
-    back = F.pmod(F.weekday(date) - name, F.lit(7))
+    found = F.array(F.coalesce(*(_group(text, AGO, i) for i in (1, 3, 5))), F.coalesce(*(_group(text, AGO, i) for i in (2, 4, 6))))
+    weekday = F.coalesce(*(F.when(text.rlike(rf"\b({name})\s+(last|scorso|pasado)\b"), F.lit(day)) for name, day in _weekdays_in_order()))
+    last = bound(weekday, lambda w: bound(F.pmod(F.weekday(date) - w, F.lit(7)), lambda back: today - F.when(back == 0, 7).otherwise(back)))
     monday, month, new_year = day_of(F.trunc(date, "week").cast("date")), F.trunc(date, "month"), F.trunc(date, "year")
-    bound = first_date(_group(text, BOUND, 2), year)
-    in_month = month_number(_group(text, IN_MONTH, 1))
-    in_year = F.coalesce(_group(text, IN_MONTH, 2).try_cast("int"), year)
-    start = valid_day(in_year, in_month, F.lit(1))
-    on_day = parse_date(_group(text, ON_DAY, 1), year)
-    anywhere = first_date(text, year)
-    return (
-        F.when(text.rlike(TODAY), one(today)).when(text.rlike(YESTERDAY), one(today - 1)).when(text.rlike(TOMORROW), one(today + 1))
-        .when(text.rlike(AGO), one(ago)).when(name.isNotNull(), one(today - F.when(back == 0, 7).otherwise(back)))
-        .when(text.rlike(LAST_WEEK), span(monday - 7, monday)).when(text.rlike(THIS_WEEK), span(monday, monday + 7))
-        .when(text.rlike(LAST_MONTH), span(day_of(F.add_months(month, -1)), day_of(month))).when(text.rlike(THIS_MONTH), span(day_of(month), day_of(F.add_months(month, 1))))
-        .when(text.rlike(LAST_YEAR), span(day_of(F.add_months(new_year, -12)), day_of(new_year))).when(text.rlike(THIS_YEAR), span(day_of(new_year), day_of(F.add_months(new_year, 12))))
-        .when(text.rlike(BOUND) & bound.isNotNull() & (_group(text, BOUND, 1) == "since"), span(bound, F.lit(OPEN_END)))
-        .when(text.rlike(BOUND) & bound.isNotNull(), span(F.lit(OPEN_START), bound))
-        .when(start.isNotNull(), span(start, day_of(F.add_months(date_of(start), 1)))).when(on_day.isNotNull(), one(on_day)).when(anywhere.isNotNull(), one(anywhere))
+    since = bound(first_date(_group(text, BOUND, 2), year), lambda d: F.when(d.isNotNull(), F.when(_group(text, BOUND, 1) == "since", _span(d, F.lit(OPEN_END))).otherwise(_span(F.lit(OPEN_START), d))))
+    start = valid_day(F.coalesce(_group(text, IN_MONTH, 2), year.cast("string")), month_number(_group(text, IN_MONTH, 1)), F.lit(1))
+    in_month = bound(start, lambda d: F.when(d.isNotNull(), _span(d, day_of(F.add_months(date_of(d), 1)))))
+    fixed = (
+        F.when(text.rlike(TODAY), _span(today, today + 1)).when(text.rlike(YESTERDAY), _span(today - 1, today)).when(text.rlike(TOMORROW), _span(today + 1, today + 2))
+        .when(text.rlike(AGO), _one(bound(found, ago))).when(weekday.isNotNull(), _one(last))
+        .when(text.rlike(LAST_WEEK), _span(monday - 7, monday)).when(text.rlike(THIS_WEEK), _span(monday, monday + 7))
+        .when(text.rlike(LAST_MONTH), _span(day_of(F.add_months(month, -1)), day_of(month))).when(text.rlike(THIS_MONTH), _span(day_of(month), day_of(F.add_months(month, 1))))
+        .when(text.rlike(LAST_YEAR), _span(day_of(F.add_months(new_year, -12)), day_of(new_year))).when(text.rlike(THIS_YEAR), _span(day_of(new_year), day_of(F.add_months(new_year, 12))))
     )
+    return F.coalesce(fixed, since, in_month, _one(parse_date(_group(text, ON_DAY, 1), year)), _one(first_date(text, year)))
 
 
 def _weekdays_in_order() -> list[tuple[str, int]]:

@@ -10,6 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("idx", "start_byte", "end_byte")]))
+FACTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "attribute", "value")]))
 
 #: The block around remembered lines, and its parts.
 HEADER, FOOTER = "<memory context>\nRelevant past interactions:\n", "</memory context>"
@@ -157,7 +161,7 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     return merged
 
 
-@F.pandas_udf("array<struct<idx:int,start_byte:int,end_byte:int>>")
+@F.pandas_udf(SPANS)
 def split_sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"idx": i, "start_byte": a, "end_byte": b} for i, (a, b) in enumerate(sentence_spans(t))])
 
@@ -194,7 +198,7 @@ def compressed(text: str, sentences: list[tuple[int, int, int, list[float] | Non
 def compress_side(most: int):
     """A column function (text, sentences array<struct<idx,start_byte,end_byte,embedding>>, query array<float>) -> string."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series, sentences: pd.Series, queries: pd.Series) -> pd.Series:
         rows = [
             None if t is None else compressed(t, [(s["idx"], s["start_byte"], s["end_byte"], s["embedding"]) for s in (ss if ss is not None else [])], q, most)
@@ -224,7 +228,7 @@ def facts_in_reply(reply: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<subject:string,attribute:string,value:string>>")
+@F.pandas_udf(FACTS)
 def parse_facts(replies: pd.Series) -> pd.Series:
     return replies.map(facts_in_reply)
 
@@ -246,7 +250,7 @@ def block_texts(content) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def last_user_content(bodies: pd.Series) -> pd.Series:
     """The text of the last user message of a request body whose content is a text or blocks."""
 
@@ -264,7 +268,7 @@ def last_user_content(bodies: pd.Series) -> pd.Series:
 def inject_blocks(mode: str):
     """A column function (request body, context) -> body with the context in the system text, or before the last user's content."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(bodies: pd.Series, contexts: pd.Series) -> pd.Series:
         def one(body, context):
             data = json.loads(body)

@@ -1,9 +1,9 @@
 """All registered queries outside the training-data subpackage."""
 
-from . import retrieval
+from . import retrieval, store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (retrieval,):
+for part in (retrieval, store):
     QUERIES |= part.R.queries
     ORACLES |= part.R.oracles

@@ -1,9 +1,9 @@
 """All registered queries outside the training-data subpackage."""
 
-from . import retrieval, store
+from . import context, retrieval, store, study
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (retrieval, store):
+for part in (retrieval, store, context, study):
     QUERIES |= part.R.queries
     ORACLES |= part.R.oracles

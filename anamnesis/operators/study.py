@@ -143,7 +143,7 @@ def age_bucket(hours: Column) -> Column:
 def folds(p: DataFrame, repetitions: int) -> DataFrame:
     """Each question in each repetition, with its half: a hash decides, so no split table is kept."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")
-    return p.select("*", reps).withColumn("calibration", (F.col("question_id") * 31 + F.col("rep") * 17 + F.floor(F.col("question_id") / 25) * F.col("rep")) % 2 == 0)
+    return p.select("*", reps).withColumn("calibration", (F.col("question_id") * 31 + F.col("rep") * 17 + F.floor(F.col("question_id") / 50) * (F.col("rep") + 1) + F.floor(F.col("question_id") / 100) * F.col("rep")) % 2 == 0)
 
 
 def normalised_answer(text: Column) -> Column:

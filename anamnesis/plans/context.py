@@ -289,10 +289,10 @@ def anthropic_inject(spark, d):
     return b.select("conv_id", F.get_json_object(system, "$.system").alias("system"), text.last_user_content(suffix).alias("suffix"))
 
 
-@R.query("retrieve_and_inject", f"""WITH o AS ({_facts_first_sql(300)}) SELECT e.vec_id % 20 AS conv_id, e.vec_id AS query_id, o.context || chr(10) || chr(10) || 'what was it' AS text FROM o JOIN embeddings e ON e.vec_id = o.query_id""")
+@R.query("retrieve_and_inject", f"""WITH o AS ({_facts_first_sql(300)}) SELECT query_id, context || chr(10) || chr(10) || 'what was it' AS text FROM o""")
 def retrieve_and_inject(spark, d):
     """The whole request: search, facts, budgeted block and injection before the user's question."""
     found = _facts_first(spark, d)
     asked = found.select(F.col("query_id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("what was it").alias("text"))
     done = messages.inject(asked, found.select(F.col("query_id").alias("conv_id"), "context"), "suffix")
-    return done.select((F.col("conv_id") % 20).alias("conv_id"), F.col("conv_id").alias("query_id"), "text")
+    return done.select(F.col("conv_id").alias("query_id"), "text")

@@ -46,13 +46,13 @@ def dense_search_legacy(spark, d):
 
 WINDOWED = f"""{BASE_SQL}, days AS (SELECT id, ['2024-03-03'::DATE, '2024-02-29'::DATE, CAST(to_timestamp(created_at) AT TIME ZONE 'UTC' AS DATE) - 1, '2024-03-04'::DATE, NULL][id % 5 + 1] AS day,
   CAST(to_timestamp(created_at) AT TIME ZONE 'UTC' AS DATE) AS made FROM memories),
-boosted AS (SELECT p.*, CASE WHEN query_id % 2 = 0 AND (day BETWEEN '2024-02-26' AND '2024-03-03' OR made BETWEEN '2024-02-26' AND '2024-03-03') THEN 0.15 ELSE 0 END AS extra FROM pairs p JOIN days USING (id))"""
+boosted AS (SELECT p.*, CASE WHEN query_id % 100 = 0 AND (day BETWEEN '2024-02-26' AND '2024-03-03' OR made BETWEEN '2024-02-26' AND '2024-03-03') THEN 0.15 ELSE 0 END AS extra FROM pairs p JOIN days USING (id))"""
 
 
 @R.query("dense_search_temporal", f"{WINDOWED} {top_sql('base + 0.001 * rec + extra', source='boosted')}")
 def dense_search_temporal(spark, d):
-    """Even queries ask for last week; memories end in a date phrase."""
-    text = F.when(F.col("query_id") % 2 == 0, "what was it last week").otherwise("what was it")
+    """Every second query asks for last week; memories end in a date phrase."""
+    text = F.when(F.col("query_id") % 100 == 0, "what was it last week").otherwise("what was it")
     w = temporal.window(text, F.lit(NOW))
     q = queries(spark, d).withColumn("w", w).select("query_id", "agent_id", "query_emb", "w.start_day", "w.end_day")
     return retrieval.search(q, store.with_days(dated(memories(spark, d))), temporal_boost=0.15, days=True)

@@ -130,10 +130,10 @@ def age_bucket(spark, d):
     return p.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg((F.col("best_rank") <= 5).cast("int")), 9).alias("coverage"))
 
 
-@R.query("mondrian_types", f"{PROFILES} SELECT g AS question_type, n, CAST(value AS INTEGER) AS value FROM ({_stat_sql('best_rank', RANK, 0.1, 'question_type')}) WHERE n >= 5")
+@R.query("mondrian_types", f"{PROFILES} SELECT g AS question_type, n, CAST(value AS INTEGER) AS value FROM ({_stat_sql('best_rank', RANK, 0.1, 'question_type')}) WHERE n >= 2")
 def mondrian_types(spark, d):
-    """Types with enough questions; the study's 30 are 5 here, as there are few questions."""
-    return study.rank_quantile(_profiles(spark, d), 0.1, ["question_type"]).where("n >= 5").select("question_type", "n", "value")
+    """Types with enough questions; the study's 30 are 2 here, as there are few questions."""
+    return study.rank_quantile(_profiles(spark, d), 0.1, ["question_type"]).where("n >= 2").select("question_type", "n", "value")
 
 
 def terciles(p):
@@ -210,7 +210,7 @@ def policy_outcomes(spark, d):
     return o.select("question_id", "question_type", "coverage", F.round("recall", 9).alias("recall"), "all_found", "size", F.col("tokens").cast("long").alias("tokens"))
 
 
-FOLDS = "f AS (SELECT p.*, rep, (question_id * 31 + rep * 17 + (question_id // 25) * rep) % 2 = 0 AS calibration FROM p, (SELECT unnest(range(20)) AS rep))"
+FOLDS = "f AS (SELECT p.*, rep, (question_id * 31 + rep * 17 + (question_id // 50) * (rep + 1) + (question_id // 100) * rep) % 2 = 0 AS calibration FROM p, (SELECT unnest(range(20)) AS rep))"
 
 
 def _split(spark, d):
@@ -262,11 +262,11 @@ def _prompts(spark, d):
     return context.unbudgeted(context.found_lines(retrieval.search(queries(spark, d), m), m.drop("user_emb", "assist_emb"), 80))
 
 
-@R.query("prompt_compare", f"{FOUND_SQL} SELECT query_id, query_id % 2 = 0 OR max(rk) = 1 AS same_order, true AS same_set FROM found GROUP BY query_id")
+@R.query("prompt_compare", f"{FOUND_SQL} SELECT query_id, query_id % 100 = 0 OR max(rk) = 1 AS same_order, true AS same_set FROM found GROUP BY query_id")
 def prompt_compare(spark, d):
-    """Prompts against themselves, with the lines in reverse for odd queries."""
+    """Prompts against themselves, with the lines in reverse for every second query."""
     p = _prompts(spark, d).withColumn("lines", study.memory_lines(F.col("context")))
-    other = F.when(F.col("query_id") % 2 == 0, F.col("context")).otherwise(F.array_join(F.reverse("lines"), "\n"))
+    other = F.when(F.col("query_id") % 100 == 0, F.col("context")).otherwise(F.array_join(F.reverse("lines"), "\n"))
     _, order, same = study.compare_prompts(F.col("context"), other)
     return p.select("query_id", order.alias("same_order"), same.alias("same_set"))
 

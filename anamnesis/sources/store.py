@@ -39,15 +39,16 @@ def memories(spark: SparkSession, sf_dir: str, text_only: bool = False) -> DataF
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, agent_id, query_emb): '' is the query without an agent."""
-    agent = F.when(F.col("vec_id") % 4 == 0, "").otherwise(F.concat(F.lit("agent"), (F.col("vec_id") % 4).cast("string")))
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 IN (7, 8)").select(F.col("vec_id").alias("query_id"), agent.alias("agent_id"), F.col("embedding").alias("query_emb"))
+    """(query_id, agent_id, query_emb): every vector whose id is divisible by 50; '' is the query without an agent."""
+    turn = F.floor(F.col("vec_id") / 50) % 4
+    agent = F.when(turn == 0, "").otherwise(F.concat(F.lit("agent"), turn.cast("string")))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), agent.alias("agent_id"), F.col("embedding").alias("query_emb"))
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, agent_id, text): user texts as queries."""
-    m = memories(spark, sf_dir, text_only=True).where("id % 13 = 1")
-    return m.select(F.col("id").alias("query_id"), F.coalesce("agent_id", F.lit("")).alias("agent_id"), F.substring("user_text", 1, 60).alias("text"))
+    """(query_id, agent_id, text): the user texts of memories whose id is divisible by 50."""
+    m = memories(spark, sf_dir, text_only=True).where("id % 50 = 0")
+    return m.select(F.col("id").alias("query_id"), F.coalesce("agent_id", F.lit("")).alias("agent_id"), F.col("user_text").alias("text"))
 
 
 def fact_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +78,10 @@ MEMORIES_SQL = f"""{EXCHANGES_SQL}, memories AS (
   FROM exchanges e CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
   JOIN embeddings u ON u.vec_id = (conv_id * 37 + turn * 2) % n.n JOIN embeddings a ON a.vec_id = (conv_id * 41 + turn * 2 + 1) % n.n)"""
 
-QUERIES_SQL = """queries AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 4 = 0 THEN '' ELSE concat('agent', vec_id % 4) END AS agent_id, embedding AS query_emb
-  FROM embeddings WHERE vec_id % 25 IN (7, 8))"""
+QUERIES_SQL = """queries AS (SELECT vec_id AS query_id, CASE WHEN vec_id // 50 % 4 = 0 THEN '' ELSE concat('agent', vec_id // 50 % 4) END AS agent_id, embedding AS query_emb
+  FROM embeddings WHERE vec_id % 50 = 0)"""
 
-TEXTS_SQL = "texts AS (SELECT id AS query_id, coalesce(agent_id, '') AS agent_id, substr(user_text, 1, 60) AS text FROM memories WHERE id % 13 = 1)"
+TEXTS_SQL = "texts AS (SELECT id AS query_id, coalesce(agent_id, '') AS agent_id, user_text AS text FROM memories WHERE id % 50 = 0)"
 
 FACTS_SQL = """fact_inputs AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 <> 0 THEN concat('agent', o_custkey % 3) END AS agent_id, concat('Customer  ', o_custkey) AS subject,
   'order status' AS attribute, o_orderstatus AS value, CAST(1704067200 + o_orderkey % 5000000 AS DOUBLE) AS created_at, o_orderkey % 100 * 1000 AS source_memory_id FROM orders)"""

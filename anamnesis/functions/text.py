@@ -35,6 +35,19 @@ def estimate(text: str) -> int:
     return len(text.encode()) // 4 + 1
 
 
+def count_tokens(counter=None):
+    """A column function text -> tokens by a counter (text -> number or None); the estimate where there is none or it fails."""
+    if counter is None:
+        return tokens
+
+    @F.pandas_udf(T.LongType())
+    def run(texts: pd.Series) -> pd.Series:
+        counted = [(t, None if t is None else counter(t)) for t in texts]
+        return pd.Series([None if t is None else n if n is not None and n >= 0 else estimate(t) for t, n in counted], dtype="Int64")
+
+    return run
+
+
 def truncate_utf8(text: Column, most: int) -> Column:
     """At most ``most`` bytes of whole characters with '...' after them; a text that fits stays as it is."""
     raw = F.encode(text, "UTF-8")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NOW
-from ..functions.text import FACTS_HEADER, FOOTER, HEADER, MEMORIES_HEADER, compress_side, estimate, fact_line, memory_line, sticky_line, tokens
+from ..functions.text import FACTS_HEADER, FOOTER, HEADER, MEMORIES_HEADER, compress_side, count_tokens, estimate, fact_line, memory_line, sticky_line
 from ..functions.temporal import time_ago
 
 FRAME = estimate(HEADER) + estimate(FOOTER)
@@ -33,13 +33,13 @@ def compressed_lines(found: DataFrame, memories: DataFrame, sentences: DataFrame
     return rows.select("query_id", "rk", "id", line.alias("line"))
 
 
-def within(lines: DataFrame, budget, first_extra: int = 0) -> DataFrame:
+def within(lines: DataFrame, budget, first_extra: int = 0, counter=None) -> DataFrame:
     """The lines of each query's longest prefix by rk that fits the budget; the first is charged ``first_extra`` more.
 
     Every line costs a token at least, so the running sum rises and the prefix ends at the first line that doesn't fit.
     """
     w = Window.partitionBy("query_id").orderBy("rk")
-    cost = tokens(F.concat("line", F.lit("\n"))) + F.when(F.row_number().over(w) == 1, first_extra).otherwise(0)
+    cost = count_tokens(counter)(F.concat("line", F.lit("\n"))) + F.when(F.row_number().over(w) == 1, first_extra).otherwise(0)
     return lines.withColumn("cost", cost).withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import count_tokens
 
-def message_tokens(role: Column, content: Column) -> Column:
-    """The estimate for a message as JSON with sorted keys."""
-    return F.floor(F.octet_length(F.to_json(F.struct(content.alias("content"), role.alias("role")))) / 4).cast("long") + 1
+
+def message_tokens(role: Column, content: Column, counter=None) -> Column:
+    """The tokens of a message as JSON with sorted keys."""
+    return count_tokens(counter)(F.to_json(F.struct(content.alias("content"), role.alias("role"))))
 
 
 def last_user_message(messages: DataFrame) -> DataFrame:
@@ -24,18 +26,18 @@ def conversation_context(messages: DataFrame, turns: int = 3) -> DataFrame:
     return last.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), " | ").alias("context"))
 
 
-def history_tokens(messages: DataFrame) -> DataFrame:
+def history_tokens(messages: DataFrame, counter=None) -> DataFrame:
     """(conv_id, tokens) of all but system messages."""
-    return messages.groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "system", message_tokens(F.col("role"), F.col("text"))).otherwise(0)).alias("tokens"))
+    return messages.groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "system", message_tokens(F.col("role"), F.col("text"), counter)).otherwise(0)).alias("tokens"))
 
 
-def trim_history(messages: DataFrame, budget: int, ratio: float) -> DataFrame:
+def trim_history(messages: DataFrame, budget: int, ratio: float, counter=None) -> DataFrame:
     """(conv_id, turn, role, text, kept): what goes when a history is over its budget.
 
     The cut is the first user turn from which on at most ``ratio`` of the budget is used, or the last user turn. System
     messages stay, as does a history without user turns.
     """
-    cost = F.when(F.col("role") != "system", message_tokens(F.col("role"), F.col("text"))).otherwise(0)
+    cost = F.when(F.col("role") != "system", message_tokens(F.col("role"), F.col("text"), counter)).otherwise(0)
     whole = Window.partitionBy("conv_id")
     onward = whole.orderBy("turn").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     m = messages.withColumn("cost", cost).withColumn("total", F.sum("cost").over(whole)).withColumn("suffix", F.sum("cost").over(onward))

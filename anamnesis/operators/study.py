@@ -169,7 +169,8 @@ def compare_prompts(a: Column, b: Column) -> tuple[Column, Column, Column]:
 def paired_bootstrap(rows: DataFrame, resamples: int = 2000) -> DataFrame:
     """(low, high): 2.5 % and 97.5 % points of the mean difference (question_id, delta) under resampling.
 
-    Each question is drawn a Poisson number of times per resample, by a hash, so resamples are sums that combine map-side.
+    Each question is drawn a Poisson number of times per resample, by a hash, so resamples are sums that combine map-side. Resamples without
+    any question don't count.
     """
     drawn = rows.select("question_id", "delta", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
     u = F.pmod(F.xxhash64("question_id", "rep"), F.lit(1 << 40)) / float(1 << 40)
@@ -178,7 +179,7 @@ def paired_bootstrap(rows: DataFrame, resamples: int = 2000) -> DataFrame:
         times = times + (u > total).cast("int")
         edge /= k
         total += 0.36787944117144233 * edge
-    means = drawn.withColumn("t", times).groupBy("rep").agg((F.sum(F.col("delta") * F.col("t")) / F.sum("t")).alias("mean"))
+    means = drawn.withColumn("t", times).groupBy("rep").agg(F.try_divide(F.sum(F.col("delta") * F.col("t")), F.sum("t")).alias("mean"))
     return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,7 +21,7 @@ class Registry:
         """Register a query under a name, with SQL for DuckDB where SQL can express it."""
 
         def add(f: Query) -> Query:
-            self.queries[name] = f
+            self.queries[name] = wraps(f)(lambda spark, sf_dir: f(ship(spark), sf_dir))
             if sql:
                 self.oracles[name] = sql
             return f

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +25,26 @@ def kept(df, name: str):
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_bytes(spark: SparkSession, path: str, payload: bytes) -> None:
+    """One small file, wherever Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(payload))
+    out.close()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that tasks can import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_anamnesis_shipped", False):
+        package, data = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        path = f"{scratch(spark, 'anamnesis')}.zip"
+        write_bytes(spark, path, data.getvalue())
+        context.addPyFile(path)
+        context._anamnesis_shipped = True
+    return spark

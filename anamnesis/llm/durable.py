@@ -7,14 +7,13 @@ read again. A lost executor then costs only the tasks that it was running.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import ship, write_bytes  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a temporary one only where none is configured."""
@@ -41,30 +40,11 @@ def publish(spark: SparkSession, name: str, payload: bytes) -> str:
     if len(payload) > 64 << 20:
         raise ValueError(f"{name}: {len(payload)} bytes is too much to hand to every executor")
     name = f"{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(path)
-    out.write(bytearray(payload))
-    out.close()
-    spark.sparkContext.addFile(path.toString())
+    path = f"{shared_dir(spark)}/{name}"
+    write_bytes(spark, path, payload)
+    spark.sparkContext.addFile(path)
     return name
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that tasks can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_anamnesis_shipped", False):
-        return spark
-    package = Path(__file__).resolve().parents[1]
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="anamnesis-")), "anamnesis.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(target)
-    sc._anamnesis_shipped = True
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,8 @@ scored.
 
 The score is a noisy-or over words whose share of toxic documents is high, with a
 share that is shrunk towards the base rate. A word counts only if it was seen after
-enough different words, so that copies of one toxic document teach nothing.
+enough different words, so that copies of one toxic document teach nothing. Beginnings
+of words are learned in the same way, from the documents that no such word explains.
 
 Labels are learned from at most ``sample`` toxic and as many other labelled documents.
 
@@ -177,13 +178,13 @@ def fit_channel(docs: DataFrame, text_col: str = "text") -> Channel:
     return Channel(rows.gram.to_numpy(np.int64), rows.n.to_numpy(np.int64))
 
 
-def features(word: str) -> list[str]:
-    """What is learned about a word: itself and its first four and five letters."""
-    return [word, *(f"^{word[:n]}" for n in (4, 5) if len(word) >= n)]
+def prefixes(word: str) -> list[str]:
+    """A word's first four and five letters, marked as such."""
+    return [f"^{word[:n]}" for n in (4, 5) if len(word) >= n]
 
 
 class Model:
-    """Toxic features with their probabilities, the base score and the channel."""
+    """Toxic words and beginnings of words with their probabilities, the base score and the channel."""
 
     def __init__(self, channel: Channel, weights: dict[str, float], base: float):
         self.channel, self.weights, self.base, self.memo = channel, weights, base, {}
@@ -194,7 +195,7 @@ class Model:
         if p is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            p = self.memo[word] = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+            p = self.memo[word] = max(self.weights.get(f, 0.0) for f in (word, *prefixes(word)))
         return p
 
     def score(self, words: list[str]) -> float:
@@ -210,7 +211,6 @@ def fit(
 ) -> Model:
     """Learn from the labelled documents for which the column ``learn(id)`` is true."""
     channel = fit_channel(docs, text_col)
-    sc = docs.sparkSession.sparkContext
     given = labels.where(F.col(label_col).isin(0, 1) & learn(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).alias("y"))
     given = materialise(given.join(docs.select(id_col).distinct(), id_col, "left_semi"), "labels")
     sizes = {r.y: r["count"] for r in given.groupBy("y").count().collect()}
@@ -221,43 +221,55 @@ def fit(
     # at most ``sample`` ids of each class
     chosen = [given.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample) for y in (1, 0)]
     taught = docs.select(id_col, text_col).join(F.broadcast(chosen[0].union(chosen[1])), id_col).select("y", text_col)
-    shared = sc.broadcast(channel)
+    up, down = toxic / min(toxic, sample), clean / max(1, min(clean, sample))
+    weights: dict[str, float] = {}
+    for of in (lambda w: (w,), prefixes):
+        found = _evidence(taught, Model(channel, weights, 0.0), of, least_contexts, most_words)
+        for feature, a, b in found:
+            share = (a * up + prior * base) / (a * up + b * down + prior)
+            if share >= least_share:
+                weights[feature] = min(share, 0.99)
+    return Model(channel, weights, min(base, 0.1) / 4)
+
+
+def _evidence(taught: DataFrame, so_far: Model, of, least_contexts: int, most: int) -> list[tuple[str, int, int]]:
+    """(feature, toxic documents, other documents), over (y, text) that the model so far doesn't explain."""
+    sc = taught.sparkSession.sparkContext
+    shared = sc.broadcast(so_far)
+
+    def unexplained(batch: pa.RecordBatch, reader: Reader) -> Iterator[list[str]]:
+        for text in batch.column(1).to_pylist():
+            words = reader.words(text)
+            if not any(map(shared.value.word, set(words))):
+                yield words
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = Reader(shared.value.channel)
         for batch in batches:
             seen: Counter = Counter()
-            for text in batch.column(1).to_pylist():
-                words = reader.words(text)
+            for words in unexplained(batch, reader):
                 # each feature of the document once, with the word before its first occurrence
                 first = {}
                 for before, w in zip(["", *words], words):
-                    if w not in first:
-                        first.update((f, before) for f in features(w) if f not in first)
+                    for f in of(w):
+                        first.setdefault(f, before)
                 seen.update(first.items())
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["word", "before", "n"])
 
-    toxic_words = taught.where("y = 1").mapInArrow(contexts, "word string, before string, n long")
-    hits = toxic_words.groupBy("word", "before").agg(F.sum("n").alias("n")).groupBy("word").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    top = hits.where((F.col("contexts") >= least_contexts) & (F.length("word") > 2)).orderBy(F.desc("n"), "word").limit(most_words).collect()
+    hits = taught.where("y = 1").mapInArrow(contexts, "word string, before string, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
+    hits = hits.groupBy("word").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
+    top = hits.where((F.col("contexts") >= least_contexts) & (F.length("word") > 2)).orderBy(F.desc("n"), "word").limit(most).collect()
     candidates = sc.broadcast({r.word for r in top})
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = Reader(shared.value), Counter()
+        reader, seen = Reader(shared.value.channel), Counter()
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                seen.update({f for w in set(reader.words(text)) for f in features(w)} & candidates.value)
+            for words in unexplained(batch, reader):
+                seen.update({f for w in set(words) for f in of(w)} & candidates.value)
         yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
-    innocent = {r.word: r.n for r in taught.where("y = 0").mapInArrow(occurrences, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    up, down = toxic / min(toxic, sample), clean / max(1, min(clean, sample))
-    words = {}
-    for r in top:
-        a, b = r.n * up, innocent.get(r.word, 0) * down
-        share = (a + prior * base) / (a + b + prior)
-        if share >= least_share:
-            words[r.word] = min(share, 0.99)
-    return Model(channel, words, min(base, 0.1) / 4)
+    others = {r.word: r.n for r in taught.where("y = 0").mapInArrow(occurrences, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return [(r.word, r.n, others.get(r.word, 0)) for r in top]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

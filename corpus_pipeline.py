@@ -33,7 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     kept = materialise(kept, "kept")
-    stays = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    # a merge join at every size: whether few ids would fit into a broadcast is no matter of the input at scale
+    stays = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if kept.where("count > 1").limit(1).count():
         stays = stays.dropDuplicates(["doc_id"])
     return stays.unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -12,6 +12,9 @@ The score is a noisy-or over words whose share of toxic documents is high, with
 share that is shrunk towards the base rate. A word counts only if it was seen after
 enough different words, so that copies of one toxic document teach nothing. Beginnings
 of words are learned in the same way, from the documents that no such word explains.
+Words that come together share their evidence, so the noisy-or says too much of a word
+that stands alone. A monotone step function, fitted on the same sample, turns it into
+the share of toxic documents among those with such words.
 
 Labels are learned from at most ``sample`` toxic and as many other labelled documents.
 
@@ -184,10 +187,11 @@ def prefixes(word: str) -> list[str]:
 
 
 class Model:
-    """Toxic words and beginnings of words with their probabilities, the base score and the channel."""
+    """Toxic words and beginnings of words with their probabilities, the base score, the channel and the steps of calibration."""
 
     def __init__(self, channel: Channel, weights: dict[str, float], base: float):
         self.channel, self.weights, self.base, self.memo = channel, weights, base, {}
+        self.edges, self.levels = np.zeros(0), np.zeros(0)
 
     def word(self, word: str) -> float:
         """The probability that a text is toxic by this word alone."""
@@ -198,11 +202,24 @@ class Model:
             p = self.memo[word] = max(self.weights.get(f, 0.0) for f in (word, *prefixes(word)))
         return p
 
-    def score(self, words: list[str]) -> float:
-        clear = 1.0 - self.base
-        for p in filter(None, map(self.word, set(words))):
+    def evidence(self, words: list[str]) -> float | None:
+        """The noisy-or over a text's words; None if none of them counts."""
+        clear, found = 1.0, [p for p in map(self.word, set(words)) if p]
+        for p in sorted(found):
             clear *= 1.0 - p
-        return 1.0 - clear
+        return 1.0 - clear if found else None
+
+    def score(self, words: list[str]) -> float:
+        raw = self.evidence(words)
+        if raw is None:
+            return self.base
+        k = int(np.searchsorted(self.edges, raw, "right")) - 1
+        if k >= 0:
+            level = self.levels[k]
+        else:  # less evidence than any document had that was learned from
+            level = min([raw, *self.levels[:1]])
+        # the evidence itself orders documents of one step
+        return max(self.base, 0.999 * float(level) + 0.001 * raw)
 
 
 def fit(
@@ -229,7 +246,39 @@ def fit(
             share = (a * up + prior * base) / (a * up + b * down + prior)
             if share >= least_share:
                 weights[feature] = min(share, 0.99)
-    return Model(channel, weights, min(base, 0.1) / 4)
+    model = Model(channel, weights, min(base, 0.1) / 4)
+    model.edges, model.levels = _calibration(_histogram(taught, model), up, down, prior, base)
+    return model
+
+
+def _histogram(taught: DataFrame, model: Model, bins: int = 1000) -> list[tuple[float, int, int]]:
+    """(least evidence, toxic documents, other documents) of each bin of evidence that documents (y, text) fall into."""
+    shared = taught.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, seen = Reader(shared.value.channel), Counter()
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = shared.value.evidence(reader.words(text))
+                if raw is not None:
+                    seen[y, int(raw * bins)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([b for _, b in seen], pa.int32()), pa.array([n if y else 0 for (y, _), n in seen.items()], pa.int64()), pa.array([0 if y else n for (y, _), n in seen.items()], pa.int64())], ["bin", "a", "b"])
+
+    found = taught.mapInArrow(count, "bin int, a long, b long").groupBy("bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    return sorted((r.bin / bins, r.a, r.b) for r in found)
+
+
+def _calibration(histogram: list[tuple[float, int, int]], up: float, down: float, prior: float, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and levels of rising steps: neighbouring bins are pooled until the share of toxic documents rises."""
+    pools: list[list[float]] = []
+    for edge, a, b in histogram:
+        pools.append([edge, a * up, b * down])
+        while len(pools) > 1 and pools[-2][1] * sum(pools[-1][1:]) >= pools[-1][1] * sum(pools[-2][1:]):
+            _, a, b = pools.pop()
+            pools[-1][1] += a
+            pools[-1][2] += b
+    levels = [(a + prior * base) / (a + b + prior) for _, a, b in pools]
+    return np.array([p[0] for p in pools]), np.maximum.accumulate(np.array(levels)) if levels else np.zeros(0)
 
 
 def _evidence(taught: DataFrame, so_far: Model, of, least_contexts: int, most: int) -> list[tuple[str, int, int]]:

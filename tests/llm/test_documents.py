@@ -162,6 +162,29 @@ def test_classifiers(spark, documents, nothing):
     assert {r.score for r in quality.score(documents, quality.fit(d, lab.limit(0), lambda i: i > 0)).collect()} == {0.5}
 
 
+def test_calibration_steps():
+    """Against the least-squares rising fit by brute force over all ways to pool."""
+    bins = [(0.6, 1, 8), (0.7, 3, 5), (0.8, 1, 6), (0.9, 40, 1), (0.99, 60, 0)]
+    edges, levels = toxicity._calibration(bins, 1.0, 1.0, 0.0, 0.1)
+    best = None
+    for cuts in range(1 << (len(bins) - 1)):
+        pools, start = [], 0
+        for i in range(len(bins)):
+            if i == len(bins) - 1 or cuts >> i & 1:
+                part = bins[start : i + 1]
+                a, n = sum(x[1] for x in part), sum(x[1] + x[2] for x in part)
+                pools += [a / n] * len(part)
+                start = i + 1
+        if pools == sorted(pools):
+            loss = sum(a * (1 - p) ** 2 + b * p * p for (_, a, b), p in zip(bins, pools))
+            best = min(best or (loss, pools), (loss, pools))
+    assert np.allclose([levels[np.searchsorted(edges, x[0], "right") - 1] for x in bins], best[1])
+    assert [len(x) for x in toxicity._calibration([], 1.0, 1.0, 4.0, 0.1)] == [0, 0]
+    m = toxicity.Model(None, {"odd": 0.7, "bad": 0.95}, 0.02)
+    m.edges, m.levels = np.array([0.7, 0.9]), np.array([0.2, 0.97])
+    assert m.score(["odd"]) < 0.3 < m.score(["odd", "bad"]) and m.score(["fine"]) == m.score([]) == 0.02
+
+
 def test_channel_leaves_plain_words():
     text = "hello there good people say hello again and again " * 20
     n = np.zeros(toxicity.SIZE**3, np.int64)

@@ -1,0 +1,189 @@
+"""Near copies by the Jaccard similarity of word shingles, without loss.
+
+Two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 shingles
+of each in any fixed order (prefix filtering), so only those are shuffled. The order
+begins with shingles that a sample of the documents doesn't repeat, so what many
+documents have in common is seldom a prefix; the sample decides about cost alone.
+Every pair that shares a prefix shingle is compared exactly unless sizes, places or
+parities rule it out, or its documents are connected already through their shingle's
+least document. Parities are those of the numbers of shingles in 256 cells: as many as
+differ, so many shingles at least are in one set alone, and alike sets of a and b
+shingles have no more than (a + b) / 9 of those.
+
+Equal sets are one node. Shingles are told apart by 64-bit hashes. Texts under ``width``
+words are one shingle of all words; texts without words are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .durable import materialise, publish
+from .orderhash import BASE, mix
+
+#: Documents in the sample of the order, and how many of their repeated shingles it takes in.
+SAMPLE, COMMON = 5_000, 400_000
+BITS = ["p0", "p1", "p2", "p3"]
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; words are those of simhash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(w) - width + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(width):
+        h = mix(h * BASE + w[i : i + n])
+    return np.unique(h)
+
+
+def name(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles that a set of 4/5 of the similarity can't miss. ``common`` is sorted, ``rank`` from 1."""
+    keep = len(grams) - (4 * len(grams) + 4) // 5 + 1
+    if not len(common):
+        return grams[:keep]
+    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+    return grams[np.argsort(np.where(common[at] == grams, rank[at], 0), kind="stable")[:keep]]
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """256 bits as four signed numbers: whether the shingles of each cell are odd in number."""
+    odd = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity is 4/5 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def usual(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the documents repeats, sorted, and their ranks by frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, width).view(np.int64) for t in batch.column(0).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["gram"])
+
+    every = docs.count() // SAMPLE + 1
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(text_col)
+    counts = some.mapInArrow(run, "gram long").groupBy("gram").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "gram").limit(COMMON).toPandas()
+    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], (len(grams) - np.arange(len(grams)))[order]
+
+
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (gram, node, size, place) sorted by gram and node those whose gram has another, with the gram's first node and its size."""
+    columns, held, going = ["gram", "node", "size", "place", "hub", "hub_size"], None, None
+    for batch in batches:
+        rows = [batch.column(i).to_numpy() for i in range(4)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        held = None
+        g = rows[0]
+        if not len(g):
+            continue
+        first = np.concatenate([[True], g[1:] != g[:-1]])
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        hub, hub_size = rows[1][start], rows[2][start]
+        several = ~first | np.append(~first[1:], False)
+        if going is not None and g[0] == going[0]:
+            here = start == 0
+            hub[here], hub_size[here], several[here] = going[1], going[2], True
+        if several[-1]:
+            going = g[-1], hub[-1], hub_size[-1]
+        else:
+            held, going = [x[-1:].copy() for x in rows], None
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (*rows, hub, hub_size)], columns)
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own, other = (map(lambda x: np.frombuffer(x, np.uint64), batch.column(i).to_pylist()) for i in (2, 3))
+        good = pa.array([alike(x, y) for x, y in zip(own, other)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, component_id): documents connected by pairs whose shingles have a Jaccard similarity of 4/5 or more."""
+    spark = docs.sparkSession
+    kind, n = docs.schema[id_col].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    file = publish(spark, "common.bin", np.concatenate(usual(docs, text_col, width)).astype(np.uint64).tobytes())
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = np.fromfile(SparkFiles.get(file), np.uint64).reshape(2, -1)
+        rank = rank.astype(np.int64)
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            heads = [prefix(s, common, rank).view(np.int64) for s in sets]
+            bits = [parities(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(heads, pa.list_(pa.int64())), *(pa.array([b[k] for b in bits], pa.int64()) for k in range(4))], [id_col, "node", "size", "head", *BITS])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
+
+    marked = materialise(docs.select(id_col, text_col).mapInArrow(mark, f"`{id_col}` {kind}, node long, size int, head array<long>, p0 long, p1 long, p2 long, p3 long"), "marked")
+    nodes = materialise(marked.groupBy("node").agg(F.min(id_col).alias("least"), *(F.min(c).alias(c) for c in ("size", *BITS))), "nodes")
+    heads = marked.dropDuplicates(["node"]).select("node", "size", F.posexplode("head").alias("place", "gram")).select("gram", "node", "size", "place")
+    dealt = heads.repartition(n, "gram").sortWithinPartitions("gram", "node")
+    shared = materialise(dealt.mapInArrow(repeated, "gram long, node long, size int, place int, hub long, hub_size int"), "shared")
+
+    def possible(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) that parities don't rule out."""
+        own, other = (nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in BITS)).hint("merge") for s in "ab")
+        apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in BITS)
+        return materialise(pairs.join(own, "a").join(other, "b").where(f"9 * ({apart}) <= size_a + size_b").select("a", "b"), label)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are alike. Their sets are built again from one text each; ids may be repeated or null."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least").hint("merge"), "node")
+        wanted = materialise(wanted, "wanted")
+        ids = wanted.where("least IS NOT NULL").select(F.col("least").alias(id_col))
+        texts = docs.join(ids.hint("merge"), id_col, "left_semi").select(text_col).union(docs.where(F.col(id_col).isNull()).select(text_col))
+        sets = texts.mapInArrow(grams, "node long, grams binary").join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+        sets = materialise(sets, "sets")
+        own, other = sets.toDF("a", "own"), sets.toDF("b", "other")
+        met = pairs.join(own.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "own", "other")
+        return materialise(met.mapInArrow(verified, "a long, b long"), "links")
+
+    fits = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
+    stars = shared.where("node <> hub AND " + fits.format("size", "hub_size")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    stars = possible(stars, "stars")
+    found = links(stars)
+    comps = connected_components(found)
+    of = shared.select("gram", "node", "size", "place").join(comps.hint("merge"), "node", "left").select("gram", "node", "size", "place", F.coalesce("component", "node").alias("part"))
+    of = materialise(of, "parts")
+    split = of.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("gram")
+    of = of.join(split.hint("merge"), "gram")
+    x, y = (of.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "place", "part"))) for s in "ab")
+    # what can be shared from this shingle on; a pair's first common shingle passes if the pair is alike
+    most = "9 * least(size_a - place_a, size_b - place_b) >= 4 * (size_a + size_b)"
+    rest = x.join(y.hint("merge"), "gram").where("node_a < node_b AND part_a <> part_b").where(fits.format("size_a", "size_b")).where(most)
+    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
+    rest = possible(rest, "rest")
+    if rest.limit(1).count():
+        comps = connected_components(found.union(links(rest)))
+    of = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialise(of.join(least, "root").select("node", "component_id"), "components")
+    return marked.select(id_col, "node").join(named, "node").select(id_col, "component_id")

@@ -1,0 +1,68 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from anamnesis.llm import shingles
+from anamnesis.llm.durable import ship
+from tests.llm.test_duplicates import components
+
+
+def word_sets(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def copies():
+    """Texts of different length, their copies with words replaced, and a long passage that many share."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage, rows = [word() for _ in range(60)], []
+    for size in (1, 4, 5, 6, 9, 40, 120, 300, 700):
+        for _ in range(3):
+            base = [word() for _ in range(size)]
+            for changes in (0, 0, 1, 2, 3, 5, 7):
+                text = list(base)
+                for i in rng.sample(range(size), min(size, changes)):
+                    text[i] = word()
+                rows.append(" ".join(text))
+    rows += [" ".join([*passage, *(word() for _ in range(k))]) for k in range(2, 30)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_every_pair_of_likeness_is_linked(spark):
+    ship(spark)
+    rows = copies()
+    sets = [word_sets(t) for _, t in rows]
+    like = [(i, j, jaccard(sets[i], sets[j])) for i in range(len(rows)) for j in range(i)]
+    assert sum(0.8 <= x < 0.95 for *_, x in like) > 20 and sum(0.6 < x < 0.8 for *_, x in like) > 20
+    want = components(len(rows), [(i, j) for i, j, x in like if x >= 0.8])
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(d).collect()} == dict(enumerate(want))
+    kept = corpus_pipeline.drop_copies(spark, d, None)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_repeated_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    gram = np.sort(rng.integers(0, 40, 90))
+    node, size, place = np.arange(90), np.arange(90, dtype=np.int32), np.zeros(90, np.int32)
+    want = [(g, i, int(np.flatnonzero(gram == g)[0])) for i, g in enumerate(gram.tolist()) if (gram == g).sum() > 1]
+    for step in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (gram, node, size, place)], ["gram", "node", "size", "place"]) for i in range(0, 90, step)]
+        out = [r for b in shingles.repeated(iter(batches)) for r in zip(*(b.column(k).to_pylist() for k in (0, 1, 4)))]
+        assert out == want
+
+
+def test_parities_rule_out_no_alike_pair():
+    sets = [shingles.shingles(t) for _, t in copies()]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if shingles.alike(sets[i], sets[j])]
+    bits = [shingles.parities(s) for s in sets]
+    assert pairs and all(9 * np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum(dtype=int) <= len(sets[i]) + len(sets[j]) for i, j in pairs)

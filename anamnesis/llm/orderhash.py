@@ -57,8 +57,6 @@ def numbered(h: np.ndarray) -> np.ndarray:
     mask = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
     packed = np.sort(h & ~mask | np.arange(n, dtype=np.uint64))
     same = np.concatenate([[False], (packed[1:] & ~mask) == (packed[:-1] & ~mask)])
-    if not same.any():
-        return h
     at = np.arange(n)
     first = np.maximum.accumulate(np.where(same, 0, at))
     occurrence = np.zeros(n, np.uint64)

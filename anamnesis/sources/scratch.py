@@ -11,19 +11,26 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that spark.checkpoint.dir names; below a temporary one only where it is unset."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session may do without one: a temporary folder is set for it, once."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='anamnesis-')}"
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return top.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is written there is scratch: it may be removed whenever no job runs."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df, name: str):
     """Write a table and read it back, so that what follows doesn't compute it again."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

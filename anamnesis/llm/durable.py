@@ -7,29 +7,21 @@ read again. A lost executor then costs only the tasks that it was running.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import ship, write_bytes  # noqa: F401
+from ..sources.scratch import kept, shared_root, ship, write_bytes  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='anamnesis-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/anamnesis"
+    """The folder of this package below the shared one."""
+    return f"{shared_root(spark)}/anamnesis"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result no longer depends on its inputs."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, f"anamnesis/{name}")
 
 
 def publish(spark: SparkSession, name: str, payload: bytes) -> str:

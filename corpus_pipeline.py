@@ -8,9 +8,8 @@ the operators' queries hold out are held out here too.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from anamnesis.llm import packing, quality, shingles, toxicity
+from anamnesis.llm import alike, packing, quality, toxicity
 from anamnesis.llm.durable import materialise, ship, table
 from anamnesis.llm.queries import remainder, vocab
 
@@ -28,16 +27,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles of Jaccard similarity 0.8 or more) the document with the least id; documents without an id all stay."""
+    """Of each group of near copies (five-word shingles of Jaccard similarity 0.8 or more) the document with the least id."""
     ship(spark)
-    found = shingles.near_copies(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    kept = materialise(kept, "kept")
-    # a merge join at every size: whether few ids would fit into a broadcast is no matter of the input at scale
-    stays = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if kept.where("count > 1").limit(1).count():
-        stays = stays.dropDuplicates(["doc_id"])
-    return stays.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return alike.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import corpus_pipeline
-from anamnesis.llm import quality, simhash, toxicity
+from anamnesis.llm import quality, toxicity
 from anamnesis.llm.durable import ship, table
 from anamnesis.llm.queries import remainder
+from tests.llm.test_alike import jaccard, word_sets
 from tests.llm.test_tokens import check_pieces
 
 DIR = "/root/testdata/sf0.001"
@@ -16,10 +17,10 @@ def test_stages_against_brute_force(spark, vocab):
     kept = docs.where(docs.doc_id.isin([*left]))
     good = quality.score(kept, quality.fit(kept, labels, lambda i: remainder(3)(i) != 1)).collect()
     left = {r.doc_id: left[r.doc_id] for r in good if r.score >= 0.5}
-    fp = {i: simhash.fingerprint(t) for i, t in left.items()}
+    sets = {i: word_sets(t) for i, t in left.items()}
     group = {}
-    for i in sorted(left):  # the least id that is reached by steps of three bits
-        near = {group[j] for j in group if (fp[i] ^ fp[j]).bit_count() <= 3}
+    for i in sorted(left):  # the least id that is reached by pairs of the similarity
+        near = {group[j] for j in group if jaccard(sets[i], sets[j]) >= 0.8}
         home = min(near, default=i)
         group = {j: home if g in near else g for j, g in group.items()} | {i: home}
     left = {i: left[i] for i in left if group[i] == i}

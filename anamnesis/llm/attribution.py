@@ -9,8 +9,8 @@ A token that crosses a boundary goes by an explicit rule: ``start`` gives it to
 the section of its first byte, ``end`` to that of its last, ``split`` to all of them by
 their shares of its bytes.
 
-Defined results: a null or empty text has one empty section without tokens;
-repeated rows are counted each on its own; an empty table gives an empty result;
+Defined results: a null or empty text has one empty section without tokens; runs of white space may
+be of any length; repeated rows are counted each on its own; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame
 
 RULES = ("start", "end", "split")
 
+#: White space by the library's pattern, and a length of runs that it surely can look back over.
+SPACE, LONGEST_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 10_000
+
 
 @cache
 def encoder(vocab_path: str):
@@ -41,10 +44,27 @@ def encoder(vocab_path: str):
     return tiktoken.Encoding("attribution", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(text: str, vocab_path: str, longest: int = LONGEST_SPACE) -> list[int]:
+    """The ids of a text, however long its runs of white space.
+
+    The library's pattern looks back over a whole run of white space and ends the process on very long ones. What it takes
+    from a run that other text follows is all but the last character, as one piece, so such runs are cut out there.
+    """
+    enc = encoder(vocab_path)[0]
+    if len(text) <= longest:
+        return enc.encode_ordinary(text)
+    ids, at = [], 0
+    for m in re.finditer(f"[{SPACE}]{{{longest + 1},}}", text):
+        ids += enc.encode_ordinary(text[at : m.start()])
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() < at:
+            ids += enc._encode_single_piece(text[m.start() : at])
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def token_ends(text: str, vocab_path: str) -> np.ndarray:
     """Where each token ends, in bytes."""
-    enc, sizes = encoder(vocab_path)
-    return np.cumsum(sizes[np.array(enc.encode_ordinary(text), np.int64)])
+    return np.cumsum(encoder(vocab_path)[1][np.array(encode(text, vocab_path), np.int64)])
 
 
 def line_starts(raw: bytes) -> np.ndarray:

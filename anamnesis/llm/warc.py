@@ -2,7 +2,8 @@
 
 The archive is two tables in one folder. ``payloads`` holds each distinct payload once,
 under its SHA-256; ``headers`` holds, for each record, the exact bytes of its WARC
-header and the digest of its payload. Of records with equal payloads, the one with
+header, the exact URL and the digest of its payload. The block of a record is the page itself, without
+the headers of HTTP, which the pages don't have. Of records with equal payloads, the one with
 the largest id is the response and the others revisit it. Records are put together
 again by joining the two tables, after every stored payload has been hashed anew and
 compared with its address. All of it is DataFrame functions.
@@ -12,7 +13,8 @@ from headers to payloads is one that adaptive execution can split, so one page m
 a third of all.
 
 Defined results: a null payload is an empty one; empty payloads are equal to each
-other; repeated rows become records of their own; a null id never is a response unless
+other; a URL's control characters are written as %XX in the header, so it can't forge a field; repeated rows become
+records of their own that share the record id, which is made of the page's; a null id never is a response unless
 all ids of its payload are null; an empty table gives an empty archive; further columns
 are ignored.
 """
@@ -42,6 +44,12 @@ def base32(hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(hexadecimal) / 5).cast("int") - 1), lambda i: five(F.substring(hexadecimal, (i * 5 + 1).cast("int"), F.lit(5)))), "")
 
 
+def printable(url: Column) -> Column:
+    """A URL for a header line: control characters, which could end the line, as %XX."""
+    one = lambda c: F.when(c.rlike(r"[\x00-\x1f\x7f]"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+    return F.when(url.rlike(r"[\x00-\x1f\x7f]"), F.array_join(F.transform(F.split(url, ""), one), "")).otherwise(url)
+
+
 def write_archive(
     pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
@@ -61,12 +69,12 @@ def write_archive(
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), line("WARC-Record-ID", urn("id")), F.lit(f"WARC-Date: {date}{CRLF}"),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", F.col("url"))).otherwise(F.lit("")),
+        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", printable(F.col("url")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
         F.when(F.col("revisit"), F.concat(line("WARC-Refers-To", urn("owner")), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}"))).otherwise(F.lit("")),
         F.lit(f"Content-Type: text/html; charset=utf-8{CRLF}"), line("Content-Length", F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("size"))), F.lit(CRLF),
     )
-    one.select("id", F.encode(header, "UTF-8").alias("header"), "address").write.option("compression", "zstd").parquet(f"{path}/headers")
+    one.select("id", "url", F.encode(header, "UTF-8").alias("header"), "address").write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
 
 
@@ -83,8 +91,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     text = F.col("header").cast("string")
     field = lambda name, value: F.nullif(F.regexp_extract(text, rf"(?:^|\n){name}: {value}\r\n", 1), F.lit(""))
     records = spark.read.parquet(f"{path}/headers").select(
-        "id", "header", "address", field("WARC-Type", "(.*)").alias("record_type"), field("WARC-Refers-To", "<urn:page:(.*)>").alias("refers"),
-        field("WARC-Target-URI", "(.*)").alias("url"), field("WARC-Payload-Digest", "sha1:(.*)").alias("told"))
+        "id", "url", "header", "address", field("WARC-Type", "(.*)").alias("record_type"), field("WARC-Refers-To", "<urn:page:(.*)>").alias("refers"), field("WARC-Payload-Digest", "sha1:(.*)").alias("told"))
     digest = F.when(F.col("told") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest isn't its payload's")))
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     record = F.concat("header", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")), end)

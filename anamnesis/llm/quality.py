@@ -3,7 +3,7 @@
 Every word and every word shape (its pattern of capitals, small letters, digits and
 signs, and whether it repeats the word before) has a sparse random index vector. Its
 word vector is the sum of the index vectors found beside it anywhere in the corpus,
-counted over all documents. A document is the mean of its words' vectors beside the
+counted over all documents in whole numbers, so that no layout of the table changes them. A document is the mean of its words' vectors beside the
 mean of its shapes' vectors. A network of two layers in numpy turns that into a
 logit, and a temperature fitted on labelled rows apart makes it a probability.
 
@@ -69,18 +69,22 @@ class Reader:
         return word, WORDS + form + SHAPES * again
 
 
-def accumulate(total: np.ndarray, word: np.ndarray, form: np.ndarray, at: np.ndarray, sign: np.ndarray) -> None:
-    """Add to each item the index vectors of both items beside it on either side, and of its own word's shape."""
-    n = len(word)
-    if not n:
+def accumulate(total: np.ndarray, word: np.ndarray, form: np.ndarray, first: np.ndarray, at: np.ndarray, sign: np.ndarray) -> None:
+    """Add to each item the index vectors of both items beside it on either side, and of its own word's shape.
+
+    ``first`` marks the first word of each document, which has none before it.
+    """
+    if not len(word):
         return
+    b = np.flatnonzero(~first)
+    a = b - 1
     items, beside = [word, form], [form, form]
-    for a, b in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
-        items += [word[a], word[a], form[a], form[a]]
-        beside += [word[b], form[b], word[b], form[b]]
+    for x, y in ((b, a), (a, b)):
+        items += [word[x], word[x], form[x], form[x]]
+        beside += [word[y], form[y], word[y], form[y]]
     items, beside = np.concatenate(items), np.concatenate(beside)
     for k in range(NONZERO):
-        total += np.bincount(items * DIM + at[beside, k], sign[beside, k], ROWS * DIM)
+        total += np.bincount(items * DIM + at[beside, k], sign[beside, k], ROWS * DIM).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -88,34 +92,35 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     size = ROWS // BLOCKS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, (at, sign), total = Reader(), index_vectors(), np.zeros(ROWS * DIM)
+        reader, (at, sign), total = Reader(), index_vectors(), np.zeros(ROWS * DIM, np.int64)
         for batch in batches:
-            words, forms, held = [], [], 0
-            for text in [*batch.column(0).to_pylist(), None]:
-                if text is not None:
-                    w, f = reader.rows(text)
-                    words.append(w)
-                    forms.append(f)
-                    held += len(w)
-                if words and (text is None or held > 200_000):
-                    accumulate(total, np.concatenate(words), np.concatenate(forms), at, sign)
-                    words, forms, held = [], [], 0
+            words, forms, firsts, held = [], [], [], 0
+            texts = batch.column(0).to_pylist()
+            for i, text in enumerate(texts):
+                w, f = reader.rows(text)
+                words.append(w)
+                forms.append(f)
+                firsts.append(np.arange(len(w)) == 0)
+                held += len(w)
+                if held > 200_000 or i == len(texts) - 1:
+                    accumulate(total, np.concatenate(words), np.concatenate(forms), np.concatenate(firsts), at, sign)
+                    words, forms, firsts, held = [], [], [], 0
         if total.any():
-            raw = total.astype(np.float32).reshape(BLOCKS, -1)
+            raw = total.reshape(BLOCKS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary())], ["block", "raw"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[b] = sums.get(b, 0) + np.frombuffer(raw, np.float32).astype(np.float64)
+                sums[b] = sums.get(b, 0) + np.frombuffer(raw, np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "raw"])
 
     parts = docs.select(text_col).mapInArrow(gather, "block int, raw binary")
     out = np.zeros((BLOCKS, size * DIM))
     for r in parts.repartition(16, "block").mapInArrow(add, "block int, raw binary").collect():
-        out[r.block] = np.frombuffer(r.raw, np.float64)
+        out[r.block] = np.frombuffer(r.raw, np.int64)
     out = out.reshape(ROWS, DIM)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
@@ -128,6 +133,14 @@ def pooled(rows: tuple[np.ndarray, np.ndarray], vectors: np.ndarray) -> np.ndarr
     return np.concatenate([np.bincount(x, minlength=ROWS)[y] @ vectors[y] / len(x) for x in (word, form) for y in (np.unique(x),)])
 
 
+def gradients(w: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean logistic loss of the two layers ``w`` (weights, offsets, weights, offset)."""
+    h = np.tanh(x @ w[0] + w[1])
+    g = (1 / (1 + np.exp(-(h @ w[2] + w[3]))) - y) / len(y)
+    back = np.outer(g, w[2]) * (1 - h * h)
+    return [x.T @ back, back.sum(0), h.T @ g, g.sum(keepdims=True)]
+
+
 class Network:
     """Two layers with tanh between them, standardised inputs and a temperature."""
 
@@ -145,11 +158,8 @@ class Network:
             order = rng.permutation(len(xs))
             for i in range(0, len(xs), 256):
                 a, b = xs[order[i : i + 256]], ys[order[i : i + 256]]
-                h = np.tanh(a @ self.w[0] + self.w[1])
-                g = (1 / (1 + np.exp(-(h @ self.w[2] + self.w[3]))) - b) / len(b)
-                back = np.outer(g, self.w[2]) * (1 - h * h)
                 t += 1
-                for k, d in enumerate((a.T @ back, back.sum(0), h.T @ g, g.sum(keepdims=True))):
+                for k, d in enumerate(gradients(self.w, a, b)):
                     d = d + 1e-4 * self.w[k]
                     moment[k] = 0.9 * moment[k] + 0.1 * d
                     square[k] = 0.999 * square[k] + 0.001 * d * d

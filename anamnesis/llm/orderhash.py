@@ -7,7 +7,7 @@ fingerprint. Moving or replacing text changes which k-mers are selected and thei
 order, so the share of equal slots falls with the edit distance.
 
 Defined results: a null text counts as empty; all texts shorter than a k-mer count
-as one k-mer; equal texts have equal fingerprints; repeated ids are ordered by the
+as one k-mer; equal texts have equal fingerprints; ids may be of any type that can be ordered; repeated ids are ordered by the
 text's hash; nulls come last in descending order; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -129,21 +129,21 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     kind = docs.schema[id_col].dataType.simpleString()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = docs.schema[id_col].dataType
     names = [id_col, *(c.split()[0] for c in COLUMNS.split(", ")), "part", "role", "text", "raw"]
-    chosen = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt = chosen.repartitionByRange(n, F.desc(id_col)).sortWithinPartitions(F.desc(id_col), F.xxhash64("text"))
-    arrow_key = pa.int64() if key.simpleString() == "bigint" else pa.int32() if key.simpleString() == "int" else pa.string()
-    types = [arrow_key, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+    # ties go by the text's hash; equal rows may follow each other in any order, so a hot one is spread over partitions
+    chosen = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.desc(id_col), F.xxhash64("text"), F.col("_row")]
+    dealt = chosen.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_row")
 
-    def table_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    def table_of(key: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [key, *types])], names[: len(rows[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), None
         blank = (None,) * 6
         for batch in batches:
-            rows, size = [], 0
+            rows, key = [], batch.schema.field(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = signature(text)
                 if before is None:
@@ -153,18 +153,19 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     rows.append((j, *_row(t, s, text, own), part, None, None, None))
                 before = i, text, own
             if rows:
-                yield table_of(rows)
+                yield table_of(key, rows)
         if before is not None:
             i, text, own = before
-            yield table_of([(i, *blank, part, "tail", text, own.tobytes())])
+            yield table_of(key, [(i, *blank, part, "tail", text, own.tobytes())])
 
     schema = f"`{id_col}` {kind}, {COLUMNS}, part int, role string, text string, raw binary"
     found = materialise(dealt.mapInArrow(run, schema), "fingerprints")
-    heads = found.where("role = 'head'").select("part", F.struct("text", "raw").alias("x"))
-    order = Window.orderBy("part")  # a row per partition of the step above
-    first = F.first("x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    follower = heads.select("part", F.coalesce(F.lead("x").over(order), first).alias("x"))
-    open_rows = found.where("role = 'tail'").join(follower, "part").select(id_col, "text", "raw", "x.text", "x.raw")
+    heads = found.where("role = 'head'")
+    order = Window.orderBy("part")  # a number per partition of the step above
+    first = F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follower = heads.select("part").select("part", F.coalesce(F.lead("part").over(order), first).alias("after"))
+    texts = heads.select(F.col("part").alias("after"), F.col("text").alias("text2"), F.col("raw").alias("raw2"))
+    open_rows = found.where("role = 'tail'").join(follower, "part").join(texts, "after").select(id_col, "text", "raw", "text2", "raw2")
 
     def finish(batches):
         for batch in batches:
@@ -172,7 +173,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for i, t, s, other, its in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 rows.append((i, *_row(t, np.frombuffer(s, np.uint16), other, np.frombuffer(its, np.uint16))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names[:7])
+                yield table_of(batch.schema.field(0).type, rows)
 
-    last = open_rows.toDF(id_col, "text", "raw", "text2", "raw2").mapInArrow(finish, f"`{id_col}` {kind}, {COLUMNS}")
+    last = open_rows.mapInArrow(finish, f"`{id_col}` {kind}, {COLUMNS}")
     return found.where("role is null").select(names[:7]).union(last)

@@ -8,15 +8,15 @@ separator, or for one more copy of the letter before it. Viterbi decoding picks
 likeliest reading under channel and language model, and the restored text is what is
 scored.
 
-The score is a noisy-or over words whose share of toxic documents is high, with a
-share that is shrunk towards the base rate. A word counts only if it was seen after
-enough different words, so that copies of one toxic document teach nothing. Beginnings
-of words are learned in the same way, from the documents that no such word explains.
-Words that come together share their evidence, so the noisy-or says too much of a word
-that stands alone. A monotone step function, fitted on the same sample, turns it into
-the share of toxic documents among those with such words.
+The score is a noisy-or over words, and over beginnings of words that come several times,
+whose share of toxic documents is high, with a share that is shrunk towards the base
+rate. Such a feature counts only if it was seen after enough different words, so
+that copies of one toxic document teach nothing. Features that come together share their
+evidence, so the noisy-or says too much of one that stands alone. A monotone step
+function turns it into the share of toxic documents among those with such evidence. It
+is fitted on evidence by weights from the other folds, so no document vouches for itself.
 
-Labels are learned from at most ``sample`` toxic and as many other labelled documents.
+Labels are learned from at most ``sample`` toxic and as many other labelled documents; nothing else is capped.
 
 Defined results: null, empty and blank texts get the base score; repeated rows are
 scored each on its own; a null id is never learned from; labels that are null or
@@ -52,6 +52,9 @@ IMITATES = {
 #: Signs that separate letters without meaning any.
 SEPARATORS = set(".-_*~'`^\"/\\,:;")
 
+#: Letters of beginnings of words, how often they must come, and the folds of the calibration.
+BEGINNINGS, LEVELS, FOLDS = (4, 5), (2, 3), 4
+
 #: Costs of the channel, as negative natural logarithms.
 IMITATION, SEPARATION, REPETITION = 0.7, 1.0, 1.0
 
@@ -181,36 +184,75 @@ def fit_channel(docs: DataFrame, text_col: str = "text") -> Channel:
     return Channel(rows.gram.to_numpy(np.int64), rows.n.to_numpy(np.int64))
 
 
-def prefixes(word: str) -> list[str]:
-    """A word's first four and five letters, marked as such."""
-    return [f"^{word[:n]}" for n in (4, 5) if len(word) >= n]
+def features(words: list[str]) -> dict[str, str]:
+    """What a text can be told by, each with the word before its first occurrence.
+
+    These are its words of three letters or more, and beginnings of words (four and five letters, marked by ^) that
+    come ``LEVELS`` times: a beginning that means nothing by itself may come once by chance, but seldom again.
+    """
+    out: dict[str, str] = {}
+    counts: Counter = Counter()
+    for before, w in zip(["", *words], words):
+        if len(w) > 2:
+            out.setdefault(w, before)
+        for n in BEGINNINGS:
+            if len(w) >= n:
+                f = f"^{w[:n]}"
+                counts[f] += 1
+                if counts[f] in LEVELS:
+                    out[f"{f}{counts[f]}"] = before
+    return out
+
+
+def family(feature: str) -> str:
+    """Features that begin alike tell the same thing, so only the best of them counts."""
+    return feature[1:5] if feature[0] == "^" else feature[:4]
 
 
 class Model:
-    """Toxic words and beginnings of words with their probabilities, the base score, the channel and the steps of calibration."""
+    """Toxic features with their probabilities, the base score, the channel and the steps of calibration."""
 
     def __init__(self, channel: Channel, weights: dict[str, float], base: float):
         self.channel, self.weights, self.base, self.memo = channel, weights, base, {}
         self.edges, self.levels = np.zeros(0), np.zeros(0)
-
-    def word(self, word: str) -> float:
-        """The probability that a text is toxic by this word alone."""
-        p = self.memo.get(word)
-        if p is None:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            p = self.memo[word] = max(self.weights.get(f, 0.0) for f in (word, *prefixes(word)))
-        return p
-
-    def evidence(self, words: list[str]) -> float | None:
-        """The noisy-or over a text's words; None if none of them counts."""
-        clear, found = 1.0, [p for p in map(self.word, set(words)) if p]
-        for p in sorted(found):
+        self.begun = {f[:-1] for f in weights if f[0] == "^"}
+
+    def evidence(self, found) -> float | None:
+        """The noisy-or over features, of which a family's best one counts; None if none has a weight."""
+        best: dict[str, float] = {}
+        for f in found:
+            p = self.weights.get(f, 0.0)
+            if p > best.get(of := family(f), 0.0):
+                best[of] = p
+        clear = 1.0
+        for p in sorted(best.values()):
             clear *= 1.0 - p
-        return 1.0 - clear if found else None
+        return 1.0 - clear if best else None
+
+    def _marks(self, word: str) -> list[str] | None:
+        """The word if it has a weight, and its beginnings that may come to have one."""
+        if len(self.memo) > 300_000:
+            self.memo.clear()
+        found = [word] if word in self.weights else []
+        found += [f for n in BEGINNINGS if len(word) >= n and (f := f"^{word[:n]}") in self.begun]
+        self.memo[word] = found or None
+        return found or None
+
+    def weighted(self, words: list[str]) -> set[str]:
+        """Those of the text's features that have a weight."""
+        memo, out, counts = self.memo, set(), Counter()
+        for w in words:
+            marks = memo[w] if w in memo else self._marks(w)
+            for f in marks or ():
+                if f[0] == "^":
+                    counts[f] += 1
+                    f = f"{f}{counts[f]}"
+                if f in self.weights:
+                    out.add(f)
+        return out
 
     def score(self, words: list[str]) -> float:
-        raw = self.evidence(words)
+        raw = self.evidence(self.weighted(words))
         if raw is None:
             return self.base
         k = int(np.searchsorted(self.edges, raw, "right")) - 1
@@ -224,7 +266,7 @@ class Model:
 
 def fit(
     docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = 20_000, least_share: float = 0.6, least_contexts: int = 5, prior: float = 4.0, most_words: int = 50_000,
+    sample: int = 20_000, least_share: float = 0.6, least_contexts: int = 5, prior: float = 4.0,
 ) -> Model:
     """Learn from the labelled documents for which the column ``learn(id)`` is true."""
     channel = fit_channel(docs, text_col)
@@ -237,34 +279,77 @@ def fit(
     base = toxic / (toxic + clean)
     # at most ``sample`` ids of each class
     chosen = [given.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample) for y in (1, 0)]
-    taught = docs.select(id_col, text_col).join(F.broadcast(chosen[0].union(chosen[1])), id_col).select("y", text_col)
+    taught = docs.select(id_col, text_col).join(F.broadcast(chosen[0].union(chosen[1])), id_col)
+    # equal texts share a fold
+    taught = taught.select(F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(text_col), F.lit(FOLDS)).cast("int").alias("fold"), text_col)
+    read = materialise(_read(taught, channel), "labelled-features")
     up, down = toxic / min(toxic, sample), clean / max(1, min(clean, sample))
-    weights: dict[str, float] = {}
-    for of in (lambda w: (w,), prefixes):
-        found = _evidence(taught, Model(channel, weights, 0.0), of, least_contexts, most_words)
-        for feature, a, b in found:
-            share = (a * up + prior * base) / (a * up + b * down + prior)
-            if share >= least_share:
-                weights[feature] = min(share, 0.99)
-    model = Model(channel, weights, min(base, 0.1) / 4)
-    model.edges, model.levels = _calibration(_histogram(taught, model), up, down, prior, base)
+    weights = _weights(read, up, down, prior, base, least_share, least_contexts)
+    model = Model(channel, weights[FOLDS], min(base, 0.1) / 4)
+    model.edges, model.levels = _calibration(_histogram(read, weights[:FOLDS]), up, down, prior, base)
     return model
 
 
-def _histogram(taught: DataFrame, model: Model, bins: int = 1000) -> list[tuple[float, int, int]]:
-    """(least evidence, toxic documents, other documents) of each bin of evidence that documents (y, text) fall into."""
-    shared = taught.sparkSession.sparkContext.broadcast(model)
+def _read(taught: DataFrame, channel: Channel) -> DataFrame:
+    """(y, fold, found array<struct<feature, before>>) of documents (y, fold, text): all that is learned from, read once."""
+    shared = taught.sparkSession.sparkContext.broadcast(channel)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for batch in batches:
+            start, names, befores, ends = 0, [], [], []
+            for i, (y, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                found = features(reader.words(text))
+                names += found.keys()
+                befores += found.values() if y else [""] * len(found)
+                ends.append(len(names))
+                if len(names) > 200_000 or i == batch.num_rows - 1:
+                    pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(befores, pa.string())], ["feature", "before"])
+                    lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pairs)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i + 1 - start), batch.column(1).slice(start, i + 1 - start), lists], ["y", "fold", "found"])
+                    start, names, befores, ends = i + 1, [], [], []
+
+    return taught.mapInArrow(run, "y int, fold int, found array<struct<feature:string, before:string>>")
+
+
+def _weights(read: DataFrame, up: float, down: float, prior: float, base: float, least_share: float, least_contexts: int) -> list[dict[str, float]]:
+    """For each fold the features' probabilities by the other folds, and at last those by all.
+
+    Only features of ``least_share`` and more leave Spark; their number is bounded by the sample of toxic documents.
+    """
+    each = read.select("y", "fold", F.explode("found").alias("x")).select("y", "fold", "x.feature", "x.before")
+    in_fold = [(F.col("fold") == k).cast("long") for k in range(FOLDS)]
+    pairs = each.where("y = 1").groupBy("feature", "before").agg(*(F.sum(x).alias(f"a{k}") for k, x in enumerate(in_fold)))
+    every = sum(F.col(f"a{k}") for k in range(FOLDS))
+    hits = pairs.groupBy("feature").agg(*(F.sum(f"a{k}").alias(f"a{k}") for k in range(FOLDS)), *(F.count_if(every > (F.col(f"a{k}") if k < FOLDS else 0)).alias(f"contexts{k}") for k in range(FOLDS + 1)))
+    others = each.where("y = 0").groupBy("feature").agg(*(F.sum(x).alias(f"b{k}") for k, x in enumerate(in_fold)))
+    both = hits.where(f"contexts{FOLDS} >= {least_contexts}").join(others, "feature", "left").na.fill(0)
+    a, b = (sum(F.col(f"{c}{k}") for k in range(FOLDS)) for c in "ab")
+    shares = []
+    for k in range(FOLDS + 1):
+        mine, its = (a - F.col(f"a{k}"), b - F.col(f"b{k}")) if k < FOLDS else (a, b)
+        share = (mine * up + prior * base) / (mine * up + its * down + prior)
+        shares.append(F.when((F.col(f"contexts{k}") >= least_contexts) & (share >= least_share), F.least(share, F.lit(0.99))).alias(f"p{k}"))
+    found = both.select("feature", *shares).where(F.coalesce(*(F.col(f"p{k}") for k in range(FOLDS + 1))).isNotNull()).collect()
+    return [{r.feature: r[f"p{k}"] for r in found if r[f"p{k}"] is not None} for k in range(FOLDS + 1)]
+
+
+def _histogram(read: DataFrame, weights: list[dict[str, float]], bins: int = 1000) -> list[tuple[float, int, int]]:
+    """(least evidence, toxic documents, other documents) of each bin of evidence, by the weights of each document's fold."""
+    shared = read.sparkSession.sparkContext.broadcast(weights)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = Reader(shared.value.channel), Counter()
+        models, seen = [Model(None, w, 0.0) for w in shared.value], Counter()
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = shared.value.evidence(reader.words(text))
+            lists = batch.column(2)
+            names, ends = lists.flatten().field(0).to_pylist(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for y, fold, start, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends], ends):
+                raw = models[fold].evidence(names[start:end])
                 if raw is not None:
                     seen[y, int(raw * bins)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([b for _, b in seen], pa.int32()), pa.array([n if y else 0 for (y, _), n in seen.items()], pa.int64()), pa.array([0 if y else n for (y, _), n in seen.items()], pa.int64())], ["bin", "a", "b"])
 
-    found = taught.mapInArrow(count, "bin int, a long, b long").groupBy("bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    found = read.mapInArrow(count, "bin int, a long, b long").groupBy("bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
     return sorted((r.bin / bins, r.a, r.b) for r in found)
 
 
@@ -281,50 +366,10 @@ def _calibration(histogram: list[tuple[float, int, int]], up: float, down: float
     return np.array([p[0] for p in pools]), np.maximum.accumulate(np.array(levels)) if levels else np.zeros(0)
 
 
-def _evidence(taught: DataFrame, so_far: Model, of, least_contexts: int, most: int) -> list[tuple[str, int, int]]:
-    """(feature, toxic documents, other documents), over (y, text) that the model so far doesn't explain."""
-    sc = taught.sparkSession.sparkContext
-    shared = sc.broadcast(so_far)
-
-    def unexplained(batch: pa.RecordBatch, reader: Reader) -> Iterator[list[str]]:
-        for text in batch.column(1).to_pylist():
-            words = reader.words(text)
-            if not any(map(shared.value.word, set(words))):
-                yield words
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value.channel)
-        for batch in batches:
-            seen: Counter = Counter()
-            for words in unexplained(batch, reader):
-                # each feature of the document once, with the word before its first occurrence
-                first = {}
-                for before, w in zip(["", *words], words):
-                    for f in of(w):
-                        first.setdefault(f, before)
-                seen.update(first.items())
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["word", "before", "n"])
-
-    hits = taught.where("y = 1").mapInArrow(contexts, "word string, before string, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
-    hits = hits.groupBy("word").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    top = hits.where((F.col("contexts") >= least_contexts) & (F.length("word") > 2)).orderBy(F.desc("n"), "word").limit(most).collect()
-    candidates = sc.broadcast({r.word for r in top})
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = Reader(shared.value.channel), Counter()
-        for batch in batches:
-            for words in unexplained(batch, reader):
-                seen.update({f for w in set(words) for f in of(w)} & candidates.value)
-        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-
-    others = {r.word: r.n for r in taught.where("y = 0").mapInArrow(occurrences, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return [(r.word, r.n, others.get(r.word, 0)) for r in top]
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): from 0 to 1, higher for likelier toxic texts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of trigrams and at most ``most_words`` words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of trigrams, and words bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

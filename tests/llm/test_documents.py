@@ -66,7 +66,7 @@ def brute_signature(text):
         k = seen[x]
         seen[x] += 1
         u.append((x, k))
-    u = np.array([int(orderhash.mix(np.array([(x + k * int(orderhash.BASE)) % (1 << 64)], np.uint64))[0]) if max(seen.values()) > 1 else x for x, k in u], np.uint64)
+    u = np.array([int(orderhash.mix(np.array([(x + k * int(orderhash.BASE)) % (1 << 64)], np.uint64))[0]) for x, k in u], np.uint64)
     out = []
     for s, f in enumerate(orderhash.FACTORS):
         best = sorted(range(len(u)), key=lambda i: (int(f * u[i]), i))[: orderhash.DEPTH]

@@ -87,16 +87,16 @@ def brute_links(rows, least):
     return [(i, j) for i in range(len(rows)) for j in range(i) if ok(i, j)]
 
 
-@pytest.mark.parametrize("tile", [8, 1024])
-def test_vectors(spark, tile):
+@pytest.mark.parametrize(("tile", "kind", "options"), [(8, "float", {}), (1024, "double", {"window": 8}), (16, "double", {"exact": True})])
+def test_vectors(spark, tile, kind, options):
     ship(spark)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 16))
     near = [c + 0.04 * rng.standard_normal(16) for c in centres for _ in range(int(rng.integers(1, 14)))]
     rows = [(i, [float(x) for x in v], int(i % 2)) for i, v in enumerate(near)]
     rows += [(1000, rows[0][1], rows[0][2]), (1001, rows[0][1], rows[0][2]), (1002, rows[0][1], None), (1003, None, 1), (1004, [0.0] * 16, 1), (1005, [1.0, None] * 8, 0), (1006, [float("nan")] * 16, 0), (1007, [1.0, 2.0], 0), (1008, [2.0, 4.0], 0), (1009, [], 1), (1010, [float("inf")] * 16, 1)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "'z' AS v", "'z' AS node", "'z' AS pass", "'z' AS copies").repartition(3)
-    got = {r.vec_id: r for r in embeddings.near_duplicates(d, tile=tile).collect()}
+    d = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").selectExpr("*", "'z' AS v", "'z' AS node", "'z' AS pass", "'z' AS copies", "'z' AS grp").repartition(3)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(d, tile=tile, **options).collect()}
     pairs = brute_links(rows, 0.93)
     degree, want = np.zeros(len(rows), int), components(len(rows), pairs)
     for i, j in pairs:
@@ -106,3 +106,29 @@ def test_vectors(spark, tile):
     for k, (i, *_) in enumerate(rows):
         assert (got[i].n_links, got[i].component_id) == (degree[k], rows[want[k]][0]) and got[i].kept == (i == rows[want[k]][0])
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_doubles_and_repeated_ids(spark):
+    """Components beyond single precision keep their values, and an id may have several vectors."""
+    ship(spark)
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, -1e200], 0), (3, [1e-300, 1e-300], 0), (4, [1.0, 1.0 + 1e-12], 0), (5, [1.0, -1.0], 0), (5, [0.0, 1.0], 0), (6, [1.0, 0.0], None), (6, [1.0, 0.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 1, 2), (3, 2, 1), (4, 2, 1), (5, 0, 5), (5, 1, 2), (6, 0, 6), (6, 0, 6)]
+
+
+def test_passes_meet_what_they_promise(spark):
+    """One large label with pairs right above the threshold, with a small window: rounds find all that exact tiles find."""
+    ship(spark)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((3000, 32))
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.931, 0.97, (3000, 1))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * off]))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    want = {r.vec_id: r.component_id for r in embeddings.near_duplicates(d, exact=True).collect()}
+    assert sum(i != c for i, c in want.items()) >= 3000
+    assert {r.vec_id: r.component_id for r in embeddings.near_duplicates(d, window=64).collect()} == want
+    assert embeddings.passes_for(64, 0.93, 64) == 1 < embeddings.passes_for(10**4, 0.93) < embeddings.passes_for(10**6, 0.93)

@@ -5,7 +5,7 @@ into tiles by the population counts of their two halves. Two fingerprints that
 differ in r bits have counts that differ by r at most in sum, so a tile meets only
 the tiles whose counts are that near; within a tile, the counts of quarters rule out
 more blocks. What is left is compared with numpy's exclusive-or and bit counts.
-Tiles have a bounded size: a home tile is held, the others stream past it.
+Tiles have a bounded size, see ``tiles``.
 
 Equal fingerprints are one node, so large groups of copies cost nothing, and a tile
 hands on only links that join something new; components come from those.
@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
 from .components import connected_components
 from .durable import materialise
 
@@ -86,95 +87,20 @@ def near(home: np.ndarray, guest: np.ndarray, radius: int, block: int = 1 << 19)
                 yield ho[at[found_h]], go[i + found_g]
 
 
-class Tile:
-    """A held home tile: compares itself and its guests and returns only links that join something new."""
-
-    def __init__(self, held: np.ndarray, radius: int):
-        self.held, self.radius, self.root = held, radius, np.arange(len(held))
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in near(held, held, radius):
-            self._join(i, j)
-
-    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.root[i], self.root[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            high, first = np.unique(np.maximum(a, b), return_index=True)
-            # each of these roots hangs on a smaller one, so no ring can form
-            up = np.arange(len(self.root))
-            up[high] = np.minimum(a, b)[first]
-            while (up != up[up]).any():
-                up = up[up]
-            self.root = up[self.root]
-            self.new.append((self.held[i[first]], self.held[j[first]]))
-
-    def meet(self, guests: np.ndarray) -> None:
-        partner = np.full(len(guests), -1)
-        for h, g in near(self.held, guests, self.radius):
-            fresh, first = np.unique(g[partner[g] < 0], return_index=True)
-            partner[fresh] = h[partner[g] < 0][first]
-            self.new.append((self.held[partner[fresh]], guests[fresh]))
-            self._join(partner[g], h)
-
-    def take(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """The links found since the last call."""
-        new, self.new = [x for x in self.new if len(x[0])], []
-        return tuple(np.concatenate(x).view(np.int64) for x in zip(*new)) if new else None
-
-
-def tile_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links among rows (p, q, chunk, guest, fp) sorted by all but the last: a home tile, then its guests, and so on."""
-    key, home, tile = None, [], None
-
-    def told(found) -> Iterator[pa.RecordBatch]:
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-
-    def closed() -> Tile | None:
-        return tile or (Tile(np.concatenate(home).view(np.uint64), radius) if home else None)
-
-    for batch in batches:
-        p, q, c, guest, fp = (batch.column(i).to_numpy() for i in range(5))
-        cut = np.flatnonzero((np.diff(p) != 0) | (np.diff(q) != 0) | (np.diff(c) != 0) | (np.diff(guest) != 0)) + 1
-        for i, j in zip([0, *cut], [*cut, len(fp)]):
-            if i == j:
-                continue
-            if (p[i], q[i], c[i]) != key:
-                if (last := closed()) is not None:
-                    yield from told(last.take())
-                key, home, tile = (p[i], q[i], c[i]), [], None
-            if not guest[i]:
-                home.append(fp[i:j].copy())
-            elif home:
-                tile = closed()
-                tile.meet(fp[i:j].copy().view(np.uint64))
-                yield from told(tile.take())
-    if (last := closed()) is not None:
-        yield from told(last.take())
-
-
-def links(distinct: DataFrame, radius: int = 3, tile: int = 8192) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, tile: int = 1 << 17) -> DataFrame:
     """(a, b): links that connect whatever is connected by pairs of fingerprints within the radius.
 
-    ``distinct`` has a column fp without repeats or nulls.
+    ``distinct`` has a column fp without repeats or nulls. A cell is ``radius + 1`` population counts wide in either half, so
+    a fingerprint meets the cells beside its own alone; quarters rule out more within a tile.
     """
-    spark = distinct.sparkSession
-    halves = distinct.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("p"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("q"))
-    # at most 33 x 33 cells, so this table may be broadcast
-    cells = materialise(halves.groupBy("p", "q").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")), "cells")
-    chunked = halves.join(F.broadcast(cells), ["p", "q"]).select("fp", "p", "q", F.pmod(F.xxhash64("fp"), "chunks").cast("int").alias("chunk"))
-    home = chunked.select("p", "q", "chunk", F.lit(0).alias("guest"), "fp")
-    same = chunked.where("chunk > 0").select("p", "q", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("chunk"), F.lit(1).alias("guest"), "fp")
-    steps = [(d, e) for d in range(radius + 1) for e in range(-radius, radius + 1) if (d, e) > (0, 0) and d + abs(e) <= radius]
-    step = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(e).alias("e")) for d, e in steps)))
-    moved = chunked.select("fp", "p", "q", step.alias("s")).select("fp", (F.col("p") - F.col("s.d")).alias("p"), (F.col("q") - F.col("s.e")).alias("q"))
-    other = moved.join(F.broadcast(cells), ["p", "q"]).select("p", "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("guest"), "fp")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = home.union(same).union(other).repartition(n, "p", "q", "chunk").sortWithinPartitions("p", "q", "chunk", "guest")
-    return dealt.mapInArrow(lambda batches: tile_links(batches, radius), "a long, b long")
+    wide = radius + 1
+    halves = (F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))))
+    rows = distinct.select("fp", *((h / wide).cast("int").alias(c) for h, c in zip(halves, "pq")))
+
+    def find(home: np.ndarray, guest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return near(home[:, 0].view(np.uint64), guest[:, 0].view(np.uint64), radius)
+
+    return tiles.links(rows, ["fp"], [(1, -1), (1, 0), (1, 1), (0, 1)], find, tile)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:

@@ -10,13 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Month names in English, Italian and Spanish, without accents.
-MONTHS = [
-    "january gennaio enero", "february febbraio febrero", "march marzo", "april aprile abril", "may maggio mayo", "june giugno junio",
-    "july luglio julio", "august agosto", "september settembre septiembre", "october ottobre octubre", "november novembre noviembre", "december dicembre diciembre",
-]
-
-#: Weekday names from Monday, in the same languages.
-WEEKDAYS = ["monday lunedi lunes", "tuesday martedi martes", "wednesday mercoledi miercoles", "thursday giovedi jueves", "friday venerdi viernes", "saturday sabato sabado", "sunday domenica domingo"]
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
+    "gennaio": 1, "febbraio": 2, "marzo": 3, "aprile": 4, "maggio": 5, "giugno": 6, "luglio": 7, "agosto": 8, "settembre": 9, "ottobre": 10, "novembre": 11, "dicembre": 12,
+    "enero": 1, "febrero": 2, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "septiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12,
+}
+
+#: Weekday names in the same languages, numbered from Monday; the first that a text has counts.
+WEEKDAYS = {
+    "monday": 0, "tuesday": 1, "wednesday": 2, "thursday": 3, "friday": 4, "saturday": 5, "sunday": 6,
+    "lunedi": 0, "martedi": 1, "mercoledi": 2, "giovedi": 3, "venerdi": 4, "sabato": 5, "domenica": 6,
+    "lunes": 0, "martes": 1, "miercoles": 2, "jueves": 3, "viernes": 4, "sabado": 5, "domingo": 6,
+}
 
 #: Patterns of the expressions, on lower-case text without accents.
 TODAY, YESTERDAY, TOMORROW = r"\b(today|oggi|hoy)\b", r"\b(yesterday|ieri|ayer)\b", r"\b(tomorrow|domani|manana)\b"
@@ -31,8 +36,11 @@ ANY_DATE = r"(\d{4}-\d{2}-\d{2}|[A-Za-zÀ-ÿ]+\s+\d{1,2}(?:,?\s+\d{4})?|\d{1,2}\
 FULL_DATE = r"(\d{4}-\d{2}-\d{2}|[A-Za-zÀ-ÿ]+\s+\d{1,2},\s*\d{4}|\d{1,2}\s+[A-Za-zÀ-ÿ]+\s+\d{4})"
 ISO, MONTH_DAY, DAY_MONTH = r"^\s*(\d{4})-(\d{2})-(\d{2})\s*$", r"^\s*([A-Za-zÀ-ÿ]+)\s+(\d{1,2})(?:,?\s*(\d{4}))?\s*$", r"^\s*(\d{1,2})\s+([A-Za-zÀ-ÿ]+)(?:\s+(\d{4}))?\s*$"
 
-#: Letters that lose their accents, and what they become.
-ACCENTED, BARE = "àáèéìíòóùúñ", "aaeeiioouun"
+#: Letters that change, and what they become. Capitals with accents stay, but for Ñ.
+CAPITALS, ACCENTED, BARE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáèéìíòóùúñÑ", "aaeeiioouunn"
+
+#: Months that "... months ago" may lead back.
+MOST_MONTHS = 20_000
 
 OPEN_START, OPEN_END = -(2**63), 2**63 - 1
 
@@ -43,8 +51,8 @@ def bound(value: Column, use) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """Lower case without the accents of the three languages."""
-    return F.translate(F.lower(text), ACCENTED, BARE)
+    """ASCII lower case without the accents of the three languages."""
+    return F.translate(text, CAPITALS + ACCENTED, CAPITALS.lower() + BARE)
 
 
 def utc_day(seconds: Column) -> Column:
@@ -69,12 +77,8 @@ def time_ago(seconds: Column) -> Column:
     return F.when(seconds < 60, "just now").when(seconds < 3600, part(60, "m")).when(seconds < 86400, part(3600, "h")).otherwise(part(86400, "d"))
 
 
-def _numbered(names: list[str], first: int) -> dict[str, int]:
-    return {word: i + first for i, line in enumerate(names) for word in line.split()}
-
-
 def month_number(name: Column) -> Column:
-    pairs = [F.lit(x) for kv in _numbered(MONTHS, 1).items() for x in kv]
+    pairs = [F.lit(x) for kv in MONTHS.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), plain(name))
 
 
@@ -140,11 +144,13 @@ def _window(text: Column, today: Column) -> Column:
     year = F.year(date)
 
     def ago(m: Column) -> Column:
-        count, unit = m[0].try_cast("int"), m[1]
-        return F.when(unit.isin("day", "days", "giorni", "dias"), today - count).when(unit.isin("week", "weeks", "settimane", "semanas"), today - 7 * count).otherwise(day_of(F.add_months(date, -count)))
+        # a count that leads out of the calendar gives no window
+        count, unit = m[0].try_cast("int").cast("long"), m[1]
+        months = F.when(count <= MOST_MONTHS, day_of(F.add_months(date, -count.cast("int"))))
+        return F.when(unit.isin("day", "days", "giorni", "dias"), today - count).when(unit.isin("week", "weeks", "settimane", "semanas"), today - 7 * count).otherwise(months)
 
     found = F.array(F.coalesce(*(_group(text, AGO, i) for i in (1, 3, 5))), F.coalesce(*(_group(text, AGO, i) for i in (2, 4, 6))))
-    weekday = F.coalesce(*(F.when(text.rlike(rf"\b({name})\s+(last|scorso|pasado)\b"), F.lit(day)) for name, day in _weekdays_in_order()))
+    weekday = F.coalesce(*(F.when(text.rlike(rf"\b({name})\s+(last|scorso|pasado)\b"), F.lit(day)) for name, day in WEEKDAYS.items()))
     last = bound(weekday, lambda w: bound(F.pmod(F.weekday(date) - w, F.lit(7)), lambda back: today - F.when(back == 0, 7).otherwise(back)))
     monday, month, new_year = day_of(F.trunc(date, "week").cast("date")), F.trunc(date, "month"), F.trunc(date, "year")
     since = bound(first_date(_group(text, BOUND, 2), year), lambda d: F.when(d.isNotNull(), F.when(_group(text, BOUND, 1) == "since", _span(d, F.lit(OPEN_END))).otherwise(_span(F.lit(OPEN_START), d))))
@@ -160,11 +166,6 @@ def _window(text: Column, today: Column) -> Column:
     return F.coalesce(fixed, since, in_month, _one(parse_date(_group(text, ON_DAY, 1), year)), _one(first_date(text, year)))
 
 
-def _weekdays_in_order() -> list[tuple[str, int]]:
-    """By language, then by day: the first name that matches counts."""
-    return [(line.split()[language], day) for language in range(3) for day, line in enumerate(WEEKDAYS)]
-
-
 def in_window(created: Column, days: Column, start: Column, end: Column) -> Column:
     """Whether a row was created, or mentions a day, in a window."""
     inside = lambda d: (d >= start) & (d < end)

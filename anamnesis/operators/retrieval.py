@@ -3,13 +3,17 @@
 Queries are a small table and memories a large one. Up to ``BROADCAST_QUERIES`` queries
 are sent to the executors, each of which multiplies blocks of memories with them and
 keeps the best k per block, so that memories are read once and never shuffled; a
-window then keeps the best k of all. More queries are cut into blocks of that size, and
-every block is one such pass over the memories.
+window then keeps the best k of all. More queries never reach the driver: they are dealt over
+blocks of about that size, memories over chunks, and every block meets every chunk in
+a unit of its own.
+
+Within a task, scores are computed ``CELLS`` at a time, whatever the sizes of both sides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +23,22 @@ from pyspark.sql import functions as F
 from ..config import NOW
 from ..functions.vector import matrix, unit_rows
 
-BROADCAST_QUERIES = 20_000
+BROADCAST_QUERIES, MEMORY_CHUNK, CELLS, COLUMNS_AT_ONCE = 20_000, 200_000, 1 << 20, 2048
 
 
 class Queries:
     """Queries as a matrix: ids, agents, unit vectors and windows of days."""
 
-    def __init__(self, rows: list):
-        self.ids = np.array([r.query_id for r in rows], np.int64)
-        self.agents = np.array([r.agent_id or "" for r in rows], object)
-        dims = {len(r.query_emb) for r in rows if r.query_emb is not None}
+    def __init__(self, ids: list, agents: list, vectors: list, start: list | None = None, end: list | None = None):
+        self.ids = np.array(ids, np.int64)
+        self.agents = np.array([a or "" for a in agents], object)
+        dims = {len(v) for v in vectors if v is not None}
         if len(dims) > 1:
             raise ValueError(f"queries have vectors of {sorted(dims)} components")
         self.dim = dims.pop() if dims else 0
-        self.vectors = unit_rows(np.array([r.query_emb if r.query_emb is not None else [0.0] * self.dim for r in rows], float).reshape(len(rows), self.dim))
-        has = [getattr(r, "start_day", None) is not None for r in rows]
-        self.has = np.array(has)
-        self.start = np.array([r.start_day if h else 0 for r, h in zip(rows, has)], np.int64)
-        self.end = np.array([r.end_day if h else 0 for r, h in zip(rows, has)], np.int64)
+        self.vectors = unit_rows(np.array([v if v is not None else [0.0] * self.dim for v in vectors], float).reshape(len(ids), self.dim))
+        self.has = np.array([x is not None for x in start or [None] * len(ids)])
+        self.start, self.end = (np.array([x if h else 0 for x, h in zip(days or [0] * len(ids), self.has)], np.int64) for days in (start, end))
 
 
 def blocks_of_queries(queries: DataFrame) -> Iterator[list]:
@@ -50,58 +52,156 @@ def blocks_of_queries(queries: DataFrame) -> Iterator[list]:
         yield rows
 
 
+#: Given queries and a batch (id, agent_id, created_at, vectors..., mentioned_days), yields batches of results.
+Meet = Callable[[Queries, pa.RecordBatch], Iterator[pa.RecordBatch]]
+
+
+def meet(queries: DataFrame, memories: DataFrame, vectors: list[str], task: Meet, schema: str, days: bool = False) -> DataFrame:
+    """``task`` over all queries and all memories; its results for parts of both are put together."""
+    spark = queries.sparkSession
+    columns = ["id", "agent_id", "created_at", *vectors] + (["mentioned_days"] if days else [])
+    narrow = memories.select([F.coalesce(c, F.lit(float("nan"))).alias(c) if c == "created_at" else c for c in columns])
+    windows = [c for c in ("start_day", "end_day") if c in queries.columns]
+    rows = queries.select("query_id", "agent_id", "query_emb", *windows).limit(BROADCAST_QUERIES + 1).collect()
+    if len(rows) <= BROADCAST_QUERIES:
+        shared = spark.sparkContext.broadcast(Queries([r.query_id for r in rows], [r.agent_id for r in rows], [r.query_emb for r in rows], *([r[c] for r in rows] for c in windows)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from task(shared.value, batch)
+
+        return narrow.mapInArrow(run, schema)
+    blocks, chunks = (-(-df.count() // size) for df, size in ((queries, BROADCAST_QUERIES), (memories, MEMORY_CHUNK)))
+    kinds = {c: narrow.schema[c].dataType.simpleString() for c in columns[3:]}
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias(name)
+    asked = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(chunks, "chunk"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), "agent_id", F.lit(0.0).alias("created_at"),
+        F.col("query_emb").cast("array<double>").alias("query_emb"), *(F.col(c).cast("long").alias(c) for c in windows), *nothing)
+    held = narrow.select(
+        each(blocks, "block"), F.pmod(F.xxhash64("id"), F.lit(max(chunks, 1))).cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), "agent_id", F.col("created_at").cast("double").alias("created_at"),
+        F.lit(None).cast("array<double>").alias("query_emb"), *(F.lit(None).cast("long").alias(c) for c in windows), *columns[3:])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.union(held).repartition(n, "block", "chunk").sortWithinPartitions("block", "chunk", "side")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, q = None, [], None
+        for batch in batches:
+            block, chunk, side = (batch.column(i).to_numpy() for i in range(3))
+            cut = np.flatnonzero((np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1
+            for i, j in zip([0, *cut], [*cut, len(block)]):
+                if i == j:
+                    continue
+                if (block[i], chunk[i]) != key:
+                    key, parts, q = (block[i], chunk[i]), [], None
+                part = batch.slice(i, j - i)
+                if side[i] == 0:
+                    parts.append([part.column(k).to_pylist() for k in (3, 4, 6, *range(7, 7 + len(windows)))])
+                elif parts:
+                    q = q or Queries(*([x for p in c for x in p] for c in zip(*parts)))
+                    yield from task(q, pa.RecordBatch.from_arrays([part.column(k) for k in (3, 4, 5, *range(7 + len(windows), part.num_columns))], columns))
+
+    return dealt.mapInArrow(unit, schema)
+
+
+def score_blocks(q: Queries, batch: pa.RecordBatch, vectors: int, unit: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, memories by id, similarity): blocks of pairs that the agents allow, by the largest cosine over the vectors.
+
+    Stored vectors are unit vectors unless ``unit`` asks for a division by their length. A similarity of -2 says that there is none.
+    """
+    agents = np.array([a or "" for a in batch.column(1).to_pylist()], object)
+    sides = [matrix(batch.column(3 + i), q.dim) for i in range(vectors)]
+    if unit:
+        sides = [(unit_rows(x), good) for x, good in sides]
+    by_id = np.argsort(batch.column(0).to_numpy(), kind="stable")
+    for agent in dict.fromkeys(agents):
+        mine = by_id[agents[by_id] == agent]
+        seeing = np.flatnonzero(q.agents == agent) if agent else np.arange(len(q.ids))
+        if not len(seeing) or not q.dim:
+            continue
+        for m in range(0, len(mine), COLUMNS_AT_ONCE):
+            part = mine[m : m + COLUMNS_AT_ONCE]
+            held = [(x[part].T.copy(), good[part]) for x, good in sides]
+            step = max(1, CELLS // len(part))
+            for s in range(0, len(seeing), step):
+                asked, similarity = seeing[s : s + step], None
+                for x, good in held:
+                    one = q.vectors[asked] @ x
+                    if not good.all():
+                        one[:, ~good] = -2.0
+                    similarity = one if similarity is None else np.maximum(similarity, one, out=similarity)
+                yield asked, part, similarity
+
+
+def _best(
+    q: Queries, batch: pa.RecordBatch, vectors: int, k: int, least: float, boost: float, mode: str, decay_days: float | None, temporal_boost: float, now: float, unit: bool, earlier: bool,
+) -> Iterator[pa.RecordBatch]:
+    ids, created = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+    own = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (np.array(batch.column(1).to_pylist(), object) != "")
+    mentioned = batch.column(3 + vectors).to_pylist() if temporal_boost else None
+    found = []
+    for asked, part, similarity in score_blocks(q, batch, vectors, unit):
+        factor = boost if own[part[0]] else 1.0
+        hit = similarity * factor >= least
+        if earlier:
+            hit &= ids[part] < q.ids[asked][:, None]
+        r, c = np.nonzero(hit)
+        if not len(r):
+            continue
+        similar = similarity[r, c]
+        score = similar * factor
+        if decay_days is not None:
+            recent = np.clip(1.0 - (now - created[part]) / 3600.0 / (24.0 * decay_days), 0.5, 1.0) if decay_days > 0 else np.full(len(part), 0.5)
+            score = score * recent[c] if mode == "legacy" else score + 0.001 * recent[c]
+        if temporal_boost:
+            score = score + temporal_boost * _in_window(q, asked, created[part], [mentioned[i] for i in part])[r, c]
+        score = np.round(score, 9)
+        counts = np.bincount(r, minlength=len(asked))
+        if counts.max() > k:  # columns are in the order of ids, so a stable order leaves ties to the lower id
+            order = np.argsort(-score, kind="stable")
+            order = order[np.argsort(r[order], kind="stable")]
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+            order = order[rank < k]
+            r, c, similar, score = r[order], c[order], similar[order], score[order]
+        found.append((q.ids[asked[r]], ids[part[c]], np.round(similar, 9), score))
+        if sum(len(x[0]) for x in found) > 1 << 20:
+            yield _rows(found)
+            found = []
+    if found:
+        yield _rows(found)
+
+
+def _rows(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "id", "similarity", "score"])
+
+
 def best_pairs(
     queries: DataFrame, memories: DataFrame, vectors: list[str], k: int, least: float, boost: float = 1.0, mode: str = "tiebreak",
-    decay_days: float | None = 30.0, temporal_boost: float = 0.0, now: float = NOW, days: bool = False,
+    decay_days: float | None = 30.0, temporal_boost: float = 0.0, now: float = NOW, days: bool = False, unit: bool = False, earlier: bool = False,
 ) -> DataFrame:
     """(query_id, id, similarity, score): per block of memories the best k of each query.
 
-    The similarity is the largest cosine over ``vectors`` (stored as unit vectors). Pairs whose boosted similarity is
-    under ``least`` don't count. ``decay_days`` of None leaves recency out of the score.
+    The similarity is the largest cosine over ``vectors`` (stored as unit vectors, unless ``unit`` is set). Pairs whose boosted similarity is
+    under ``least`` don't count, nor, with ``earlier``, memories whose id isn't below the query's. ``decay_days`` of None leaves recency out of the score.
     """
-    spark = queries.sparkSession
-    columns = ["id", "agent_id", "created_at", *vectors] + (["mentioned_days"] if days else [])
-    narrow = memories.select([F.coalesce(c, F.lit(float("nan"))).alias(c) if c == "created_at" else c for c in columns])
-    out = None
-    for rows in blocks_of_queries(queries):
-        shared = spark.sparkContext.broadcast(Queries(rows))
+    task = partial(
+        _best, vectors=len(vectors), k=k, least=least, boost=boost, mode=mode, decay_days=decay_days, temporal_boost=temporal_boost if days else 0.0, now=now, unit=unit, earlier=earlier)
+    return meet(queries, memories, vectors, task, "query_id long, id long, similarity double, score double", days)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                agents = np.array([a or "" for a in batch.column(1).to_pylist()], object)
-                created = batch.column(2).to_numpy(zero_copy_only=False)
-                sides = [matrix(batch.column(3 + i), q.dim) for i in range(len(vectors))]
-                found = []
-                for agent in dict.fromkeys(agents):
-                    mine = np.flatnonzero(agents == agent)
-                    seeing = np.flatnonzero(q.agents == agent) if agent else np.arange(len(q.ids))
-                    if not len(seeing) or not q.dim:
-                        continue
-                    similarity = np.full((len(seeing), len(mine)), -2.0)
-                    for x, good in sides:
-                        similarity = np.maximum(similarity, np.where(good[mine], q.vectors[seeing] @ x[mine].T, -2.0))
-                    base = similarity * (boost if agent else 1.0)
-                    score = base
-                    if decay_days is not None:
-                        recent = np.clip(1.0 - (now - created[mine]) / 3600.0 / (24.0 * decay_days), 0.5, 1.0) if decay_days > 0 else np.full(len(mine), 0.5)
-                        score = base * recent if mode == "legacy" else base + 0.001 * recent
-                    if days and temporal_boost:
-                        score = score + temporal_boost * _in_window(q, seeing, created[mine], [batch.column(3 + len(vectors))[int(i)].as_py() for i in mine])
-                    for r, s in enumerate(seeing):
-                        at = np.flatnonzero(base[r] >= least)
-                        if len(at) > k:
-                            at = at[np.lexsort((ids[mine[at]], -np.round(score[r, at], 9)))[:k]]
-                        if len(at):
-                            found.append((np.full(len(at), q.ids[s]), ids[mine[at]], similarity[r, at], score[r, at]))
-                if found:
-                    qs, ms, sims, scores = (np.concatenate(c) for c in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(ms), pa.array(np.round(sims, 9)), pa.array(np.round(scores, 9))], ["query_id", "id", "similarity", "score"])
-
-        part = narrow.mapInArrow(run, "query_id long, id long, similarity double, score double")
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, id long, similarity double, score double")
+
+def count_pairs(queries: DataFrame, memories: DataFrame, vectors: list[str], least: list[float], boost: float = 1.0) -> DataFrame:
+    """(least, pairs): how many pairs reach each boosted similarity; they are counted where they are found."""
+
+    def task(q: Queries, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        total = np.zeros(len(least), np.int64)
+        for _, part, similarity in score_blocks(q, batch, len(vectors)):
+            base = np.round(similarity * (boost if own[part[0]] else 1.0), 9)
+            total += [np.count_nonzero(base >= x) for x in least]
+        yield pa.RecordBatch.from_arrays([pa.array(least, pa.float64()), pa.array(total)], ["least", "pairs"])
+
+    found = meet(queries, memories, vectors, task, "least double, pairs long")
+    return found.groupBy("least").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
 
 
 def _in_window(q: Queries, seeing: np.ndarray, created: np.ndarray, mentioned: list) -> np.ndarray:

@@ -68,9 +68,7 @@ def agent_visibility(spark, d):
 @R.query("score_threshold", f"{BASE_SQL} SELECT least, count(*) AS pairs FROM pairs JOIN (SELECT unnest([0.2, 0.3, 0.4, 0.5]::DOUBLE[]) AS least) ON base >= least AND base >= 0.2 GROUP BY least")
 def score_threshold(spark, d):
     """How many pairs pass each threshold; all of them, not the top k."""
-    found = retrieval.best_pairs(queries(spark, d), memories(spark, d), ["user_emb", "assist_emb"], 1 << 30, 0.2, 1.2, decay_days=None)
-    each = F.explode(F.filter(F.array(*map(F.lit, (0.2, 0.3, 0.4, 0.5))), lambda t: F.col("score") >= t)).alias("least")
-    return found.select(each).groupBy("least").agg(F.count("*").alias("pairs"))
+    return retrieval.count_pairs(queries(spark, d), memories(spark, d), ["user_emb", "assist_emb"], [0.2, 0.3, 0.4, 0.5], 1.2)
 
 
 FACT_SQL = f"""WITH {QUERIES_SQL}, {FACTS_SQL}, f AS (SELECT f.*, lower(trim(regexp_replace(subject, '\\s+', ' ', 'g'))) || '|' || attribute AS key, lower(value) AS v FROM fact_inputs f),

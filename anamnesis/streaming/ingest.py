@@ -1,13 +1,12 @@
 """Ingest of exchanges as a stream: duplicates touch what is stored, the rest is appended.
 
 Rows count in the order of their ids: a row that is inserted can absorb later ones of its own batch. A batch is
-resolved as a set: rows like a stored memory are absorbed; among the rest, a row is inserted
-once all earlier rows like it are known to be absorbed. No agent's rows are gathered in one task.
+resolved as a set, see ``resolve``. No agent's rows are gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import both_mentioned_days
@@ -21,28 +20,31 @@ def as_queries(rows: DataFrame) -> DataFrame:
 
 
 def resolve(stored: DataFrame, incoming: DataFrame, threshold: float = 0.92) -> tuple[DataFrame, DataFrame]:
-    """(inserted rows of ``incoming``, touches (id, by, at)): ``at`` is the time of the row that touched a memory."""
+    """(inserted rows of ``incoming``, touches (id, by, at)): ``at`` is the time of the row that touched a memory.
+
+    A row goes in if no stored memory and no earlier row that goes in is alike; else it touches the one most alike. In each round
+    the rows without an earlier open row like them go in, and later rows like those are settled. Of all pairs of rows, only the best one
+    of each row and block of memories leaves a task.
+    """
     incoming = kept(incoming, "incoming")
+    alike = lambda a, b: retrieval.best_pairs(as_queries(a), b.withColumn("created_at", F.lit(0.0)), ["user_emb"], 1, max(threshold, 1e-12), decay_days=None, earlier=True)
     known = kept(retrieval.find_duplicates(as_queries(incoming), stored, threshold), "known")
-    fresh = incoming.join(known, incoming.id == known.query_id, "left_anti")
-    pairs = retrieval.best_pairs(as_queries(fresh), fresh.withColumn("created_at", F.lit(0.0)), ["user_emb"], 1 << 30, threshold, decay_days=None)
-    earlier = kept(pairs.where("id < query_id").select(F.col("query_id").alias("later"), F.col("id").alias("earlier"), "similarity"), "earlier")
-    open_ids, inserted = kept(fresh.select("id"), "open"), None
-    while open_ids.limit(1).count():
-        # a row without open or inserted earlier neighbours goes in; rows next to one that goes in are absorbed
-        waiting = earlier.join(open_ids.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"))
-        new = kept(open_ids.join(waiting, "id", "left_anti"), "inserted")
-        absorbed = earlier.join(new.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"))
+    light = kept(incoming.select("id", "agent_id", "user_emb").join(known.select(F.col("query_id").alias("id")), "id", "left_anti"), "open")
+    inserted, going = None, light
+    while going.limit(1).count():
+        waits = alike(going, going).select(F.col("query_id").alias("id")).distinct()
+        new = kept(going.join(waits, "id", "left_anti"), "inserted")
+        settled = kept(alike(going, new).select(F.col("query_id").alias("id")).distinct().union(new.select("id")), "settled")
         inserted = new if inserted is None else inserted.union(new)
-        open_ids = kept(open_ids.join(new.union(absorbed), "id", "left_anti"), "open")
-    rows = incoming if inserted is None else incoming.join(inserted, "id", "left_semi")
+        going = kept(going.join(settled, "id", "left_anti"), "open")
     if inserted is None:
-        return incoming.limit(0), known.select("id", F.col("query_id").alias("by")).join(incoming.select(F.col("id").alias("by"), F.col("created_at").alias("at")), "by")
-    near = earlier.join(inserted.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("query_id"), F.col("earlier").alias("id"), "similarity")
-    near = near.join(inserted.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(known)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    best = near.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", F.col("query_id").alias("by"))
-    return rows, best.join(incoming.select(F.col("id").alias("by"), F.col("created_at").alias("at")), "by").select("id", "by", "at")
+        rows, near = incoming.limit(0), known
+    else:
+        rows = incoming.join(inserted.select("id"), "id", "left_semi")
+        rest = incoming.join(inserted.select("id"), "id", "left_anti")
+        near = alike(rest, inserted).select("query_id", "id", "similarity").unionByName(known.select("query_id", "id", "similarity"))
+    best = near.groupBy("query_id").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("id"))
+    return rows, best.join(incoming.select(F.col("id").alias("query_id"), F.col("created_at").alias("at")), "query_id").select("id", F.col("query_id").alias("by"), "at")
 
 
 def read_store(spark: SparkSession, target: str) -> DataFrame:

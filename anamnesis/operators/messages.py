@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_tokens
+from .ordering import running_sums
 
 
 def message_tokens(role: Column, content: Column, counter=None) -> Column:
@@ -71,12 +72,27 @@ def inject(messages: DataFrame, contexts: DataFrame, mode: str) -> DataFrame:
 
 
 def sticky_keys(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, key): for each user turn, a hash of the agent and of everything up to it. ``messages`` may have agent_id."""
+    """(conv_id, turn, key): for each user turn, a hash of the agent and of everything up to it. ``messages`` may have agent_id.
+
+    A message counts by 120 bits of a digest of its place, role and text; the sums of those so far are hashed, so no list of messages is built.
+    """
     agent = F.coalesce(F.col("agent_id"), F.lit("")) if "agent_id" in messages.columns else F.lit("")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = F.concat(F.col("role"), F.lit("\x1f"), F.to_json(F.struct(F.col("text").alias("t"))))
-    so_far = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p"))).over(w)), lambda x: x["p"]), "\x1e")
-    return messages.withColumn("key", F.sha2(F.concat(agent, F.lit("\x1e"), so_far), 256)).where("role = 'user'").select("conv_id", "turn", "key")
+    digest = F.md5(F.concat_ws(":", F.col("turn").cast("string"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    digits = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+    m = messages.select("conv_id", "turn", "role", agent.alias("_agent"), digits(1).alias("_a"), digits(16).alias("_b"))
+    m = running_sums(m, ["conv_id"], [F.col("turn")], {"_x": F.col("_a"), "_y": F.col("_b")})
+    key = F.sha2(F.concat_ws(":", "_agent", F.col("_x").cast("string"), F.col("_y").cast("string")), 256)
+    return m.where("role = 'user'").select("conv_id", "turn", key.alias("key"))
+
+
+def request_key(messages: DataFrame) -> DataFrame:
+    """(conv_id, key): the first message's line with the current date, and the last message's text.
+
+    Retrieved context is added to the first message, so the key is the same before and after. Null without such a line.
+    """
+    ends = messages.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    date_line = F.nullif(F.regexp_extract("first", r"[^\r\n]*Current date[^\r\n]*", 0), F.lit(""))
+    return ends.select("conv_id", F.concat(date_line, F.lit("\n"), F.coalesce("last", F.lit(""))).alias("key"))
 
 
 def sticky_history(messages: DataFrame, cache: DataFrame) -> DataFrame:

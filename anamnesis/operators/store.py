@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import both_mentioned_days
-from ..functions.text import fact_key, normalised_component
+from ..functions.text import fact_key, normalised_component, split_sentences
+from .ordering import running_sums
 
 
 def of_agent(agent: str) -> Column:
@@ -47,10 +48,52 @@ def missing_sentences(memories: DataFrame, sentences: DataFrame, limit: int | No
     return found if limit is None else found.orderBy("id").limit(limit)
 
 
+def sentences(memories: DataFrame, embed=None) -> DataFrame:
+    """(memory_id, side, idx, start_byte, end_byte[, embedding]) of both sides; ``embed`` is a column function text -> vector."""
+    side = lambda name, column: F.struct(F.lit(name).alias("side"), F.coalesce(column, F.lit("")).alias("text"))
+    both = memories.select(F.col("id").alias("memory_id"), F.explode(F.array(side("u", "user_text"), side("a", "assist_text"))).alias("x"))
+    cut = both.select("memory_id", "x.side", "x.text", F.explode(split_sentences("x.text")).alias("s"))
+    columns = ["memory_id", "side", "s.idx", "s.start_byte", "s.end_byte"]
+    if embed is None:
+        return cut.select(columns)
+    # spans are of bytes and begin and end at characters
+    part = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("s.start_byte") + 1, F.col("s.end_byte") - F.col("s.start_byte")), "UTF-8")
+    return cut.select(*columns, embed(part).alias("embedding"))
+
+
+def fill_sentences(memories: DataFrame, stored: DataFrame, embed=None) -> DataFrame:
+    """The stored sentences and those of memories that lack them on a side; stored ones of such a memory are replaced."""
+    missing = missing_sentences(memories, stored)
+    new = sentences(memories.join(missing, "id", "left_semi"), embed)
+    kept = stored.join(missing.select(F.col("id").alias("memory_id")), "memory_id", "left_anti")
+    return kept.unionByName(new)
+
+
+def fill_days(memories: DataFrame, days: DataFrame) -> DataFrame:
+    """(memory_id, day): the index of days with those of memories that it lacks."""
+    missing = without(memories.select("id", "user_text", "assist_text", "created_at"), days, "id", "memory_id")
+    return days.select("memory_id", "day").unionByName(memory_days(missing))
+
+
+def positional_ages(memories: DataFrame, ages: DataFrame, now: float) -> DataFrame:
+    """Memories whose times are ``now`` less the age in hours of the same place: (agent_id, place, age_hours) from place 1 in the order of ids.
+
+    An agent whose numbers of memories and ages differ is an error; memories without any ages stay as they are.
+    """
+    placed = running_sums(memories, ["agent_id"], [F.col("id")], {"place": F.lit(1)})
+    both = placed.join(ages.withColumn("_told", F.lit(True)), ["agent_id", "place"], "full_outer")
+    counts = ages.groupBy("agent_id").agg(F.count("*").alias("ages"))
+    both = both.join(counts, "agent_id", "left")
+    fails = (F.col("id").isNull() | (F.col("ages").isNotNull() & F.col("_told").isNull()))
+    at = F.when(fails, F.raise_error(F.concat(F.lit("memories and ages don't match for "), F.coalesce("agent_id", F.lit("null")))).cast("double")).when(F.col("_told"), F.lit(now) - F.col("age_hours") * 3600.0)
+    times = {c: F.coalesce(at, F.col(c)).alias(c) for c in ("created_at", "updated_at")}
+    return both.select([times.get(c, F.col(c)) for c in memories.columns])
+
+
 def upsert(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The union with the new row winning for equal keys."""
+    """The union with the new row winning for equal keys; among several new ones with a key, a hash of the whole row decides."""
     both = rows.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc("_new"))
+    w = Window.partitionBy(*key).orderBy(F.desc("_new"), F.xxhash64(*rows.columns))
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
@@ -64,8 +107,9 @@ def evict(memories: DataFrame, per_agent: int, per_global: int) -> DataFrame:
     """What stays: the rows of each agent with the greatest last use plus a day per access."""
     weight = F.col("updated_at") + 86400 * F.col("access_count")
     w = Window.partitionBy("agent_id").orderBy(weight.desc(), F.desc("id"))
-    limit = F.when(F.col("agent_id").isNull(), per_global).otherwise(per_agent)
-    return memories.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    # two plain limits, which Spark applies before it shuffles
+    own, shared = (memories.where(who).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n") for who, most in ((F.col("agent_id").isNotNull(), per_agent), (F.col("agent_id").isNull(), per_global)))
+    return own.unionByName(shared)
 
 
 def expired(memories: DataFrame, ttl_days: float, now: float) -> DataFrame:

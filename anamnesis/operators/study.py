@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FOOTER, HEADER, estimate
 from ..functions.temporal import time_ago
+from .ordering import running_sums
 
 #: The boost of an agent's own memories, the weight of recency as a tie-break, the horizon in hours, the normal quantile of 95 %.
 BOOST, TIE, HORIZON, Z = 1.2, 1e-3, 24.0 * 30, 1.959963984540054
@@ -36,11 +37,11 @@ def line_tokens(most: int = 400) -> Column:
 
 def ranked(rows: DataFrame, score: str = "decay_tiebreak", most: int = 400) -> DataFrame:
     """Rows with score, rk, tokens, running tokens and running evidence; questions without evidence are left out."""
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    whole = Window.partitionBy("question_id")
-    r = score_variants(rows).withColumn("score", F.col(score)).withColumn("tokens", line_tokens(most)).withColumn("rk", F.row_number().over(w))
-    r = r.withColumn("cumulative_tokens", F.sum("tokens").over(w)).withColumn("found", F.sum(F.col("evidence").cast("int")).over(w)).withColumn("evidence_count", F.sum(F.col("evidence").cast("int")).over(whole))
-    return r.where("evidence_count > 0").withColumn("recall", F.col("found") / F.col("evidence_count")).withColumn("size", F.count("*").over(whole))
+    r = score_variants(rows).withColumn("score", F.col(score)).withColumn("tokens", line_tokens(most))
+    of = r.groupBy("question_id").agg(F.count_if("evidence").alias("evidence_count"), F.count("*").alias("size")).where("evidence_count > 0")
+    sums = {"rk": F.lit(1), "cumulative_tokens": F.col("tokens"), "found": F.col("evidence").cast("int")}
+    r = running_sums(r.join(of, "question_id"), ["question_id"], [F.desc("score"), F.col("id")], sums)
+    return r.withColumn("rk", F.col("rk").cast("int")).withColumn("recall", F.col("found") / F.col("evidence_count"))
 
 
 def profiles(r: DataFrame) -> DataFrame:
@@ -130,8 +131,7 @@ def aggregate(o: DataFrame, by: list[str]) -> DataFrame:
 def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """(auroc): by average ranks; equal scores are counted together before anything is sorted."""
     counts = rows.groupBy(score).agg(F.count_if(positive).alias("p"), F.count("*").alias("c"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    run = counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    run = running_sums(counts, [], [F.col(score)], {"upto": F.col("c")}).withColumn("before", F.col("upto") - F.col("c"))
     sums = run.agg(F.sum("p").alias("P"), F.sum(F.col("c") - F.col("p")).alias("N"), F.sum(F.col("p") * (F.col("before") + (F.col("c") + 1) / 2)).alias("R"))
     return sums.select(F.round((F.col("R") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * F.col("N")), 9).alias("auroc"))
 
@@ -166,21 +166,48 @@ def compare_prompts(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return a == b, x == y, F.sort_array(F.array_distinct(x)) == F.sort_array(F.array_distinct(y))
 
 
-def paired_bootstrap(rows: DataFrame, resamples: int = 2000) -> DataFrame:
-    """(low, high): 2.5 % and 97.5 % points of the mean difference (question_id, delta) under resampling.
+def paired_bootstrap(rows: DataFrame, by: list[str] | None = None, resamples: int = 2000) -> DataFrame:
+    """(by..., diff, low, high): the mean difference of (question_id, delta), and the 2.5 % and 97.5 % points under resampling.
 
     Each question is drawn a Poisson number of times per resample, by a hash, so resamples are sums that combine map-side. Resamples without
     any question don't count.
     """
-    drawn = rows.select("question_id", "delta", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
+    by = by or []
+    drawn = rows.select(*by, "question_id", "delta", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
     u = F.pmod(F.xxhash64("question_id", "rep"), F.lit(1 << 40)) / float(1 << 40)
     times, edge, total = F.lit(0), 1.0, 0.36787944117144233
     for k in range(1, 8):  # the Poisson distribution of mean 1
         times = times + (u > total).cast("int")
         edge /= k
         total += 0.36787944117144233 * edge
-    means = drawn.withColumn("t", times).groupBy("rep").agg(F.try_divide(F.sum(F.col("delta") * F.col("t")), F.sum("t")).alias("mean"))
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    means = drawn.withColumn("t", times).groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("delta") * F.col("t")), F.sum("t")).alias("mean"), F.sum("delta").alias("s"), F.count("*").alias("n"))
+    return means.groupBy(*by).agg((F.max("s") / F.max("n")).alias("diff"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+
+
+def by_type(rows: DataFrame) -> DataFrame:
+    """Rows twice: under their question's type, and under 'overall', in a column ``kind``."""
+    return rows.withColumn("kind", F.explode(F.array(F.lit("overall"), F.col("question_type"))))
+
+
+def summarize(outcomes: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(kind, questions, means..., diff): overall and per type, with the mean difference of coverage from a baseline's same questions."""
+    b = baseline.select("question_id", F.col("coverage").alias("before"))
+    return by_type(outcomes.join(b, "question_id")).groupBy("kind").agg(
+        F.count("*").alias("questions"), F.round(F.avg("coverage"), 9).alias("coverage"), F.round(F.avg("recall"), 9).alias("recall"), F.round(F.avg("tokens"), 9).alias("mean_tokens"),
+        F.round(F.avg("size"), 9).alias("mean_lines"), F.round(F.avg(F.col("coverage") - F.col("before")), 9).alias("diff"))
+
+
+def age_metrics(p: DataFrame, alpha: float, repetitions: int) -> DataFrame:
+    """(bucket, method, coverage, n): by the age of the youngest evidence, over the repetitions in which the bucket was tested.
+
+    A threshold on the score, fitted on one half of the questions, against the five best, both measured on the other half.
+    """
+    f = folds(p.withColumn("bucket", age_bucket(F.col("youngest"))), repetitions)
+    cut = conformal_threshold(f.where("calibration"), alpha, ["rep"]).select("rep", F.col("value").alias("cut"))
+    tested = f.where("NOT calibration").join(F.broadcast(cut), "rep")  # a row per repetition
+    means = tested.groupBy("rep", "bucket").agg(F.avg((F.col("best_score") >= F.col("cut")).cast("int")).alias("threshold"), F.avg((F.col("best_rank") <= 5).cast("int")).alias("top_5"))
+    each = means.select("bucket", F.explode(F.create_map(F.lit("threshold"), "threshold", F.lit("top_5"), "top_5")).alias("method", "coverage"))
+    return each.groupBy("bucket", "method").agg(F.round(F.avg("coverage"), 9).alias("coverage"), F.count("*").alias("n"))
 
 
 def deterministic_subset(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:

@@ -8,7 +8,6 @@ from ..operators import context, messages, retrieval, store
 from ..sources.store import MEMORIES_SQL, memories, queries, table
 from .registry import Registry
 from .retrieval import BASE_SQL, FACT_SEARCH_SQL, PAIRS_SQL, stored_facts, top_sql
-from .store import sentences
 
 R = Registry()
 M = f"WITH {MEMORIES_SQL}"
@@ -121,7 +120,7 @@ def compress_side(spark, d):
     m, q = memories(spark, d), queries(spark, d)
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     n = vectors.agg(F.count("*").alias("n"))
-    s = sentences(m).crossJoin(F.broadcast(n))  # one row
+    s = store.sentences(m).crossJoin(F.broadcast(n))  # one row
     s = s.join(vectors, (F.col("memory_id") * 31 + F.col("idx")) % F.col("n") == F.col("vec_id"))
     lines = context.compressed_lines(retrieval.search(q, m), m, s, q)
     return context.budgeted(lines, 600).drop("ids")
@@ -130,7 +129,7 @@ def compress_side(spark, d):
 @R.query("sentence_split")
 def sentence_split(spark, d):
     m = memories(spark, d, True)
-    s = sentences(m).join(m.select(F.col("id").alias("memory_id"), "user_text", "assist_text"), "memory_id")
+    s = store.sentences(m).join(m.select(F.col("id").alias("memory_id"), "user_text", "assist_text"), "memory_id")
     raw = F.encode(F.when(F.col("side") == "u", F.col("user_text")).otherwise(F.col("assist_text")), "UTF-8")
     return s.select("memory_id", "side", "idx", F.substring(raw, F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")).cast("string").alias("sentence"))
 
@@ -206,13 +205,27 @@ def _cache(spark, d):
     return keys.where("(conv_id + turn) % 2 = 0").select("key", F.concat(F.lit("block "), F.col("turn").cast("string")).alias("block"), F.array("turn", F.col("turn") + 1).alias("memory_ids")).dropDuplicates(["key"])
 
 
+@R.query("request_key", "SELECT conv_id, concat('Current date: 2024-01-', 10 + conv_id % 20, chr(10), arg_max(text, turn)) AS key FROM conversations GROUP BY conv_id")
+def request_key(spark, d):
+    """Conversations under a system message with a date line."""
+    m = _messages(spark, d)
+    system = F.concat(F.lit("You help.\nCurrent date: 2024-01-"), (10 + F.col("conv_id") % 20).cast("string"), F.lit("\nBe brief."))
+    heads = m.groupBy("conv_id").agg((F.min("turn") - 1).alias("turn")).select("conv_id", "turn", F.lit("system").alias("role"), system.alias("text"))
+    return messages.request_key(m.select("conv_id", "turn", "role", "text").unionByName(heads))
+
+
 @R.query("sticky_history", "WITH c AS (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id, turn, CASE WHEN role = 'user' AND turn < last AND (conv_id + turn) % 2 = 0 THEN 'block ' || turn || chr(10) || chr(10) || text ELSE text END AS text, CASE WHEN role = 'user' AND turn < last AND (conv_id + turn) % 2 = 0 THEN turn || ',' || (turn + 1) ELSE '' END AS shown FROM c")
 def sticky_history(spark, d):
     found = messages.sticky_history(_messages(spark, d), _cache(spark, d))
     return found.select("conv_id", "turn", "text", F.array_join(F.transform("shown", lambda x: x.cast("string")), ",").alias("shown"))
 
 
-@R.query("sticky_keys")
+DIGITS = "CAST(CAST('0x' || substr(d, {0}, 15) AS BIGINT) AS HUGEINT)"
+
+
+@R.query("sticky_keys", f"""WITH c AS (SELECT conv_id, turn, role, md5(concat(turn, ':', coalesce(role, ''), ':', coalesce(text, ''))) AS d FROM conversations),
+s AS (SELECT conv_id, turn, role, sum({DIGITS.format(1)}) OVER w AS x, sum({DIGITS.format(16)}) OVER w AS y FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, sha256(concat(':', x, ':', y)) AS key FROM s WHERE role = 'user'""")
 def sticky_keys(spark, d):
     return messages.sticky_keys(_messages(spark, d))
 

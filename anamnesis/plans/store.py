@@ -60,17 +60,11 @@ def cascade_delete(spark, d):
     return facts.union(store.without(m, gone, "id", "id").select(F.lit("memory").alias("kind"), "id"))
 
 
-def sentences(m):
-    """(memory_id, side, idx, start_byte, end_byte) of both sides."""
-    both = m.select(F.col("id").alias("memory_id"), F.explode(F.array(F.struct(F.lit("u").alias("side"), F.col("user_text").alias("text")), F.struct(F.lit("a").alias("side"), F.col("assist_text").alias("text")))).alias("x"))
-    return both.select("memory_id", "x.side", F.explode(text.split_sentences("x.text")).alias("s")).select("memory_id", "side", "s.idx", "s.start_byte", "s.end_byte")
-
-
 @R.query("missing_sentences", f"{M} SELECT id FROM memories WHERE id % 2 = 1 OR id % 6 = 0")
 def missing_sentences(spark, d):
     """Odd memories have no sentences, multiples of six only those of the user's side."""
     m = _m(spark, d)
-    s = sentences(m.where("id % 2 = 0")).where("side = 'u' OR memory_id % 6 <> 0")
+    s = store.sentences(m.where("id % 2 = 0")).where("side = 'u' OR memory_id % 6 <> 0")
     return store.missing_sentences(m, s)
 
 
@@ -96,17 +90,41 @@ def fact_key_normalize(spark, d):
     return fact_inputs(spark, d).select("subject", text.fact_key(F.col("subject"), F.concat(F.lit("  Order \t"), F.lit("STATUS "))).alias("key")).distinct()
 
 
-@R.query("sentence_counts")
+#: Texts whose sentences are plain: two sentences of fixed length.
+PLAIN = ["'The first sentence is long enough.' AS user_text", "concat('Reply number ', 100000 + id, ' is long enough too. Its second sentence ends it.') AS assist_text"]
+
+
+@R.query("sentence_counts", f"""{M}, p AS (SELECT id, {', '.join(PLAIN)} FROM memories), s AS (SELECT id, 'u' AS side, [[0, strlen(user_text)]] AS spans FROM p
+UNION ALL SELECT id, 'a', [[0, strpos(assist_text, ' Its') - 1], [strpos(assist_text, ' Its'), strlen(assist_text)]] FROM p)
+SELECT id AS memory_id, side, CAST(len(spans) AS BIGINT) AS n, array_to_string(list_transform(spans, lambda x: concat(x[1], '-', x[2])), ',') AS spans FROM s""")
 def sentence_counts(spark, d):
     """How many sentences each side has, and the byte spans in order."""
-    spans = F.array_sort(F.collect_list(F.struct("idx", "start_byte", "end_byte")))
-    return sentences(_m(spark, d)).groupBy("memory_id", "side").agg(F.count("*").alias("n"), F.to_json(spans).alias("spans"))
+    m = _m(spark, d).selectExpr("id", *PLAIN)
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("idx", "start_byte", "end_byte"))), lambda x: F.concat_ws("-", x["start_byte"], x["end_byte"]))
+    return store.sentences(m).groupBy("memory_id", "side").agg(F.count("*").alias("n"), F.array_join(spans, ",").alias("spans"))
+
+
+@R.query("sentence_backfill", f"{M} SELECT id, true AS u, true AS a FROM memories")
+def sentence_backfill(spark, d):
+    """Memories that lack sentences get them; in the end none lacks any."""
+    m = _m(spark, d)
+    s = store.fill_sentences(m, store.sentences(m.where("id % 2 = 0")).where("side = 'u' OR memory_id % 6 <> 0"))
+    return s.groupBy(F.col("memory_id").alias("id")).agg(F.bool_or(F.col("side") == "u").alias("u"), F.bool_or(F.col("side") == "a").alias("a"))
+
+
+@R.query("positional_ages", f"{M}, p AS (SELECT id, agent_id, created_at, row_number() OVER (PARTITION BY agent_id ORDER BY id) AS place FROM memories) SELECT id, CASE WHEN agent_id IN ('agent1', 'agent2') THEN {NOW} - (place * 3 + 1) * 3600.0 ELSE created_at END AS created_at FROM p")
+def positional_ages(spark, d):
+    """Two agents' memories get ages by their place."""
+    m = _m(spark, d)
+    counts = m.where("agent_id IN ('agent1', 'agent2')").groupBy("agent_id").count()
+    ages = counts.select("agent_id", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("place")).withColumn("age_hours", F.col("place") * 3.0 + 1.0)
+    return store.positional_ages(m, ages, NOW).select("id", "created_at")
 
 
 @R.query("sentence_upsert")
 def sentence_upsert(spark, d):
     """Stored spans, of which those of even memories are replaced by spans that end a byte earlier."""
-    s = sentences(_m(spark, d))
+    s = store.sentences(_m(spark, d))
     new = s.where("memory_id % 2 = 0").withColumn("end_byte", F.col("end_byte") - 1)
     return store.upsert(s, new, ["memory_id", "side", "idx"])
 

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..config import NOW
 from ..operators import context, retrieval, study
-from ..sources.store import EXCHANGES_SQL, MEMORIES_SQL, exchanges, memories, queries, table
+from ..sources.scratch import kept
+from ..sources.store import EXCHANGES_SQL, MEMORIES_SQL, exchanges, memories, preloaded, queries, table
 from ..sources.study import STUDY_SQL
 from ..sources.study import study as rows_of
 from .context import FOUND_SQL
@@ -22,7 +24,8 @@ ALPHAS = (0.05, 0.1, 0.2)
 
 
 def _ranked(spark, d):
-    return study.ranked(rows_of(spark, d))
+    """Written once, as policies read it several times."""
+    return kept(study.ranked(rows_of(spark, d)), "ranked")
 
 
 def _profiles(spark, d):
@@ -210,12 +213,12 @@ def policy_outcomes(spark, d):
     return o.select("question_id", "question_type", "coverage", F.round("recall", 9).alias("recall"), "all_found", "size", F.col("tokens").cast("long").alias("tokens"))
 
 
-FOLDS = "f AS (SELECT p.*, rep, (question_id * 31 + rep * 17 + (question_id // 50) * (rep + 1) + (question_id // 100) * rep) % 2 = 0 AS calibration FROM p, (SELECT unnest(range(20)) AS rep))"
+FOLDS = "f AS (SELECT p.*, rep, (question_id * 31 + rep * 17 + (question_id // 50) * (rep + 1) + (question_id // 100) * rep) % 2 = 0 AS calibration FROM p, (SELECT unnest(range(200)) AS rep))"
 
 
 def _split(spark, d):
     """(rep, k, n, coverage, mean_size): the rank policy fitted on one half and measured on the other."""
-    f = study.folds(_profiles(spark, d), 20)
+    f = study.folds(_profiles(spark, d), 200)
     k = study.rank_quantile(f.where("calibration"), 0.1, ["rep"]).select("rep", F.col("value").alias("k"))
     test = f.where("NOT calibration").join(F.broadcast(k), "rep")  # a row per repetition
     return test.groupBy("rep", "k").agg(F.count("*").alias("n"), F.round(F.avg((F.col("best_rank") <= F.col("k")).cast("int")), 9).alias("coverage"), F.round(F.avg(F.least("k", "size")), 9).alias("mean_size"))
@@ -262,11 +265,12 @@ def _prompts(spark, d):
     return context.unbudgeted(context.found_lines(retrieval.search(queries(spark, d), m), m.drop("user_emb", "assist_emb"), 80))
 
 
-@R.query("prompt_compare", f"{FOUND_SQL} SELECT query_id, query_id % 100 = 0 OR max(rk) = 1 AS same_order, true AS same_set FROM found GROUP BY query_id")
+@R.query("prompt_compare", f"{FOUND_SQL} SELECT query_id, query_id % 3 = 0 OR (query_id % 3 = 1 AND max(rk) = 1) AS same_order, query_id % 3 < 2 AS same_set FROM found GROUP BY query_id")
 def prompt_compare(spark, d):
-    """Prompts against themselves, with the lines in reverse for every second query."""
+    """Prompts against themselves; a third have their lines in reverse, and a third lack the first line."""
     p = _prompts(spark, d).withColumn("lines", study.memory_lines(F.col("context")))
-    other = F.when(F.col("query_id") % 100 == 0, F.col("context")).otherwise(F.array_join(F.reverse("lines"), "\n"))
+    changed = F.when(F.col("query_id") % 3 == 1, F.reverse("lines")).otherwise(F.slice("lines", 2, 1000))
+    other = F.when(F.col("query_id") % 3 == 0, F.col("context")).otherwise(F.array_join(changed, "\n"))
     _, order, same = study.compare_prompts(F.col("context"), other)
     return p.select("query_id", order.alias("same_order"), same.alias("same_set"))
 
@@ -286,7 +290,7 @@ def pareto(spark, d):
 
 def _deltas(spark, d):
     """Coverage at 5 of one score against another, by question."""
-    rows = rows_of(spark, d)
+    rows = kept(rows_of(spark, d), "study")
     hit = lambda score, name: study.profiles(study.ranked(rows, score)).select("question_id", (F.col("best_rank") <= 5).cast("int").alias(name))
     return hit("decay_tiebreak", "a").join(hit("production", "b"), "question_id").select("question_id", (F.col("a") - F.col("b")).alias("delta"))
 
@@ -299,7 +303,38 @@ def paired_delta(spark, d):
 
 @R.query("paired_bootstrap")
 def paired_bootstrap(spark, d):
-    return study.paired_bootstrap(_deltas(spark, d))
+    """Overall and per type of question."""
+    rows = _deltas(spark, d).withColumn("question_type", F.concat(F.lit("type"), (F.col("question_id") % 3).cast("string")))
+    return study.paired_bootstrap(study.by_type(rows), ["kind"])
+
+
+@R.query("type_summary", f"""{RANKED}, {out_sql('8')} GROUP BY ALL), b AS (SELECT question_id, max((rk <= 3 AND evidence)::INT) AS before FROM ranked GROUP BY 1),
+k AS (SELECT *, unnest(['overall', question_type]) AS kind FROM o JOIN b USING (question_id))
+SELECT kind, count(*) AS questions, round(avg(coverage), 9) AS coverage, round(avg(recall), 9) AS recall, round(avg(tokens), 9) AS mean_tokens, round(avg(size), 9) AS mean_lines, round(avg(coverage - before), 9) AS diff FROM k GROUP BY 1""")
+def type_summary(spark, d):
+    """Eight results against three, overall and per type."""
+    r = _ranked(spark, d)
+    at = lambda k: study.outcomes(r, r.select("question_id").distinct().withColumn("size", F.lit(k)))
+    return study.summarize(at(8), at(3))
+
+
+@R.query("preloaded_store", f"WITH {STUDY_SQL} SELECT CAST(question_id AS VARCHAR) AS agent_id, id, round({NOW} - age_hours * 3600, 3) AS created_at, round({NOW} - age_hours * 3600, 3) AS updated_at FROM study")
+def preloaded_store(spark, d):
+    """Each question's haystack as memories of an agent of its own."""
+    m = preloaded(rows_of(spark, d).select("question_id", "age_hours", "id"), NOW)
+    return m.select("agent_id", "id", F.round("created_at", 3).alias("created_at"), F.round("updated_at", 3).alias("updated_at"))
+
+
+PRODUCTION = "round(raw * greatest(0.5, 1 - age_hours / 720.0) * 1.2, 9)"
+
+
+@R.query("age_metrics", f"""{PROFILES.replace(SCORE, PRODUCTION)}, {FOLDS}, c AS (SELECT rep, best_score, count(*) OVER (PARTITION BY rep) AS n, row_number() OVER (PARTITION BY rep ORDER BY best_score) AS rn FROM f WHERE calibration),
+t AS (SELECT rep, CASE WHEN floor(0.1 * (max(n) + 1) + 1e-9) < 1 THEN '-inf'::DOUBLE ELSE min(best_score) FILTER (rn >= floor(0.1 * (n + 1) + 1e-9)) END AS cut FROM c GROUP BY rep),
+m AS (SELECT rep, CASE WHEN youngest <= 168 THEN '<=7d' WHEN youngest <= 720 THEN '8-30d' ELSE '>30d' END AS bucket, avg((best_score >= cut)::INT) AS a, avg((best_rank <= 5)::INT) AS b FROM f JOIN t USING (rep) WHERE NOT calibration GROUP BY ALL)
+SELECT bucket, 'threshold' AS method, round(avg(a), 9) AS coverage, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT bucket, 'top_5', round(avg(b), 9), count(*) FROM m GROUP BY 1""")
+def age_metrics(spark, d):
+    """By the age of the evidence, over 200 splits."""
+    return study.age_metrics(study.profiles(kept(study.ranked(rows_of(spark, d), "production"), "ranked")), 0.1, 200)
 
 
 GRID = [(k, b) for k in (4, 8) for b in (200, 400)]

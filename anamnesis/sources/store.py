@@ -89,6 +89,13 @@ FACTS_SQL = """fact_inputs AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3
 DATED_SQL = f"""dated AS (SELECT * REPLACE (concat(user_text, [{', '.join(f"'{p}'" for p in PHRASES)}][id % 5 + 1]) AS user_text) FROM memories)"""
 
 
+def preloaded(haystacks: DataFrame, now: float) -> DataFrame:
+    """Haystacks (question_id, age_hours, user_text, assist_text, ...) as rows of a store: a question is an agent of its own."""
+    at = F.lit(now) - F.col("age_hours") * 3600.0
+    rest = [c for c in haystacks.columns if c not in ("question_id", "age_hours")]
+    return haystacks.select(F.col("question_id").cast("string").alias("agent_id"), at.alias("created_at"), at.alias("updated_at"), *rest)
+
+
 def read_study(spark: SparkSession, path: str) -> DataFrame:
     """(question_id, question_type, question, asked, session_id, turn, role, content, evidence) from study records in JSON.
 

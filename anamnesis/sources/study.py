@@ -6,31 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NOW
-from ..functions.vector import cosine
+from ..operators.retrieval import best_pairs
+from .scratch import kept
 from .store import MEMORIES_SQL, memories, table
 
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, question_type, id, raw, age_hours, evidence, user_bytes, assist_bytes).
 
-    Questions are the vectors whose ids are divisible by 50. A question's haystack is a tenth of the conversations; evidence shares its label.
+    Questions are the vectors whose ids are divisible by 50. A question's haystack is the whole store; evidence shares its label.
+    Questions meet memories in blocks, and only the similarities leave those.
     """
     vectors = table(spark, sf_dir, "embeddings")
-    q = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.concat(F.lit("type"), (F.col("label") % 3).cast("string")).alias("question_type"), F.col("embedding").alias("q"), F.col("label").alias("asked"))
+    q = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.concat(F.lit("type"), (F.col("label") % 3).cast("string")).alias("question_type"), F.col("embedding").alias("query_emb"), F.col("label").alias("asked"))
     n = vectors.agg(F.count("*").alias("n"))
     m = memories(spark, sf_dir).crossJoin(F.broadcast(n))  # one row
     conv, turn = F.floor(F.col("id") / 1000), F.col("id") % 1000
-    m = m.join(vectors.select("vec_id", "label"), F.col("vec_id") == (conv * 37 + turn * 2) % F.col("n"))
-    pairs = q.join(m, F.floor(F.col("question_id") / 50) % 10 == conv % 10)
-    raw = F.round(F.greatest(cosine(F.col("q"), F.col("user_emb")), cosine(F.col("q"), F.col("assist_emb"))), 9)
-    return pairs.select(
-        "question_id", "question_type", "id", raw.alias("raw"), ((F.lit(NOW) - F.col("created_at")) / 3600).alias("age_hours"), (F.col("label") == F.col("asked")).alias("evidence"),
-        F.octet_length("user_text").alias("user_bytes"), F.octet_length("assist_text").alias("assist_bytes"))
+    m = kept(m.join(vectors.select("vec_id", "label"), F.col("vec_id") == (conv * 37 + turn * 2) % F.col("n")), "haystack")
+    anyone = q.select(F.col("question_id").alias("query_id"), F.lit("").alias("agent_id"), "query_emb")
+    pairs = best_pairs(anyone, m.withColumn("agent_id", F.lit(None).cast("string")), ["user_emb", "assist_emb"], 1 << 30, -2.0, decay_days=None, unit=True)
+    pairs = pairs.select(F.col("query_id").alias("question_id"), "id", F.greatest("similarity", F.lit(-1.0)).alias("raw"))
+    light = m.select("id", ((F.lit(NOW) - F.col("created_at")) / 3600).alias("age_hours"), "label", F.octet_length("user_text").alias("user_bytes"), F.octet_length("assist_text").alias("assist_bytes"))
+    return pairs.join(light, "id").join(q.drop("query_emb"), "question_id").select("question_id", "question_type", "id", "raw", "age_hours", (F.col("label") == F.col("asked")).alias("evidence"), "user_bytes", "assist_bytes")
 
 
 STUDY_SQL = f"""{MEMORIES_SQL}, study AS (
   SELECT q.vec_id AS question_id, concat('type', q.label % 3) AS question_type, m.id,
     round(greatest(list_cosine_similarity(q.embedding::DOUBLE[], m.user_emb::DOUBLE[]), list_cosine_similarity(q.embedding::DOUBLE[], m.assist_emb::DOUBLE[])), 9) AS raw,
     ({NOW} - m.created_at) / 3600 AS age_hours, v.label = q.label AS evidence, strlen(m.user_text) AS user_bytes, strlen(m.assist_text) AS assist_bytes
-  FROM embeddings q JOIN memories m ON q.vec_id // 50 % 10 = (m.id // 1000) % 10 CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
+  FROM embeddings q CROSS JOIN memories m CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
   JOIN embeddings v ON v.vec_id = ((m.id // 1000) * 37 + (m.id % 1000) * 2) % n.n WHERE q.vec_id % 50 = 0)"""

@@ -219,10 +219,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = materialise(of.join(first.where("n > 1").hint("merge"), ["group", "k1", "k2"], "left_anti").join(first.where("n > 1").select("group").hint("merge"), "group", "left_semi").select("k1", "k2"), "gone")
     again = materialise(rows.groupBy("k1", "k2").count().where("count > 1").join(first.select("k1", "k2").hint("merge"), ["k1", "k2"], "left_semi").select("k1", "k2"), "again")
     k1, k2 = row_keys(id_col, text_col)
-    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    as_keys = lambda df: sized(df.toDF("_k1", "_k2"))
-    stays = keyed.join(as_keys(gone), ["_k1", "_k2"], "left_anti")
+    keyed = docs.withColumn("_near_copies_1", k1).withColumn("_near_copies_2", k2)
+    as_keys = lambda df: sized(df.toDF("_near_copies_1", "_near_copies_2"))
+    stays = keyed.join(as_keys(gone), ["_near_copies_1", "_near_copies_2"], "left_anti")
     if again.limit(1).count():
-        once = stays.join(as_keys(again), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-        stays = stays.join(as_keys(again), ["_k1", "_k2"], "left_anti").unionByName(once)
+        once = stays.join(as_keys(again), ["_near_copies_1", "_near_copies_2"], "left_semi").dropDuplicates(["_near_copies_1", "_near_copies_2"])
+        stays = stays.join(as_keys(again), ["_near_copies_1", "_near_copies_2"], "left_anti").unionByName(once)
     return stays.select(docs.columns)

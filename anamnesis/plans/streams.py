@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import embedding, text
 from ..sources.scratch import scratch
-from ..sources.store import memories, table
-from ..streaming import ingest, windows
+from ..sources.store import MEMORIES_SQL, memories, table
+from ..streaming import ingest, saving, windows
 from .registry import Registry
 
 R = Registry()
@@ -33,6 +33,18 @@ def stream_ingest(spark, d):
     return stored.join(touched, "id", "left").select("id", "agent_id", (F.col("access_count") + F.coalesce("times", F.lit(0))).alias("access_count"))
 
 
+@R.query("save_path", f"""WITH {MEMORIES_SQL}, s AS (SELECT id, agent_id, row_number() OVER (PARTITION BY agent_id ORDER BY created_at DESC, id DESC) AS n FROM memories)
+SELECT id, agent_id, CAST(1 AS INTEGER) AS access_count FROM s WHERE n <= CASE WHEN agent_id IS NULL THEN 30 ELSE 20 END""")
+def save_path(spark, d):
+    """All memories as files in three lots, with a threshold that nothing reaches: what is stored after evictions batch by batch."""
+    source, progress = scratch(spark, "save-events"), scratch(spark, "progress")
+    saver = saving.Saver(scratch(spark, "saved"), threshold=2.0, per_agent=20, per_global=30)
+    for lot in range(3):
+        memories(spark, d).select(COLUMNS).where(F.floor(F.col("id") / 1000) % 3 == lot).write.mode("append").parquet(source)
+        saver.start(spark, source, progress, files=10_000).awaitTermination()
+    return saver.live(spark).select("id", "agent_id", "access_count")
+
+
 @R.query("embed_texts")
 def embed_texts(spark, d):
     """Unit vectors of user texts by the stand-in model."""

@@ -26,12 +26,19 @@ from ..functions.vector import matrix, unit_rows
 BROADCAST_QUERIES, MEMORY_CHUNK, CELLS, COLUMNS_AT_ONCE = 20_000, 200_000, 1 << 20, 2048
 
 
+def by_agent(agents: list, ids: np.ndarray) -> dict[str, np.ndarray]:
+    """The places of each agent's rows in the order of ids; '' is no agent."""
+    names, code = np.unique(np.array([a or "" for a in agents], str), return_inverse=True)
+    order = np.lexsort((ids, code))
+    return dict(zip(names.tolist(), np.split(order, np.cumsum(np.bincount(code, minlength=len(names)))[:-1])))
+
+
 class Queries:
     """Queries as a matrix: ids, agents, unit vectors and windows of days."""
 
     def __init__(self, ids: list, agents: list, vectors: list, start: list | None = None, end: list | None = None):
         self.ids = np.array(ids, np.int64)
-        self.agents = np.array([a or "" for a in agents], object)
+        self.of = by_agent(agents, self.ids)
         dims = {len(v) for v in vectors if v is not None}
         if len(dims) > 1:
             raise ValueError(f"queries have vectors of {sorted(dims)} components")
@@ -109,14 +116,11 @@ def score_blocks(q: Queries, batch: pa.RecordBatch, vectors: int, unit: bool = F
 
     Stored vectors are unit vectors unless ``unit`` asks for a division by their length. A similarity of -2 says that there is none.
     """
-    agents = np.array([a or "" for a in batch.column(1).to_pylist()], object)
     sides = [matrix(batch.column(3 + i), q.dim) for i in range(vectors)]
     if unit:
         sides = [(unit_rows(x), good) for x, good in sides]
-    by_id = np.argsort(batch.column(0).to_numpy(), kind="stable")
-    for agent in dict.fromkeys(agents):
-        mine = by_id[agents[by_id] == agent]
-        seeing = np.flatnonzero(q.agents == agent) if agent else np.arange(len(q.ids))
+    for agent, mine in by_agent(batch.column(1).to_pylist(), batch.column(0).to_numpy()).items():
+        seeing = q.of.get(agent, np.zeros(0, int)) if agent else np.arange(len(q.ids))
         if not len(seeing) or not q.dim:
             continue
         for m in range(0, len(mine), COLUMNS_AT_ONCE):

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .retrieval import blocks_of_queries
 
 #: Letters that lose their marks, and what they become.
@@ -73,7 +74,7 @@ def bm25(texts: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """
     spark = texts.sparkSession
     words = F.concat(document_terms(F.coalesce("user_text", F.lit(""))), document_terms(F.coalesce("assist_text", F.lit(""))))
-    documents = memories.select("id", "agent_id", words.alias("terms"))
+    documents = kept(memories.select("id", "agent_id", words.alias("terms")), "terms")  # cut into words once, read three times
     n, average = documents.agg(F.count("*"), F.avg(F.size("terms"))).first()
     asked = texts.select("query_id", "agent_id", F.transform(query_terms(F.col("text")), F.lower).alias("terms"))
     out = None

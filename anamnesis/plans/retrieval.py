@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..config import ADAPTIVE_EDGES, ADAPTIVE_K, CALIBRATED_K, NOW
 from ..functions import scoring, temporal
 from ..operators import lexical, retrieval, store
+from ..sources.scratch import kept
 from ..sources.store import DATED_SQL, FACTS_SQL, MEMORIES_SQL, QUERIES_SQL, TEXTS_SQL, dated, fact_inputs, memories, queries, query_texts, table
 from .registry import Registry
 
@@ -177,7 +178,7 @@ SELECT r.query_id, CAST(r.rk AS INTEGER) AS rk, r.id, r.similarity, r.score, coa
 
 @R.query("hybrid_rrf", HYBRID_SQL)
 def hybrid_rrf(spark, d):
-    m, t = memories(spark, d), query_texts(spark, d)
+    m, t = kept(memories(spark, d), "store"), query_texts(spark, d)
     k = lexical.candidates(5)
     q = t.join(m.select(F.col("id").alias("query_id"), F.col("user_emb").alias("query_emb")), "query_id")
     return lexical.fuse(t, retrieval.search(q, m, k=k), lexical.bm25(t, m, k), 5)

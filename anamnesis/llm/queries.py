@@ -56,9 +56,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the archive of all pages, read it back and keep the columns of the contract."""
+    """Write the archive of all pages and put its records together again; sizes and digests are those of the rebuilt records' blocks, or of the payload that a revisit refers to."""
     path = warc.write_archive(table(ship(spark), sf_dir, "pages"))
-    return warc.read_archive(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.blocks(warc.read_archive(spark, path))
+    whole = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("block"))
+    return records.withColumn("whole", whole).select(F.col("id").alias("page_id"), F.octet_length("whole").cast("long").alias("payload_bytes"), warc.base32(F.sha1("whole")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

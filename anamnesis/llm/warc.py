@@ -21,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,11 @@ def printable(url: Column) -> Column:
     return F.when(url.rlike(r"[\x00-\x1f\x7f]"), F.array_join(F.transform(F.split(url, ""), one), "")).otherwise(url)
 
 
+def _table(path: str) -> str:
+    """The name under which a session that wrote an archive knows the buckets of its payloads."""
+    return f"warc_{hashlib.md5(path.encode()).hexdigest()}"
+
+
 def write_archive(
     pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
@@ -58,7 +64,10 @@ def write_archive(
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("address", F.sha2("payload", 256))
-    rows.groupBy("address").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    distinct = rows.groupBy("address").agg(F.first("payload").alias("payload"))
+    buckets = min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    # bucketed as it is aggregated, so that the join of a later read needn't shuffle payloads
+    distinct.write.option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(buckets, "address").sortBy("address").saveAsTable(_table(path))
     light = materialise(rows.select("id", "url", "address", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1")), "page-digests")
     owners = light.where(F.col("size") >= least_bytes).groupBy("address").agg(F.max("id").alias("owner"))
     one = light.join(owners, "address", "left").withColumn("revisit", F.coalesce(F.col("owner") != F.col("id"), F.col("owner").isNotNull() & F.col("id").isNull()))
@@ -79,22 +88,27 @@ def write_archive(
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(id, record_type, refers_to, url, payload_bytes, payload_digest, payload, record): every record with its full payload.
+    """(id, record_type, refers_to, url, payload_bytes, payload_digest, payload, record, header_bytes): every record with its full payload.
 
     ``record`` is the record's exact bytes. A payload whose bytes don't hash to its address, or to its header's digest, raises an error.
     """
-    payloads = spark.read.parquet(f"{path}/payloads")
-    sound = F.sha2("payload", 256) == F.col("address")
-    address = F.when(sound, F.col("address")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
-    # hashed where it is stored, so that the join below needn't carry payloads unless they are asked for
-    stored = payloads.select(address.alias("address"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
+    payloads = spark.table(_table(path)) if spark.catalog.tableExists(_table(path)) else spark.read.parquet(f"{path}/payloads")
+    sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
+    # hashed where it is stored, once for all records
+    stored = payloads.select("address", sound.alias("payload"), base32(F.sha1("payload")).alias("found"))
     text = F.col("header").cast("string")
     field = lambda name, value: F.nullif(F.regexp_extract(text, rf"(?:^|\n){name}: {value}\r\n", 1), F.lit(""))
     records = spark.read.parquet(f"{path}/headers").select(
         "id", "url", "header", "address", field("WARC-Type", "(.*)").alias("record_type"), field("WARC-Refers-To", "<urn:page:(.*)>").alias("refers"), field("WARC-Payload-Digest", "sha1:(.*)").alias("told"))
-    digest = F.when(F.col("told") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest isn't its payload's")))
+    digest = F.when(F.col("told") == F.col("found"), F.col("found")).otherwise(F.raise_error(F.lit("a header's digest isn't its payload's")))
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     record = F.concat("header", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")), end)
     kind = records.schema["id"].dataType
     return records.join(stored, "address").select(
-        "id", "record_type", F.col("refers").cast(kind).alias("refers_to"), "url", "payload_bytes", digest.alias("payload_digest"), "payload", record.alias("record"))
+        "id", "record_type", F.col("refers").cast(kind).alias("refers_to"), "url", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "payload", record.alias("record"), F.length("header").alias("header_bytes"))
+
+
+def blocks(records: DataFrame) -> DataFrame:
+    """Records with their ``block``: what a record's bytes hold between its header and its end."""
+    size = F.octet_length("record") - F.col("header_bytes") - len(CRLF * 2)
+    return records.withColumn("block", F.substring(F.col("record"), F.col("header_bytes") + 1, size))

@@ -23,9 +23,9 @@ PROFILES = f"""{RANKED}, p AS (SELECT question_id, question_type, min(rk) FILTER
 ALPHAS = (0.05, 0.1, 0.2)
 
 
-def _ranked(spark, d):
-    """Written once, as policies read it several times."""
-    return kept(study.ranked(rows_of(spark, d)), "ranked")
+def _ranked(spark, d, score="decay_tiebreak"):
+    """Pairs are scored once and ranks written once, as both are read several times."""
+    return kept(study.ranked(kept(rows_of(spark, d), "study"), score), "ranked")
 
 
 def _profiles(spark, d):
@@ -334,7 +334,7 @@ m AS (SELECT rep, CASE WHEN youngest <= 168 THEN '<=7d' WHEN youngest <= 720 THE
 SELECT bucket, 'threshold' AS method, round(avg(a), 9) AS coverage, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT bucket, 'top_5', round(avg(b), 9), count(*) FROM m GROUP BY 1""")
 def age_metrics(spark, d):
     """By the age of the evidence, over 200 splits."""
-    return study.age_metrics(study.profiles(kept(study.ranked(rows_of(spark, d), "production"), "ranked")), 0.1, 200)
+    return study.age_metrics(study.profiles(_ranked(spark, d, "production")), 0.1, 200)
 
 
 GRID = [(k, b) for k in (4, 8) for b in (200, 400)]

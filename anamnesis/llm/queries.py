@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, embeddings, orderhash, packing, quality, sharding, simhash, toxicity, warc
+from . import alignment, attribution, bpe, collocations, embeddings, orderhash, packing, quality, sharding, simhash, toxicity, urls, warc
 from .durable import ship, table
 
 
@@ -71,6 +71,22 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.compare_edits(table(ship(spark), sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(ship(spark), sf_dir, "documents"), vocab("byte_bpe_50k.json"), vocab("piece_bpe_32k.model"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(ship(spark), sf_dir, "documents"))
+
+
+#: Hosts with the start of a path, and what becomes of their URLs.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(ship(spark), sf_dir, "pages"), URL_RULES)
+
+
 #: In DuckDB: base32 of a SHA-1, five hexadecimal digits (four letters) at a time.
 _BASE32 = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((instr('0123456789abcdef', substr(h, 5 * (i // 4) + 1, 1)) - 1) * 65536 + (instr('0123456789abcdef', substr(h, 5 * (i // 4) + 2, 1)) - 1) * 4096 + (instr('0123456789abcdef', substr(h, 5 * (i // 4) + 3, 1)) - 1) * 256 + (instr('0123456789abcdef', substr(h, 5 * (i // 4) + 4, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, 5 * (i // 4) + 5, 1)) - 1) // (1 << (15 - 5 * (i % 4)))) % 32 + 1, 1)), 'string_agg', '')"
 
@@ -81,9 +97,12 @@ d AS (SELECT page_id, owner, strlen(html)::BIGINT AS payload_bytes, sha1(html) A
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN owner <> page_id THEN owner END AS refers_to
 FROM d""",
+    "op12_collocations": collocations.mine_sql(),
+    "op13_urls": urls.judge_sql(URL_RULES),
 }
 
 QUERIES = {
     "op1_packing": op1_packing, "op2_warc": op2_warc, "op3_token_counts": op3_token_counts, "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity, "op7_quality": op7_quality, "op6_kd_shards": op6_kd_shards, "op8_embedding_dedup": op8_embedding_dedup, "op9_simhash": op9_simhash, "op10_order_minhash": op10_order_minhash,
+    "op11_alignment": op11_alignment, "op12_collocations": op12_collocations, "op13_urls": op13_urls,
 }

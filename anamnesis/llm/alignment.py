@@ -1,8 +1,9 @@
 """Operator 11: alignment of two tokenizers' tokens, by divide and conquer at ends that they share.
 
 Text with a space before it is encoded by a byte-level BPE (A) and by a piece model (B, which adds that space itself). Both
-cut a text independently before a space that follows a visible character, so texts are cut there and each
-distinct chunk is encoded once per portion of text, and remembered by the worker.
+cut a text independently before a space or line feed that follows a visible character, and before a mark like a full stop that follows
+a letter if no piece of B holds both, so texts are cut there and each
+distinct chunk is encoded once per portion of text; a worker remembers the first ones that it meets.
 
 Token ends are byte offsets. An interval of both token lists that ends at a common end is divided at a common end near
 its middle: the middle A end is looked up among the B ends by bisection, then its neighbours on both
@@ -21,9 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from .hotjoin import BOUND, hot_apart
 from .lines import joined, portions, strings
 
 #: Bytes of text at a time; chunks that a worker remembers, and their length at most; neighbours that are asked one by one.
-AT_ONCE, REMEMBERED, SHORT, NEIGHBOURS = 6 << 20, 200_000, 64, 8
+AT_ONCE, REMEMBERED, SHORT, NEIGHBOURS = 3 << 20, 300_000, 64, 8
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,25 +66,29 @@ class Pair:
             a_bytes[i] = token.encode() if i in special else bytes(spelled[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuttable = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.cuttable = not any(re.search("[^▁]▁|\n", p) for p in pieces)
+        self.stops = np.array([ord(c) for c in ".,;:!?" if not any(re.search(f"[A-Za-zÀ-ÖØ-öø-ÿ]{re.escape(c)}", p) for p in pieces)], np.uint8)
         self.bytes = a_bytes, b_bytes
         self.lengths = tuple(np.array([len(x) for x in side], np.int64) for side in self.bytes)
         self.space = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple[list[int], list[int]] | None] = {}
+        #: Chunks with both lists of ids, as 32-bit numbers: how many are A's, A's, B's. Nothing if a list's bytes aren't the chunk.
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, chunks: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Both lists of ids of chunks that begin with a space; None where a list's bytes aren't the chunk."""
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        """What ``known`` holds, of chunks that begin with a space or a line feed."""
         new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, chunks
         found = {}
-        if new:
-            for c, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([c[1:] for c in new], num_threads=1)):
-                b = b or [self.space]  # a space alone: the library adds none to an empty text
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            # the library puts a space before a text that isn't empty: here for the chunk's own, or left out again with a line feed that parts it from the chunk
+            right = self.b.encode([c[1:] if c[0] == " " else f"\n{c}" for c in part], num_threads=1)
+            for c, a, b in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False), right):
+                b = (b or [self.space]) if c[0] == " " else b[2:]
                 want = c.encode()
-                right = all(b"".join(map(own.__getitem__, ids)) == want for own, ids in zip(self.bytes, (a.ids, b)))
-                found[c] = (a.ids, b) if right else None
-            self.known |= {c: ids for c, ids in found.items() if len(c) <= SHORT}
+                same = all(b"".join(map(own.__getitem__, ids)) == want for own, ids in zip(self.bytes, (a.ids, b)))
+                found[c] = array("I", [len(a.ids), *a.ids, *b]).tobytes() if same else b""
+        if room := REMEMBERED - len(self.known):
+            self.known |= islice(((c, ids) for c, ids in found.items() if len(c) <= SHORT), room)
         return [found[c] if c in found else self.known[c] for c in chunks]
 
 
@@ -155,24 +161,26 @@ class Aligned:
         first = np.zeros(len(data) + 1, bool)
         if p.cuttable and len(data) > 2:
             before = data[1:-1]
-            visible = (before >= 0x21) & (before <= 0x7E) | (before >= 0x80) & (before <= 0xBF) & (data[:-2] == 0xC3)
-            first[2:-1] = visible & (data[2:] == 0x20)
+            accented = (before >= 0x80) & (data[:-2] == 0xC3)
+            visible = (before >= 0x21) & (before <= 0x7E) | accented
+            letter = (before | 0x20 >= 0x61) & (before | 0x20 <= 0x7A) & (before < 0x80) | accented & (before != 0x97) & (before != 0xB7)
+            first[2:-1] = visible & ((data[2:] == 0x20) | (data[2:] == 0x0A)) | letter & np.isin(data[2:], p.stops)
         first[offsets[:-1]] = True
         start = np.flatnonzero(first[:-1])
         chunks = strings(data, start, np.append(start[1:], len(data))).dictionary_encode()
         which, of = chunks.indices.to_numpy(), docs[np.searchsorted(offsets, start, "right") - 1]
         ids = p.encode(chunks.dictionary.to_pylist())
-        bad = np.array([x is None for x in ids], bool)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, at = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
         wrong = np.zeros(self.n, bool)
-        wrong[of[bad[which]]] = True
+        wrong[of[(sizes == 0)[which]]] = True
         keep = ~wrong[of]
         which, of = which[keep], of[keep]
+        n_a = np.zeros(len(ids), np.int64)
+        n_a[sizes > 0] = flat[at[sizes > 0]]
         self.ids, self.ends, self.doc = [], [], []
-        for side in (0, 1):
-            lists = [x[side] if x else [] for x in ids]
-            count = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter(chain.from_iterable(lists), np.int64, count.sum())
-            own = flat[gather(np.cumsum(count) - count, count, which)]
+        for side, (start, count) in enumerate(((at + 1, n_a), (at + 1 + n_a, sizes - 1 - n_a))):
+            own = flat[gather(start, count, which)].astype(np.int64)
             self.ids.append(own)
             self.ends.append(np.cumsum(p.lengths[side][own]))
             self.doc.append(np.repeat(of, count[which]))

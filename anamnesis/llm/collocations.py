@@ -2,11 +2,14 @@
 
 Every word is counted once, in the window of ``longest`` words that it leads; windows are
 padded where their piece of text ends. A task counts the windows of a portion of text in numpy
-(the columns of a window are the words' codes shifted by one place each) and hands on each
-distinct window with its count, in order, so that neighbours share their beginnings and compress well.
-Equal windows meet in one shuffle by the whole window, so no common word or pair
+(the columns of a window are the words' codes shifted by one place each) and deals the
+distinct ones over buckets by a hash of the whole window, in order and compressed, so no common word or pair
 gathers in a task. Shorter phrases are never cut out of the text: their counts are sums over longer windows, which
-Spark's ROLLUP makes from the counted windows (a prefix that ends in padding is the next shorter one's).
+Spark's ROLLUP makes (a prefix that ends in padding is the next shorter one's).
+
+Before that, what can't be a candidate is folded. Where all of a window's counts have met and are under ``least``, its last word becomes
+padding; where all windows of the remaining words have met and are rare too, the word before. No sum over a
+prefix that comes ``least`` times changes by that, nor the sums of single words and of all words.
 
 A candidate is a phrase of 2 to ``longest`` words with a = f(phrase) >= ``least``. Each cut into two parts
 gives floor(1000000 * a * a / (l * r)); the lowest counts, ties to the earliest cut. All
@@ -27,11 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyarrow import csv
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import materialise
-from .lines import joined, portions, strings
+from .lines import glued, joined, portions, strings
 
 #: Kinds of bytes: part of a word, white space within a piece, end of a piece.
 WORD, SPACE, STOP = 0, 1, 2
@@ -41,6 +46,9 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = STOP
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SCALE = 1_000_000
+NOTHING = pa.scalar("", pa.large_string())
+#: Bytes of input per partition of a shuffle.
+PART_BYTES = 8 << 20
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -60,11 +68,11 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings(data, start, end), rows, stops[start] + rows
 
 
-def count_windows(texts: pa.Array, langs: pa.Array, longest: int) -> pa.RecordBatch | None:
-    """(lang, w1..wn, n): the distinct padded windows of a portion in order, with their counts."""
+def count_windows(texts: pa.Array, langs: pa.Array, longest: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """(lang, windows, counts): the distinct padded windows of a portion in order; a window is its words joined by spaces, padding being empty."""
     found, rows, pieces = words(texts)
     if not len(found):
-        return None
+        return
     coded = found.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
@@ -78,18 +86,17 @@ def count_windows(texts: pa.Array, langs: pa.Array, longest: int) -> pa.RecordBa
         shifted[: len(same)][same] = lead[k:][same]
         columns.append(shifted)
     distinct, n = counted(columns)
-    names = coded.dictionary.take(pa.array(order)).cast(pa.string())
-    out = [kinds.dictionary.take(pa.array(distinct[0]))]
-    out += [names.take(pa.array(c - 1, mask=c == 0)) for c in distinct[1:]]
-    return pa.RecordBatch.from_arrays([*out, pa.array(n)], ["lang", *(f"w{k + 1}" for k in range(longest)), "n"])
+    names = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary.take(pa.array(order))])
+    whole = glued(*(names.take(pa.array(c)) for c in distinct[1:]), by=" ")
+    for lang, i, j in runs(distinct[0]):
+        yield kinds.dictionary[lang].as_py(), whole.slice(i, j - i), n[i:j]
 
 
 def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of integer columns in order, and how often each comes."""
-    widths = [int(c.max()) + 1 for c in columns]
     keys, room = [], 0
-    for c, w in zip(columns, widths):  # as many columns as fit go into one integer of 63 bits
-        bits = max(1, (w - 1).bit_length())
+    for c in columns:  # as many columns as fit go into one integer of 63 bits
+        bits = max(1, int(c.max()).bit_length())
         if not keys or room + bits > 63:
             keys.append(c.copy())
             room = bits
@@ -103,37 +110,120 @@ def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[order[first]] for c in columns], np.diff(np.append(first, len(order)))
 
 
-def windows(docs: DataFrame, longest: int) -> DataFrame:
-    """(lang, w1..wn, n): how often each padded longest window comes; written."""
+def runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of runs of equal values."""
+    edges = np.flatnonzero(np.diff(values, prepend=values[:1] - 1, append=values[-1:] - 1)) if len(values) else np.zeros(1, int)
+    for i, j in zip(edges[:-1], edges[1:]):
+        yield int(values[i]), int(i), int(j)
+
+
+def fewer(keys: pa.Array) -> pa.Array:
+    """Windows without their last word."""
+    return pc.replace_substring_regex(keys, " [^ ]*$", "")
+
+
+def deal(lang: str, keys: pa.Array, counts: np.ndarray, by: pa.Array, buckets: int) -> pa.RecordBatch:
+    """(bucket, lang, size, payload): windows in order, compressed together by the bucket of ``by``."""
+    coded = by.dictionary_encode()
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    bucket = (hashed % np.uint64(buckets)).astype(np.int64)[coded.indices.to_numpy()]
+    order = np.argsort(bucket, kind="stable")
+    lines = glued(glued(keys.take(pa.array(order)), pa.array(counts[order]), by="\t"), NOTHING, by="\n")
+    data, offsets = joined(lines)
+    parts = [(k, data[offsets[i] : offsets[j]].tobytes()) for k, i, j in runs(bucket[order])]
+    codec = pa.Codec("zstd")
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in parts], pa.int32()), pa.array([lang] * len(parts), pa.string()), pa.array([len(x) for _, x in parts], pa.int32()), pa.array([codec.compress(x, asbytes=True) for _, x in parts], pa.binary())],
+        ["bucket", "lang", "size", "payload"])
+
+
+DEALT = "bucket int, lang string, size int, payload binary"
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """(lang, windows, counts) of one bucket and language after the other: its distinct windows, in order, with their sums. Rows come sorted by bucket and language."""
+    key, parts, codec = None, [], pa.Codec("zstd")
+    options = {"read_options": csv.ReadOptions(column_names=["k", "n"], use_threads=False), "parse_options": csv.ParseOptions(delimiter="\t", quote_char=False), "convert_options": csv.ConvertOptions(column_types={"k": pa.large_string(), "n": pa.int64()}, strings_can_be_null=False)}
+
+    def summed() -> tuple[str, pa.Array, np.ndarray]:
+        rows = csv.read_csv(pa.BufferReader(b"".join(parts)), **options)
+        coded = rows["k"].combine_chunks().dictionary_encode()
+        sums = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(sums, coded.indices.to_numpy(), rows["n"].to_numpy())
+        order = pc.sort_indices(coded.dictionary)
+        return key[1], coded.dictionary.take(order), sums[order.to_numpy()]
+
+    for batch in batches:
+        for bucket, lang, size, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if (bucket, lang) != key:
+                if parts:
+                    yield summed()
+                key, parts = (bucket, lang), []
+            parts.append(codec.decompress(payload, decompressed_size=size, asbytes=True))
+    if parts:
+        yield summed()
+
+
+def folded(keys: pa.Array, counts: np.ndarray, by: pa.Array, rare: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Windows in which rare ones have become the window ``by``, equal ones summed."""
+    both = pa.concat_arrays([keys.filter(pa.array(~rare)), by.filter(pa.array(rare))]).dictionary_encode()
+    sums = np.zeros(len(both.dictionary), np.int64)
+    np.add.at(sums, both.indices.to_numpy(), np.concatenate([counts[~rare], counts[rare]]))
+    order = pc.sort_indices(both.dictionary)
+    return both.dictionary.take(order), sums[order.to_numpy()]
+
+
+def windows(docs: DataFrame, longest: int, least: int) -> DataFrame:
+    """(lang, w1..wn, n): how often each padded longest window comes; those that come less than ``least`` times have their ends padded further, as far as needed. Written."""
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate, for the number of buckets only
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 1 << 20))
+    buckets = 4 * parts
     names = [f"w{k + 1}" for k in range(longest)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in portions(batch.column(0)):
-                part = count_windows(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), longest)
-                if part is not None:
-                    yield part
+                for lang, keys, n in count_windows(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), longest):
+                    yield deal(lang, keys, n, keys, buckets)
+
+    def fold_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows are complete here: rare ones lose their last word. They are dealt by what is left."""
+        for lang, keys, n in met(batches):
+            padded = glued(fewer(keys), NOTHING, by=" ")
+            keys, n = folded(keys, n, padded, n < least)
+            yield deal(lang, keys, n, fewer(keys), buckets)
 
-    schema = f"lang string, {', '.join(f'{c} string' for c in names)}, n long"
-    parts = docs.select("text", F.col("lang").cast("string")).mapInArrow(run, schema)
-    # the whole window is the key, and portions are counted already: no second count before the shuffle
-    parts = parts.repartition(F.col("lang"), *map(F.col, names))
-    return materialise(parts.groupBy("lang", *names).agg(F.sum("n").alias("n")).sortWithinPartitions("lang", *names), "windows")
+    def fold_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows with the same words but the last are here: rare groups lose one word more. Padding becomes null."""
+        for lang, keys, n in met(batches):
+            begin = fewer(keys).dictionary_encode()
+            total = np.zeros(len(begin.dictionary), np.int64)
+            np.add.at(total, begin.indices.to_numpy(), n)
+            rare = (total < least)[begin.indices.to_numpy()]
+            keys, n = folded(keys, n, glued(fewer(fewer(keys)), NOTHING, NOTHING, by=" "), rare)
+            columns = pc.split_pattern(keys, " ")
+            cells = columns.flatten().cast(pa.string()) if isinstance(columns, pa.LargeListArray) else columns.values.cast(pa.string())
+            at = np.arange(len(keys)) * longest
+            words_ = [pc.replace_with_mask(c := cells.take(pa.array(at + k)), pc.equal(c, ""), pa.scalar(None, pa.string())) for k in range(longest)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), *words_, pa.array(n)], ["lang", *names, "n"])
+
+    exchange = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang")
+    dealt = exchange(docs.select("text", F.col("lang").cast("string")).mapInArrow(count, DEALT))
+    if longest > 1:
+        dealt = exchange(dealt.mapInArrow(fold_last, DEALT))
+    found = dealt.mapInArrow(fold_more, f"lang string, {', '.join(f'{c} string' for c in names)}, n long")
+    return materialise(found.groupBy("lang", *names).agg(F.sum("n").alias("n")), "windows")
 
 
 def phrase_counts(counted: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of phrases that come ``least`` times, and (lang, n) with all words of each language."""
     names = [f"w{k + 1}" for k in range(longest)]
-    full = counted.where(F.col(names[-1]).isNotNull() & (F.col("n") >= least)).select("lang", F.concat_ws(" ", *names).alias("phrase"), F.lit(longest).alias("size"), F.col("n").alias("f"))
-    rolled = counted.rollup("lang", *names[:-1]).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-    # 1 bits of the grouping number are columns summed over, the first column in the highest bit; padding inside a prefix isn't a phrase
-    size = F.lit(longest - 1) - F.bit_count("g")
-    rolled = materialise(rolled.withColumn("size", size.cast("int")).where((F.col("size") == 0) | (F.col("f") >= least)), "rolled")
-    real = F.lit(False)
-    for k in range(1, longest):
-        real = F.when(F.col("size") == k, F.col(names[k - 1]).isNotNull()).otherwise(real)
-    short = rolled.where("size > 0").where(real).select("lang", F.concat_ws(" ", *names[:-1]).alias("phrase"), "size", "f")
-    return full.unionByName(short), rolled.where("size = 0").select("lang", F.col("f").alias("n"))
+    rolled = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    # the grouping number has a bit for each column that is summed over; padding within a prefix is no word
+    size = F.lit(longest) - F.bit_count("g")
+    real = F.coalesce(F.size(F.array_compact(F.array(*names))) == F.col("size"), F.lit(False))
+    rolled = materialise(rolled.withColumn("size", size.cast("int")).where(F.col("lang").isNotNull() & ((F.col("size") == 0) | (F.col("f") >= least) & real)), "rolled")
+    return rolled.where("size > 0").select("lang", F.concat_ws(" ", *names).alias("phrase"), "size", "f"), rolled.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def cut_scores(counts: DataFrame, longest: int) -> DataFrame:
@@ -167,7 +257,7 @@ def not_inside(scored: DataFrame, longest: int, inside: int) -> DataFrame:
 
 def mine(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language. ``docs`` has text and lang."""
-    counts, totals = phrase_counts(windows(docs, longest), longest, least)
+    counts, totals = phrase_counts(windows(docs, longest, least), longest, least)
     scored = materialise(cut_scores(materialise(counts, "phrases"), longest), "candidates")
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = not_inside(scored, longest, inside).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)

@@ -39,3 +39,9 @@ def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     kept = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
     offsets = np.concatenate([[0], np.cumsum(end - start)])
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept)))
+
+
+def glued(*columns: pa.Array, by: str) -> pa.Array:
+    """Columns of strings put together row by row; null counts as empty."""
+    wide = [pc.fill_null(c.cast(pa.large_string()), "") if isinstance(c, pa.Array) else c for c in columns]
+    return pc.binary_join_element_wise(*wide, pa.scalar(by, pa.large_string()))

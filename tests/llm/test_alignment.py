@@ -88,7 +88,7 @@ def test_query(spark, libraries):
     same(got, sorted(brute(rows, libraries)))
 
 
-ODD = [None, "", " ", "  ", "a  b ", "▁x", "a▁ b", "<s> </s> <unk> <0x41> <|endoftext|>", "a\x00b \x00", "\xa0x \xa0 y　 z", "\n x\n\n  y\t z \n", "日本語 テキスト です", "🙂🙃 é ñ ß", "naïve café Ærø", "don't  can't 'll 12 3456 7,8", "ab" * 300, "abababab " * 30, "x" * 70]
+ODD = [None, "", " ", "  ", "a  b ", "▁x", "a▁ b", "<s> </s> <unk> <0x41> <|endoftext|>", "a\x00b \x00", "\xa0x \xa0 y　 z", "\n x\n\n  y\t z \n", "日本語 テキスト です", "🙂🙃 é ñ ß", "naïve café Ærø", "don't  can't 'll 12 3456 7,8", "ab" * 300, "abababab " * 30, "x" * 70, "a.b,c;d:e!f?g é.È, ×.÷, .com e.g. 1.5 x² ².", "word.\nNext,\n\nlast.\n"]
 
 
 @pytest.mark.parametrize("bound", [200_000, 3])
@@ -96,7 +96,7 @@ def test_odd_texts(spark, libraries, bound):
     """Nulls, blanks, marks, repeated rows; with all pairs broadcast and with most of them shuffled."""
     ship(spark)
     rng = random.Random(4)
-    made = ["".join(rng.choice([" ", "  ", "\n", "a", "the", "é", "'s", "7", ".", "­", "ing", "日"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    made = ["".join(rng.choice([" ", "  ", "\n", "a", "the", "é", "'s", "7", ".", ",", "×", "com", "­", "ing", "日"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(ODD + made)] + [(None, "no id"), (3, "   "), (4, "a  b ")]
     got = alignment.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), A, B, bound=bound).collect()
     order = lambda r: (r[0] is None, r[0] or 0, tuple(r)[1:7])

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import kept
-from .retrieval import blocks_of_queries
+from ..sources.scratch import scratch
+from .index import Index
 
 #: Letters that lose their marks, and what they become.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
 
-#: BM25's parameters, and the weight of a term that over half of the documents have.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-
 
 def query_terms(text: Column) -> Column:
     """Runs of ASCII letters and digits, in order, repeats kept."""
@@ -35,80 +27,32 @@ def document_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-class Asked:
-    """A block of queries: by term, which queries ask for it and with what weight."""
-
-    def __init__(self, rows: list, df: dict[str, int], n: int, average: float):
-        self.ids = np.array([r.query_id for r in rows], np.int64)
-        self.agents = np.array([r.agent_id or "" for r in rows], object)
-        self.average, asked = average, {}
-        for i, r in enumerate(rows):
-            for term, times in Counter(r.terms).items():
-                asked.setdefault(term, []).append((i, times))
-        self.terms = {}
-        for term, who in asked.items():
-            if term in df:
-                idf = float(np.log((n - df[term] + 0.5) / (df[term] + 0.5)))
-                i, times = (np.array(c) for c in zip(*who))
-                self.terms[term] = i, times * (idf if idf > 0 else LEAST_IDF)
-
-    def scores(self, documents: list[list[str]]) -> np.ndarray:
-        """Positive scores of every document for every query."""
-        out = np.zeros((len(documents), len(self.ids)))
-        found: dict[str, list[tuple[int, float]]] = {}
-        for row, terms in enumerate(documents):
-            for term, tf in Counter(t for t in terms if t in self.terms).items():
-                found.setdefault(term, []).append((row, tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(terms) / self.average))))
-        for term, who in found.items():
-            queries, weight = self.terms[term]
-            rows, part = (np.array(c) for c in zip(*who))
-            out[np.ix_(rows, queries)] += part[:, None] * weight
-        return out
-
-
-def bm25(texts: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(query_id, lexical_rank, id, bm25): the best k per query among visible memories; statistics are over all memories.
-
-    A term counts once per occurrence in the query. Scores are negative, the least is the best. As in dense search,
-    blocks of queries are sent to the executors, which keep the best k of each block of memories.
+def memory_terms() -> Column:
+    """The words of both sides of a memory."""
+    return F.concat(document_terms(F.coalesce("user_text", F.lit(""))), document_terms(F.coalesce("assist_text", F.lit(""))))
+
+
+def indexed(memories: DataFrame, root: str | None = None, **options) -> Index:
+    """An index of memories as its first batch, in a folder or in the scratch folder."""
+    index = Index(root or scratch(memories.sparkSession, "index"), memory_terms(), **options)
+    index.add(memories, 0)
+    return index
+
+
+def asked(texts: DataFrame) -> DataFrame:
+    """(query_id, agent_id, terms) of (query_id, agent_id, text)."""
+    return texts.select("query_id", F.coalesce("agent_id", F.lit("")).alias("agent_id"), F.transform(query_terms(F.col("text")), F.lower).alias("terms"))
+
+
+def bm25(texts: DataFrame, memories: DataFrame | Index, k: int) -> DataFrame:
+    """(query_id, id, bm25, lexical_rank): the best k per query among visible memories; statistics are over all memories.
+
+    A term counts once per occurrence in the query. Scores are negative, the least is the best. Memories that aren't indexed
+    yet are indexed first.
     """
-    spark = texts.sparkSession
-    words = F.concat(document_terms(F.coalesce("user_text", F.lit(""))), document_terms(F.coalesce("assist_text", F.lit(""))))
-    documents = kept(memories.select("id", "agent_id", words.alias("terms")), "terms")  # cut into words once, read three times
-    n, average = documents.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    asked = texts.select("query_id", "agent_id", F.transform(query_terms(F.col("text")), F.lower).alias("terms"))
-    out = None
-    for rows in blocks_of_queries(asked):
-        wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rows for t in r.terms})], "term string")
-        has = documents.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(wanted), "term")  # of one block of queries
-        df = {r.term: r["count"] for r in has.groupBy("term").count().collect()}
-        shared = spark.sparkContext.broadcast(Asked(rows, df, n, average))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            step = max(1, (1 << 23) // max(1, len(q.ids)))  # 64 MB of scores at a time
-            for whole in batches:
-                for at in range(0, whole.num_rows, step):
-                    batch = whole.slice(at, step)
-                    ids = batch.column(0).to_numpy()
-                    agents = np.array([a or "" for a in batch.column(1).to_pylist()], object)
-                    scores = np.round(q.scores(batch.column(2).to_pylist()), 9)
-                    found = []
-                    for j in range(len(q.ids)):
-                        rows = np.flatnonzero((scores[:, j] > 0) & ((agents == "") | (agents == q.agents[j])))
-                        if len(rows) > k:
-                            rows = rows[np.lexsort((ids[rows], -scores[rows, j]))[:k]]
-                        if len(rows):
-                            found.append((np.full(len(rows), q.ids[j]), ids[rows], -scores[rows, j]))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "id", "bm25"])
-
-        part = documents.mapInArrow(run, "query_id long, id long, bm25 double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, id long, bm25 double")
-    w = Window.partitionBy("query_id").orderBy("bm25", "id")
-    return out.withColumn("lexical_rank", F.row_number().over(w)).where(F.col("lexical_rank") <= k)
+    index = memories if isinstance(memories, Index) else indexed(memories)
+    found = index.search(asked(texts), k)
+    return found.select("query_id", "id", (-F.col("score")).alias("bm25"), F.col("rank").alias("lexical_rank"))
 
 
 def candidates(k: int) -> int:

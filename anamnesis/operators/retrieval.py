@@ -48,17 +48,6 @@ class Queries:
         self.start, self.end = (np.array([x if h else 0 for x, h in zip(days or [0] * len(ids), self.has)], np.int64) for days in (start, end))
 
 
-def blocks_of_queries(queries: DataFrame) -> Iterator[list]:
-    rows: list = []
-    for r in queries.toLocalIterator():
-        rows.append(r)
-        if len(rows) == BROADCAST_QUERIES:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
 #: Given queries and a batch (id, agent_id, created_at, vectors..., mentioned_days), yields batches of results.
 Meet = Callable[[Queries, pa.RecordBatch], Iterator[pa.RecordBatch]]
 

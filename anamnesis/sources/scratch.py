@@ -34,6 +34,12 @@ def kept(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, wherever Spark can read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_bytes(spark: SparkSession, path: str, payload: bytes) -> None:
     """One small file, wherever Spark can write."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -93,5 +93,5 @@ class Settings:
         return cls(**vars(parser.parse_args(args)))
 
 
-#: The moment at which the registered queries run: 2024-03-05T00:00Z.
-NOW = 1709596800.0
+#: The moment at which the registered queries run: 2024-03-14T15:00Z.
+NOW = 1710428400.0

@@ -100,10 +100,12 @@ def facts_first_context(spark, d):
     return _facts_first(spark, d)
 
 
-@R.query("required_budget", "SELECT k, most, CAST(k * ((3 + 10 + 2 + 2 * (most + 3) + 12) // 4 + 1) + 12 + 5 AS INTEGER) AS tokens FROM (SELECT unnest([1, 5, 8, 16]) AS k), (SELECT unnest([200, 400, 800]) AS most)")
+@R.query("required_budget", f"{M} SELECT id // 1000 AS conv_id, count(*) AS k, max(greatest(strlen(user_text), strlen(assist_text))) AS most, CAST(count(*) * ((3 + 10 + 2 + 2 * (max(greatest(strlen(user_text), strlen(assist_text))) + 3) + 12) // 4 + 1) + 12 + 5 AS BIGINT) AS tokens FROM memories GROUP BY 1")
 def required_budget(spark, d):
-    rows = spark.createDataFrame([(k, m) for k in (1, 5, 8, 16) for m in (200, 400, 800)], "k int, most int")
-    return rows.select("k", "most", text.required_tokens(F.col("k"), F.col("most")).cast("int").alias("tokens"))
+    """Per conversation: the budget that holds as many lines as it has exchanges, with sides as long as its longest."""
+    longest = F.max(F.greatest(F.octet_length("user_text"), F.octet_length("assist_text"))).cast("long").alias("most")
+    c = memories(spark, d, True).groupBy(F.floor(F.col("id") / 1000).alias("conv_id")).agg(F.count("*").alias("k"), longest)
+    return c.select("conv_id", "k", "most", text.required_tokens(F.col("k"), F.col("most")).cast("long").alias("tokens"))
 
 
 PROMPT = "Extract only durable facts about the user or project from this single exchange. Return ONLY a JSON array of objects with subject, attribute, and value string fields; return [] if none. Do not infer uncertain facts."

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..config import ADAPTIVE_EDGES, ADAPTIVE_K, CALIBRATED_K, NOW
-from ..functions import scoring, temporal
+from ..functions import scoring, temporal, text
 from ..operators import lexical, retrieval, store
 from ..sources.scratch import kept
 from ..sources.store import DATED_SQL, FACTS_SQL, MEMORIES_SQL, QUERIES_SQL, TEXTS_SQL, dated, fact_inputs, memories, queries, query_texts, table
@@ -45,15 +45,15 @@ def dense_search_legacy(spark, d):
     return retrieval.search(queries(spark, d), memories(spark, d), mode="legacy")
 
 
-WINDOWED = f"""{BASE_SQL}, days AS (SELECT id, ['2024-03-03'::DATE, '2024-02-29'::DATE, CAST(to_timestamp(created_at) AT TIME ZONE 'UTC' AS DATE) - 1, '2024-03-04'::DATE, NULL][id % 5 + 1] AS day,
+WINDOWED = f"""{BASE_SQL}, days AS (SELECT id, ['2024-01-17'::DATE, CAST(to_timestamp(created_at) AT TIME ZONE 'UTC' AS DATE) - 1, '2024-02-11'::DATE, NULL, '2024-02-09'::DATE][id % 5 + 1] AS day,
   CAST(to_timestamp(created_at) AT TIME ZONE 'UTC' AS DATE) AS made FROM memories),
-boosted AS (SELECT p.*, CASE WHEN query_id % 100 = 0 AND (day BETWEEN '2024-02-26' AND '2024-03-03' OR made BETWEEN '2024-02-26' AND '2024-03-03') THEN 0.15 ELSE 0 END AS extra FROM pairs p JOIN days USING (id))"""
+boosted AS (SELECT p.*, CASE WHEN query_id % 100 = 0 AND (day BETWEEN '2024-02-01' AND '2024-02-29' OR made BETWEEN '2024-02-01' AND '2024-02-29') THEN 0.15 ELSE 0 END AS extra FROM pairs p JOIN days USING (id))"""
 
 
 @R.query("dense_search_temporal", f"{WINDOWED} {top_sql('base + 0.001 * rec + extra', source='boosted')}")
 def dense_search_temporal(spark, d):
-    """Every second query asks for last week; memories end in a date phrase."""
-    text = F.when(F.col("query_id") % 100 == 0, "what was it last week").otherwise("what was it")
+    """Every second query asks for last month; memories end in a date phrase."""
+    text = F.when(F.col("query_id") % 100 == 0, "who wrote that last month").otherwise("who wrote that")
     w = temporal.window(text, F.lit(NOW))
     q = queries(spark, d).withColumn("w", w).select("query_id", "agent_id", "query_emb", "w.start_day", "w.end_day")
     return retrieval.search(q, store.with_days(dated(memories(spark, d))), temporal_boost=0.15, days=True)
@@ -101,10 +101,27 @@ def find_duplicates(spark, d):
     return retrieval.find_duplicates(queries(spark, d), memories(spark, d), 0.4)
 
 
-@R.query("calibrated_k", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({c} AS DOUBLE), '{m}', {k})" for (c, m), k in CALIBRATED_K.items()) + ", (CAST(0.5 AS DOUBLE), 'tiebreak', 0)) t(coverage, mode, k)")
+#: By a query's id: the coverage asked for (the last has no calibrated number) and the mode.
+ASKED_COVERAGE, MODES = (0.8, 0.9, 0.95, 0.5), ("tiebreak", "legacy")
+ASKED_SQL = f"asked AS (SELECT query_id, ([{', '.join(map(str, ASKED_COVERAGE))}]::DOUBLE[])[query_id // 50 % 4 + 1] AS coverage, ['tiebreak', 'legacy'][query_id // 200 % 2 + 1] AS mode FROM queries)"
+K_SQL = "CASE " + " ".join(f"WHEN coverage = {c} AND mode = '{m}' THEN {k}" for (c, m), k in CALIBRATED_K.items()) + " ELSE 0 END"
+
+
+def asked_coverage():
+    """(coverage, mode) of a query."""
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("query_id") / n) % len(values) + 1).cast("int"))
+    return of(ASKED_COVERAGE, 50), of(MODES, 200)
+
+
+@R.query("calibrated_k", f"""{BASE_SQL}, {ASKED_SQL}, found AS ({top_sql('base + 0.001 * rec', 26)}), k AS (SELECT *, {K_SQL} AS k FROM asked)
+SELECT query_id, coverage, mode, CAST(k AS INTEGER) AS k, count(id) FILTER (rk <= k) AS found FROM k LEFT JOIN found USING (query_id) GROUP BY ALL""")
 def calibrated_k(spark, d):
-    rows = spark.createDataFrame([*CALIBRATED_K, (0.5, "tiebreak")], "coverage double, mode string")
-    return rows.select("coverage", "mode", scoring.calibrated_k(F.col("coverage"), F.col("mode")).alias("k"))
+    """How many results each query gets under the number of memories that its coverage and mode ask for."""
+    q = queries(spark, d)
+    coverage, mode = asked_coverage()
+    k = q.select("query_id", coverage.alias("coverage"), mode.alias("mode")).withColumn("k", scoring.calibrated_k(F.col("coverage"), F.col("mode")))
+    found = retrieval.search(q, memories(spark, d), k=max(CALIBRATED_K.values())).select("query_id", "rk")
+    return k.join(found, "query_id", "left").groupBy("query_id", "coverage", "mode", "k").agg(F.count_if(F.col("rk") <= F.col("k")).alias("found"))
 
 
 def _adaptive_sql() -> str:
@@ -126,13 +143,15 @@ def adaptive_k(spark, d):
     return found.withColumn("top1", top1).withColumn("k", k).where("rk <= k").select("query_id", "k", "rk", "id")
 
 
-@R.query("context_guard_k", """WITH g AS (SELECT c.history, b.max_inject, k.k, greatest(0, 4096 - c.history) AS budget FROM (SELECT unnest([0, 2500, 3500, 4090, 5000]) AS history) c, (SELECT unnest([1024, 2048]) AS max_inject) b, (SELECT unnest([1, 5, 16]) AS k) k)
-SELECT history, max_inject, k, CAST(CASE WHEN budget < max_inject THEN greatest(1, budget // greatest(1, max_inject // greatest(1, k))) ELSE k END AS INTEGER) AS guarded_k, CAST(least(max_inject, budget) AS INTEGER) AS injection_budget FROM g""")
+@R.query("context_guard_k", """WITH g AS (SELECT conv_id, sum(strlen(text) // 4 + 1) AS history, CASE conv_id % 2 WHEN 0 THEN 1024 ELSE 2048 END AS most, [1, 5, 16][conv_id % 3 + 1] AS k FROM conversations GROUP BY conv_id), b AS (SELECT *, greatest(0, 4096 - history) AS budget FROM g)
+SELECT conv_id, CAST(history AS BIGINT) AS history, CAST(CASE WHEN budget < most THEN greatest(1, budget // greatest(1, most // greatest(1, k))) ELSE k END AS INTEGER) AS guarded_k, CAST(least(most, budget) AS INTEGER) AS injection_budget FROM b""")
 def context_guard_k(spark, d):
-    rows = [(h, m, k) for h in (0, 2500, 3500, 4090, 5000) for m in (1024, 2048) for k in (1, 5, 16)]
-    g = spark.createDataFrame(rows, "history int, max_inject int, k int")
-    k, budget = scoring.guarded(F.col("k"), F.lit(4096), F.col("history"), F.col("max_inject"))
-    return g.select("*", k.alias("guarded_k"), budget.alias("injection_budget"))
+    """What a context of 4,096 tokens leaves for memories after each conversation."""
+    size = F.sum(text.tokens(F.col("text"))).cast("long").alias("history")
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(size).withColumn("most", F.when(F.col("conv_id") % 2 == 0, 1024).otherwise(2048))
+    asked = F.element_at(F.array(F.lit(1), F.lit(5), F.lit(16)), (F.col("conv_id") % 3 + 1).cast("int"))
+    k, budget = scoring.guarded(asked, F.lit(4096), F.col("history"), F.col("most"))
+    return c.select("conv_id", "history", k.alias("guarded_k"), budget.alias("injection_budget"))
 
 
 @R.query("exclude_shown", f"""{BASE_SQL}, found AS ({top_sql('base + 0.001 * rec', 8)}), rest AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS n FROM found WHERE NOT (rk IN (1, 3)))

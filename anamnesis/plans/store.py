@@ -68,7 +68,7 @@ def missing_sentences(spark, d):
     return store.missing_sentences(m, s)
 
 
-@R.query("missing_dates", f"{M}, {DATED_SQL} SELECT id FROM dated WHERE id % 5 = 4")
+@R.query("missing_dates", f"{M}, {DATED_SQL} SELECT id FROM dated WHERE id % 5 = 3")
 def missing_dates(spark, d):
     m = dated(_m(spark, d))
     return store.without(m, store.memory_days(m), "id", "memory_id").select("id")
@@ -147,26 +147,48 @@ def admin_filter_sort(spark, d):
 
 
 @R.query("mentioned_days", f"""{M}, {DATED_SQL}, e AS (SELECT id, CAST(floor(created_at / 86400) AS BIGINT) AS made FROM dated)
-SELECT id AS memory_id, CASE id % 5 WHEN 0 THEN 19785 WHEN 1 THEN 19782 WHEN 2 THEN made - 1 ELSE 19786 END AS day FROM e WHERE id % 5 < 4""")
+SELECT id AS memory_id, CASE id % 5 WHEN 0 THEN 19739 WHEN 1 THEN made - 1 WHEN 2 THEN 19764 ELSE 19762 END AS day FROM e WHERE id % 5 <> 3""")
 def mentioned_days(spark, d):
     return store.memory_days(dated(_m(spark, d)))
 
 
-#: Questions with the windows that they mean on 2024-03-05 (day 19787), as first and last day but one; None is open, no entry is no window.
-EXPRESSIONS = [
-    ("today", 19787, 19788), ("yesterday", 19786, 19787), ("3 days ago", 19784, 19785), ("2 weeks ago", 19773, 19774), ("1 month ago", 19758, 19759), ("last week", 19779, 19786),
-    ("this week", 19786, 19793), ("last month", 19754, 19783), ("this month", 19783, 19814), ("last year", 19358, 19723), ("in February 2024", 19754, 19783), ("on March 3, 2024", 19785, 19786),
-    ("2024-02-29", 19782, 19783), ("since 2024-02-29", 19782, temporal.OPEN_END), ("before March 1, 2024", temporal.OPEN_START, 19783), ("tell me about vectors", None, None), ("2023-02-29", None, None),
-    ("oggi", 19787, 19788), ("ieri", 19786, 19787), ("domani", 19788, 19789), ("3 giorni fa", 19784, 19785), ("la settimana scorsa", 19779, 19786), ("il mese scorso", 19754, 19783),
-    ("lunedì scorso", 19786, 19787), ("a febbraio 2024", 19754, 19783), ("ayer", 19786, 19787), ("mañana", 19788, 19789), ("hace 2 días", 19785, 19786), ("la semana pasada", 19779, 19786),
-    ("el mes pasado", 19754, 19783), ("el lunes pasado", 19786, 19787), ("en febrero 2024", 19754, 19783), ("this year", 19723, 20089), ("friday last", 19783, 19784),
+#: Questions about orders: a template for Spark's format_string over (n, year, month, month name, day, weekday), with the first and last day but one that it means, in SQL.
+#: d is the day of the order as a number; n and other (a date, t as a number) come from the order's row, as does the weekday. A null window is none.
+_day = lambda date: f"({date} - DATE '1970-01-01')"
+QUESTIONS = [
+    ("was it paid today?", "d", "d + 1"), ("chi l'ha pagato ieri", "d - 1", "d"), ("llega mañana", "d + 1", "d + 2"),
+    ("sold %1$d days ago", "d - n", "d - n + 1"), ("venduto %1$d settimane fa", "d - 7 * n", "d - 7 * n + 1"), ("vendido hace %1$d meses", _day("back"), _day("back") + " + 1"),
+    ("what came on %6$s last", "d - prior", "d - prior + 1"), ("shipped last week", "monday - 7", "monday"), ("llega esta semana", "monday", "monday + 7"),
+    ("chiuso il mese scorso", _day("m0"), _day("m1")), ("open this month", _day("m1"), _day("m2")), ("returned last year", _day("y0"), _day("y1")), ("due this year", _day("y1"), _day("y2")),
+    ("sent in %4$s %2$d", _day("o1"), _day("o2")), ("delivered on %4$s %5$d, %2$d", "t", "t + 1"), ("since %2$d-%3$02d-%5$02d", "t", str(temporal.OPEN_END)), ("anything before %5$d %4$s %2$d", str(temporal.OPEN_START), "t"),
+    ("%2$d-%3$02d-%5$02d, was that it?", "t", "t + 1"), ("by cheque or in cash", "NULL", "NULL"),
 ]
+ENGLISH, WEEK = list(temporal.MONTHS)[:12], list(temporal.WEEKDAYS)[:7]
 
 
-@R.query("temporal_window_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', CAST({'NULL' if a is None else a} AS BIGINT), CAST({'NULL' if b is None else b} AS BIGINT))" for q, a, b in EXPRESSIONS) + ") t(query, start_day, end_day)")
+def _windows_sql() -> str:
+    side = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {q[i]}" for k, q in enumerate(QUESTIONS)) + " END"
+    return f"""WITH b AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS dt, o_orderkey % {len(QUESTIONS)} AS k, o_custkey % 30 + 1 AS n, CAST(o_orderdate AS DATE) - CAST(o_custkey % 700 AS INTEGER) AS other FROM orders),
+x AS (SELECT *, dt - DATE '1970-01-01' AS d, other - DATE '1970-01-01' AS t, CAST(dt - INTERVAL 1 MONTH * n AS DATE) AS back, dt - DATE '1970-01-01' - (isodow(dt) - 1) AS monday, CASE (isodow(dt) - 1 - n % 7 + 7) % 7 WHEN 0 THEN 7 ELSE (isodow(dt) - 1 - n % 7 + 7) % 7 END AS prior,
+  CAST(date_trunc('month', dt) - INTERVAL 1 MONTH AS DATE) AS m0, CAST(date_trunc('month', dt) AS DATE) AS m1, CAST(date_trunc('month', dt) + INTERVAL 1 MONTH AS DATE) AS m2, CAST(date_trunc('year', dt) - INTERVAL 1 YEAR AS DATE) AS y0, CAST(date_trunc('year', dt) AS DATE) AS y1, CAST(date_trunc('year', dt) + INTERVAL 1 YEAR AS DATE) AS y2,
+  CAST(date_trunc('month', other) AS DATE) AS o1, CAST(date_trunc('month', other) + INTERVAL 1 MONTH AS DATE) AS o2 FROM b)
+SELECT o_orderkey, CAST({side(1)} AS BIGINT) AS start_day, CAST({side(2)} AS BIGINT) AS end_day FROM x"""
+
+
+@R.query("temporal_window_parse", _windows_sql())
 def temporal_window_parse(spark, d):
-    q = spark.createDataFrame([(q,) for q, _, _ in EXPRESSIONS], "query string")
-    return q.withColumn("w", temporal.window(F.col("query"), F.lit(NOW))).select("query", "w.start_day", "w.end_day")
+    """A question about each order, asked during the day of the order, put together from its row; and the days that it means."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.col("o_orderdate").cast("date")
+    other, n = F.date_sub(day, (customer % 700).cast("int")), customer % 30 + 1
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i.cast("int"))
+    cells = [n, F.year(other), F.month(other), name(ENGLISH, F.month(other)), F.dayofmonth(other), name(WEEK, n % 7 + 1)]
+    text = F.lit(None).cast("string")
+    for k, (template, *_) in enumerate(QUESTIONS):
+        text = F.when(key % len(QUESTIONS) == k, F.format_string(template, *cells)).otherwise(text)
+    asked = F.unix_date(day) * 86400.0 + (key * 7919) % 86400
+    orders = table(spark, d, "orders").select("o_orderkey", text.alias("query"), asked.alias("now"))
+    return orders.withColumn("w", temporal.window(F.col("query"), F.col("now"))).select("o_orderkey", "w.start_day", "w.end_day")
 
 
 @R.query("utc_day_date", f"{M} SELECT id, CAST(floor(created_at / 86400) AS BIGINT) AS day, strftime(to_timestamp(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date FROM memories")

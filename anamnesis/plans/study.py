@@ -113,12 +113,14 @@ def coverage_by_group(spark, d):
     return o.rollup("question_type").agg(F.count("*").alias("n"), F.round(F.avg("coverage"), 9).alias("coverage"), F.round(F.avg("size"), 9).alias("mean_size")).select(F.coalesce("question_type", F.lit("all")).alias("kind"), "n", "coverage", "mean_size")
 
 
-@R.query("wilson_interval", """SELECT s, n, round((p + z2 / (2 * n) - z * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 9) AS low, round((p + z2 / (2 * n) + z * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 9) AS high
-FROM (SELECT s, n, s / n AS p, 1.959963984540054::DOUBLE AS z, 1.959963984540054::DOUBLE * 1.959963984540054 AS z2 FROM (SELECT unnest([0, 1, 5, 10, 20]) AS s), (SELECT unnest([20, 50, 467]) AS n))""")
+@R.query("wilson_interval", f"""{PROFILES}, g AS (SELECT question_type, count(*) FILTER (best_rank <= 5)::DOUBLE AS s, count(*)::DOUBLE AS n FROM p GROUP BY 1)
+SELECT question_type, CAST(s AS BIGINT) AS s, CAST(n AS BIGINT) AS n, round((p + z2 / (2 * n) - z * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 9) AS low, round((p + z2 / (2 * n) + z * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 9) AS high
+FROM (SELECT *, s / n AS p, 1.959963984540054::DOUBLE AS z, 1.959963984540054::DOUBLE * 1.959963984540054 AS z2 FROM g)""")
 def wilson_interval(spark, d):
-    rows = spark.createDataFrame([(s, n) for s in (0, 1, 5, 10, 20) for n in (20, 50, 467)], "s int, n int")
+    """The interval of each type's coverage at 5."""
+    rates = _profiles(spark, d).groupBy("question_type").agg(F.count_if(F.col("best_rank") <= 5).alias("s"), F.count("*").alias("n"))
     low, high = study.wilson(F.col("s"), F.col("n"))
-    return rows.select("s", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+    return rates.select("question_type", "s", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
 @R.query("auroc", f"""{RANKED}, a AS (SELECT raw, evidence, avg(rn) OVER (PARTITION BY raw) AS r FROM (SELECT raw, evidence, row_number() OVER (ORDER BY raw) AS rn FROM ranked)), t AS (SELECT sum(r) FILTER (evidence) AS R, count(*) FILTER (evidence) AS P, count(*) FILTER (NOT evidence) AS N FROM a)

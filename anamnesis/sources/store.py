@@ -65,7 +65,7 @@ def dated(m: DataFrame) -> DataFrame:
     return m.withColumn("user_text", F.concat("user_text", phrase))
 
 
-PHRASES = [" On March 3, 2024.", " due 2024-02-29", " yesterday", " 4 March 2024", ""]
+PHRASES = [" They met 17 January 2024.", " See you yesterday", " Paid by 2024-02-11", "", " February 9, 2024 it is"]
 
 EXCHANGES_SQL = """exchanges AS (SELECT * FROM (
   SELECT conv_id, turn, role, text AS user_text, lead(role) OVER w AS next_role, lead(text) OVER w AS assist_text

@@ -183,7 +183,7 @@ SCHEMA = "id long, agent_id string, created_at double, user_text string, assist_
 
 
 def test_search(spark):
-    now = 1709596800.0
+    now = 1_688_888_888.0
     v = lambda *x: [float(i) for i in x]
     rows = [(1, None, now, "g", "", v(1, 0, 0), v(0, 0, 1)), (2, "coder", now, "c", "", v(0.8, 0.6, 0), v(0, 1, 0)), (3, "other", now, "o", "", v(1, 0, 0), v(1, 0, 0)), (4, None, now, "dim", "", v(1, 0), v(1, 0)), (5, None, None, "null", "", None, None), (6, None, now, "tie", "", v(1, 0, 0), v(0, 0, 1))]
     m = spark.createDataFrame(rows, SCHEMA)

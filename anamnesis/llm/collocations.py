@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .durable import materialise
 from .lines import glued, joined, portions, strings
+from .orderhash import BASE, mix
 
 #: Kinds of bytes: part of a word, white space within a piece, end of a piece.
 WORD, SPACE, STOP = 0, 1, 2
@@ -47,8 +48,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SCALE = 1_000_000
 NOTHING = pa.scalar("", pa.large_string())
-#: Bytes of input per partition of a shuffle.
-PART_BYTES = 8 << 20
+#: Bytes of input per bucket, and windows that are dealt at a time.
+BUCKET_BYTES, DEALT_AT_ONCE = 2 << 20, 1_500_000
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -68,8 +69,8 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return strings(data, start, end), rows, stops[start] + rows
 
 
-def count_windows(texts: pa.Array, langs: pa.Array, longest: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
-    """(lang, windows, counts): the distinct padded windows of a portion in order; a window is its words joined by spaces, padding being empty."""
+def count_windows(texts: pa.Array, langs: pa.Array, longest: int) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """(lang, windows, counts, hashes): the distinct padded windows of a portion in order; a window is its words joined by spaces, padding being empty."""
     found, rows, pieces = words(texts)
     if not len(found):
         return
@@ -88,8 +89,12 @@ def count_windows(texts: pa.Array, langs: pa.Array, longest: int) -> Iterator[tu
     distinct, n = counted(columns)
     names = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary.take(pa.array(order))])
     whole = glued(*(names.take(pa.array(c)) for c in distinct[1:]), by=" ")
+    of_word = hashes(names)
+    hashed = np.zeros(len(n), np.uint64)
+    for c in distinct[1:]:
+        hashed = mix(hashed * BASE + of_word[c])
     for lang, i, j in runs(distinct[0]):
-        yield kinds.dictionary[lang].as_py(), whole.slice(i, j - i), n[i:j]
+        yield kinds.dictionary[lang].as_py(), whole.slice(i, j - i), n[i:j], hashed[i:j]
 
 
 def counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -122,11 +127,13 @@ def fewer(keys: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(keys, " [^ ]*$", "")
 
 
-def deal(lang: str, keys: pa.Array, counts: np.ndarray, by: pa.Array, buckets: int) -> pa.RecordBatch:
-    """(bucket, lang, size, payload): windows in order, compressed together by the bucket of ``by``."""
-    coded = by.dictionary_encode()
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    bucket = (hashed % np.uint64(buckets)).astype(np.int64)[coded.indices.to_numpy()]
+def hashes(texts: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, texts.to_pylist()), np.uint64, len(texts))
+
+
+def deal(lang: str, keys: pa.Array, counts: np.ndarray, hashed: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, lang, size, payload): windows compressed together by their bucket."""
+    bucket = (hashed % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     lines = glued(glued(keys.take(pa.array(order)), pa.array(counts[order]), by="\t"), NOTHING, by="\n")
     data, offsets = joined(lines)
@@ -176,22 +183,31 @@ def folded(keys: pa.Array, counts: np.ndarray, by: pa.Array, rare: np.ndarray) -
 def windows(docs: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, w1..wn, n): how often each padded longest window comes; those that come less than ``least`` times have their ends padded further, as far as needed. Written."""
     size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate, for the number of buckets only
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 1 << 20))
-    buckets = 4 * parts
+    buckets = max(8, min(size // BUCKET_BYTES, 1 << 22))
+    parts = max(min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), buckets // 4)
     names = [f"w{k + 1}" for k in range(longest)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in portions(batch.column(0)):
-                for lang, keys, n in count_windows(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), longest):
-                    yield deal(lang, keys, n, keys, buckets)
+                for lang, keys, n, hashed in count_windows(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), longest):
+                    yield deal(lang, keys, n, hashed, buckets)
 
     def fold_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows are complete here: rare ones lose their last word. They are dealt by what is left."""
+        """Windows are complete here: rare ones lose their last word. They are dealt by what is left, those of several buckets together."""
+        held: dict[str, list] = {}
         for lang, keys, n in met(batches):
             padded = glued(fewer(keys), NOTHING, by=" ")
-            keys, n = folded(keys, n, padded, n < least)
-            yield deal(lang, keys, n, fewer(keys), buckets)
+            held.setdefault(lang, []).append(folded(keys, n, padded, n < least))
+            if sum(len(n) for _, n in held[lang]) >= DEALT_AT_ONCE:
+                yield dealt_by_beginning(lang, held.pop(lang))
+        for lang, lot in held.items():
+            yield dealt_by_beginning(lang, lot)
+
+    def dealt_by_beginning(lang: str, lot: list) -> pa.RecordBatch:
+        keys, n = pa.concat_arrays([k for k, _ in lot]), np.concatenate([n for _, n in lot])
+        begin = fewer(keys).dictionary_encode()
+        return deal(lang, keys, n, hashes(begin.dictionary)[begin.indices.to_numpy()], buckets)
 
     def fold_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All windows with the same words but the last are here: rare groups lose one word more. Padding becomes null."""

@@ -21,7 +21,8 @@ def hot_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, bound: i
     """
     total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     hot = F.col(weight) * F.lit(bound) >= F.lit(total)
-    often = rows.join(F.broadcast(table.where(hot).drop(weight)), key)  # at most ``bound`` rows
+    often = F.broadcast(table.where(hot).drop(weight))  # at most ``bound`` rows
     if table.where(~hot).isEmpty():
-        return often
-    return often.unionByName(rows.join(table.where(~hot).drop(weight).hint("merge"), key))
+        return rows.join(often, key)
+    rare = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")  # only these are shuffled
+    return rows.join(often, key).unionByName(rare.join(table.where(~hot).drop(weight).hint("merge"), key))

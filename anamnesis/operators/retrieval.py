@@ -34,9 +34,10 @@ def by_agent(agents: list, ids: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Queries:
-    """Queries as a matrix: ids, agents, unit vectors and windows of days."""
+    """Queries as a matrix: ids, agents, unit vectors, windows of days and what else a task asks for."""
 
-    def __init__(self, ids: list, agents: list, vectors: list, start: list | None = None, end: list | None = None):
+    def __init__(self, ids: list, agents: list, vectors: list, start: list | None = None, end: list | None = None, extra: dict[str, list] | None = None):
+        self.extra = extra or {}
         self.ids = np.array(ids, np.int64)
         self.of = by_agent(agents, self.ids)
         dims = {len(v) for v in vectors if v is not None}
@@ -52,33 +53,40 @@ class Queries:
 Meet = Callable[[Queries, pa.RecordBatch], Iterator[pa.RecordBatch]]
 
 
-def meet(queries: DataFrame, memories: DataFrame, vectors: list[str], task: Meet, schema: str, days: bool = False) -> DataFrame:
-    """``task`` over all queries and all memories; its results for parts of both are put together."""
-    spark = queries.sparkSession
-    columns = ["id", "agent_id", "created_at", *vectors] + (["mentioned_days"] if days else [])
+def meet(queries: DataFrame, memories: DataFrame, vectors: list[str], task: Meet, schema: str, days: bool = False, asked: tuple[str, ...] = (), held: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """``task`` over all queries and all memories; its results for parts of both are put together.
+
+    ``asked`` are further columns of queries, which tasks find in ``extra``, and ``held`` further columns of memories, last in a batch. At most ``most`` queries
+    (else ``BROADCAST_QUERIES``) are broadcast.
+    """
+    spark, most = queries.sparkSession, BROADCAST_QUERIES if most is None else most
+    columns = ["id", "agent_id", "created_at", *vectors] + (["mentioned_days"] if days else []) + [*held]
     narrow = memories.select([F.coalesce(c, F.lit(float("nan"))).alias(c) if c == "created_at" else c for c in columns])
     windows = [c for c in ("start_day", "end_day") if c in queries.columns]
-    rows = queries.select("query_id", "agent_id", "query_emb", *windows).limit(BROADCAST_QUERIES + 1).collect()
-    if len(rows) <= BROADCAST_QUERIES:
-        shared = spark.sparkContext.broadcast(Queries([r.query_id for r in rows], [r.agent_id for r in rows], [r.query_emb for r in rows], *([r[c] for r in rows] for c in windows)))
+    made = lambda columns: Queries(*columns[:3], *(columns[3 : 3 + len(windows)] or (None, None)), extra=dict(zip(asked, columns[3 + len(windows) :])))
+    rows = queries.select("query_id", "agent_id", "query_emb", *windows, *asked).limit(most + 1).collect()
+    if len(rows) <= most:
+        shared = spark.sparkContext.broadcast(made([[r[c] for r in rows] for c in ("query_id", "agent_id", "query_emb", *windows, *asked)]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield from task(shared.value, batch)
 
         return narrow.mapInArrow(run, schema)
-    blocks, chunks = (-(-df.count() // size) for df, size in ((queries, BROADCAST_QUERIES), (memories, MEMORY_CHUNK)))
+    blocks, chunks = (-(-df.count() // size) for df, size in ((queries, most), (memories, MEMORY_CHUNK)))
     kinds = {c: narrow.schema[c].dataType.simpleString() for c in columns[3:]}
     nothing = [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias(name)
-    asked = queries.select(
+    kind_of = {c: queries.schema[c].dataType.simpleString() for c in asked}
+    all_asked = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(chunks, "chunk"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), "agent_id", F.lit(0.0).alias("created_at"),
-        F.col("query_emb").cast("array<double>").alias("query_emb"), *(F.col(c).cast("long").alias(c) for c in windows), *nothing)
-    held = narrow.select(
+        F.col("query_emb").cast("array<double>").alias("query_emb"), *(F.col(c).cast("long").alias(c) for c in windows), *asked, *nothing)
+    all_held = narrow.select(
         each(blocks, "block"), F.pmod(F.xxhash64("id"), F.lit(max(chunks, 1))).cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), "agent_id", F.col("created_at").cast("double").alias("created_at"),
-        F.lit(None).cast("array<double>").alias("query_emb"), *(F.lit(None).cast("long").alias(c) for c in windows), *columns[3:])
+        F.lit(None).cast("array<double>").alias("query_emb"), *(F.lit(None).cast("long").alias(c) for c in windows), *(F.lit(None).cast(t).alias(c) for c, t in kind_of.items()), *columns[3:])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asked.union(held).repartition(n, "block", "chunk").sortWithinPartitions("block", "chunk", "side")
+    n_asked = len(windows) + len(asked)
+    dealt = all_asked.union(all_held).repartition(n, "block", "chunk").sortWithinPartitions("block", "chunk", "side")
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts, q = None, [], None
@@ -92,10 +100,10 @@ def meet(queries: DataFrame, memories: DataFrame, vectors: list[str], task: Meet
                     key, parts, q = (block[i], chunk[i]), [], None
                 part = batch.slice(i, j - i)
                 if side[i] == 0:
-                    parts.append([part.column(k).to_pylist() for k in (3, 4, 6, *range(7, 7 + len(windows)))])
+                    parts.append([part.column(k).to_pylist() for k in (3, 4, 6, *range(7, 7 + n_asked))])
                 elif parts:
-                    q = q or Queries(*([x for p in c for x in p] for c in zip(*parts)))
-                    yield from task(q, pa.RecordBatch.from_arrays([part.column(k) for k in (3, 4, 5, *range(7 + len(windows), part.num_columns))], columns))
+                    q = q or made([[x for p in c for x in p] for c in zip(*parts)])
+                    yield from task(q, pa.RecordBatch.from_arrays([part.column(k) for k in (3, 4, 5, *range(7 + n_asked, part.num_columns))], columns))
 
     return dealt.mapInArrow(unit, schema)
 
@@ -201,10 +209,15 @@ def _in_window(q: Queries, seeing: np.ndarray, created: np.ndarray, mentioned: l
     """Whether a memory was created, or mentions a day, within each query's window."""
     first = np.floor(created / 86400.0)
     hit = (first >= q.start[seeing, None]) & (first < q.end[seeing, None])
-    for j, days in enumerate(mentioned):
-        for d in days or ():
-            hit[:, j] |= (d >= q.start[seeing]) & (d < q.end[seeing])
-    return hit & q.has[seeing, None]
+    asking = q.has[seeing]
+    rows = np.repeat(np.arange(len(mentioned)), [len(d or ()) for d in mentioned])
+    if len(rows) and asking.any():
+        days, some = np.array([x for d in mentioned for x in d or ()], np.int64), seeing[asking]
+        inside = np.zeros((len(some), len(mentioned)), bool)
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        inside[:, rows[starts]] = np.logical_or.reduceat((days >= q.start[some, None]) & (days < q.end[some, None]), starts, axis=1)
+        hit[asking] |= inside
+    return hit & asking[:, None]
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Evaluation statistics: score variants, ranks, conformal quantiles, policies and their outcomes.
 
-Rows are (question_id, question_type, id, raw, age_hours, evidence, user_bytes, assist_bytes). What
-leaves a question is one row, so everything after the ranks is small.
+Pairs are (question_id, question_type, id, raw, age_hours, evidence, user_bytes, assist_bytes); only what is asked of every pair
+goes over them. Ranks and outcomes come from ``ranks``, and what leaves a question there is one row, so everything after it is small.
 """
 
 from __future__ import annotations
@@ -44,15 +44,6 @@ def ranked(rows: DataFrame, score: str = "decay_tiebreak", most: int = 400) -> D
     return r.withColumn("rk", F.col("rk").cast("int")).withColumn("recall", F.col("found") / F.col("evidence_count"))
 
 
-def profiles(r: DataFrame) -> DataFrame:
-    """One row per question: best and last rank, tokens to the first evidence, gap below the top, similarity of the top."""
-    e = lambda c: F.when(F.col("evidence"), F.col(c))
-    return r.groupBy("question_id", "question_type").agg(
-        F.min(e("rk")).alias("best_rank"), F.max(e("rk")).alias("last_rank"), F.min(e("cumulative_tokens")).alias("tokens_to_first"), F.max("score").alias("top_score"), F.max(e("score")).alias("best_score"),
-        F.max(F.when(F.col("rk") == 1, F.col("raw"))).alias("top1"), F.max("evidence_count").alias("evidence_count"), F.min(e("age_hours")).alias("youngest"), F.max("rk").alias("size"),
-    ).withColumn("gap", F.round(F.col("top_score") - F.col("best_score"), 9))
-
-
 def order_statistic(rows: DataFrame, value: str, index: Column, by: list[str]) -> DataFrame:
     """(by..., n, value): the index-th smallest value per group, null past the end; ``index`` may use the group's size n.
 
@@ -91,28 +82,6 @@ def upper_quantile(p: DataFrame, value: str, alpha: float, by: list[str]) -> Dat
     return order_statistic(p, value, upper_index(alpha), by).withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(float("inf"))))
 
 
-def crc_k(r: DataFrame, alpha: float) -> DataFrame:
-    """(k): the least k at which the bound on the expected missed evidence is at most alpha, else the longest haystack."""
-    per = r.groupBy("question_id").agg(F.max("size").alias("size"))
-    n = per.agg(F.count("*").alias("n"), F.max("size").alias("longest"))
-    # a question's loss stays at its last value past its end, which is 0, so only the ranks it has count
-    loss = r.groupBy(F.col("rk").alias("k")).agg(F.sum(1.0 - F.col("recall")).alias("loss"))
-    bound = (F.col("loss") + 1.0) / (F.col("n") + 1.0)
-    return loss.crossJoin(F.broadcast(n)).groupBy("longest").agg(F.min(F.when(bound <= alpha, F.col("k"))).alias("k")).select(F.coalesce("k", "longest").cast("int").alias("k"))
-
-
-def outcomes(r: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Per (question_id, size) given: coverage, recall, whether all evidence is in, size and tokens."""
-    s = sizes.withColumnRenamed("size", "wanted")
-    j = r.join(s, "question_id")
-    keys = [c for c in s.columns]
-    inside = F.col("rk") <= F.col("wanted")
-    return j.groupBy("question_type", *keys).agg(
-        F.max((inside & F.col("evidence")).cast("int")).alias("coverage"), F.max(F.when(inside, F.col("recall")).otherwise(0.0)).alias("recall"),
-        F.min(F.when(F.col("evidence"), inside.cast("int"))).alias("all_found"), F.sum(inside.cast("int")).alias("size"), F.max("evidence_count").alias("evidence_count"),
-        F.coalesce(F.max(F.when(inside, F.col("cumulative_tokens"))) + OVERHEAD, F.lit(0)).alias("tokens"))
-
-
 def wilson(successes: Column, total: Column) -> tuple[Column, Column]:
     p, z2 = successes / total, Z * Z
     center = (p + z2 / (2 * total)) / (1 + z2 / total)

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..config import NOW
-from ..operators import context, retrieval, study
+from ..operators import context, ranks, retrieval, study
 from ..sources.scratch import kept
 from ..sources.store import EXCHANGES_SQL, MEMORIES_SQL, exchanges, memories, preloaded, queries, table
-from ..sources.study import STUDY_SQL
+from ..sources.study import STUDY_SQL, haystack, questions
 from ..sources.study import study as rows_of
 from .context import FOUND_SQL
 from .registry import Registry
@@ -28,8 +28,22 @@ def _ranked(spark, d, score="decay_tiebreak"):
     return kept(study.ranked(kept(rows_of(spark, d), "study"), score), "ranked")
 
 
-def _profiles(spark, d):
-    return study.profiles(_ranked(spark, d))
+def _evidence(spark, d, variant="decay_tiebreak"):
+    """Questions, memories, and the evidence with its ranks and what is known of each question, found by counting."""
+    q, m = questions(spark, d), haystack(spark, d)
+    return q, m, *ranks.ranked(q, m, variant)
+
+
+def _profiles(spark, d, variant="decay_tiebreak"):
+    _, _, rows, known = _evidence(spark, d, variant)
+    return ranks.profiles(rows, known)
+
+
+def _at(spark, d, *ks):
+    """Outcomes of the first k memories, for fixed numbers k."""
+    q, m, rows, known = _evidence(spark, d)
+    wanted = known.select("question_id", F.explode(F.array(*map(F.lit, ks))).alias("wanted"))
+    return ranks.outcomes(rows, known, ranks.first_tokens(ranks.top(q, m, max(ks)), known, wanted))
 
 
 @R.query("pair_turns", f"WITH {EXCHANGES_SQL} SELECT conv_id, turn, user_text, assist_text FROM exchanges")
@@ -101,16 +115,12 @@ AGG = "count(*) AS n, round(avg(coverage), 9) AS coverage, round(avg(recall), 9)
 
 @R.query("topk_coverage", f"{RANKED}, ks AS (SELECT unnest([1, 5, 10]) AS k), {out_sql('k', ', k')}, ks GROUP BY ALL) SELECT k, {AGG} FROM o GROUP BY k")
 def topk_coverage(spark, d):
-    r = _ranked(spark, d)
-    sizes = r.select("question_id").distinct().select("question_id", F.explode(F.array(*map(F.lit, (1, 5, 10)))).alias("k")).withColumn("size", F.col("k"))
-    return study.aggregate(study.outcomes(r, sizes), ["k"])
+    return study.aggregate(_at(spark, d, 1, 5, 10).withColumnRenamed("wanted", "k"), ["k"])
 
 
 @R.query("coverage_by_group", f"{RANKED}, {out_sql('5')} GROUP BY ALL) SELECT coalesce(question_type, 'all') AS kind, count(*) AS n, round(avg(coverage), 9) AS coverage, round(avg(size), 9) AS mean_size FROM o GROUP BY GROUPING SETS ((), (question_type))")
 def coverage_by_group(spark, d):
-    r = _ranked(spark, d)
-    o = study.outcomes(r, r.select("question_id", F.lit(5).alias("size")).distinct())
-    return o.rollup("question_type").agg(F.count("*").alias("n"), F.round(F.avg("coverage"), 9).alias("coverage"), F.round(F.avg("size"), 9).alias("mean_size")).select(F.coalesce("question_type", F.lit("all")).alias("kind"), "n", "coverage", "mean_size")
+    return _at(spark, d, 5).rollup("question_type").agg(F.count("*").alias("n"), F.round(F.avg("coverage"), 9).alias("coverage"), F.round(F.avg("size"), 9).alias("mean_size")).select(F.coalesce("question_type", F.lit("all")).alias("kind"), "n", "coverage", "mean_size")
 
 
 @R.query("wilson_interval", f"""{PROFILES}, g AS (SELECT question_type, count(*) FILTER (best_rank <= 5)::DOUBLE AS s, count(*)::DOUBLE AS n FROM p GROUP BY 1)
@@ -126,7 +136,7 @@ def wilson_interval(spark, d):
 @R.query("auroc", f"""{RANKED}, a AS (SELECT raw, evidence, avg(rn) OVER (PARTITION BY raw) AS r FROM (SELECT raw, evidence, row_number() OVER (ORDER BY raw) AS rn FROM ranked)), t AS (SELECT sum(r) FILTER (evidence) AS R, count(*) FILTER (evidence) AS P, count(*) FILTER (NOT evidence) AS N FROM a)
 SELECT round((R - P * (P + 1) / 2) / (P * N), 9) AS auroc FROM t""")
 def auroc(spark, d):
-    return study.auroc(_ranked(spark, d), "raw", "evidence")
+    return ranks.auroc(*_evidence(spark, d))
 
 
 @R.query("age_bucket", f"{PROFILES} SELECT CASE WHEN youngest <= 168 THEN '<=7d' WHEN youngest <= 720 THEN '8-30d' ELSE '>30d' END AS bucket, count(*) AS n, round(avg((best_rank <= 5)::INT), 9) AS coverage FROM p GROUP BY 1")
@@ -164,55 +174,58 @@ CRC = "l AS (SELECT rk, sum(1 - found / ec) AS loss FROM ranked GROUP BY rk), nn
 
 @R.query("crc_k", _union_sql(f"{RANKED}, {CRC}", lambda a: f"SELECT CAST({a} AS DOUBLE) AS alpha, CAST(coalesce(min(rk) FILTER ((loss + 1) / (n + 1) <= {a}), max(w)) AS INTEGER) AS k FROM l, nn"))
 def crc_k(spark, d):
-    r = _ranked(spark, d)
-    return _each(lambda a: study.crc_k(r, a), "").select("alpha", "k")
+    _, _, rows, known = _evidence(spark, d)
+    return _each(lambda a: ranks.crc_k(rows, known, a), "").select("alpha", "k")
 
 
 def _policy(spark, d, sizes_of):
-    r = _ranked(spark, d)
-    return study.aggregate(study.outcomes(r, sizes_of(r, study.profiles(r).withColumn("g", F.lit("")))), [])
+    """Outcomes of a policy: ``sizes_of`` gives (question_id, wanted, tokens) from questions, memories, what is known and profiles."""
+    q, m, rows, known = _evidence(spark, d)
+    return ranks.outcomes(rows, known, sizes_of(q, m, known, ranks.profiles(rows, known).withColumn("g", F.lit(""))))
 
 
 @R.query("token_budget_policy", f"{PROFILES}, b AS (SELECT coalesce(value, 'inf'::DOUBLE) AS b FROM ({_stat_sql('tokens_to_first', UPPER, 0.1)})), z AS (SELECT question_id, count(*) FILTER (cum <= b) AS k FROM ranked, b GROUP BY 1), {out_sql('k')} JOIN z USING (question_id) GROUP BY ALL) SELECT {AGG} FROM o")
 def token_budget_policy(spark, d):
-    def sizes(r, p):
-        b = study.upper_quantile(p, "tokens_to_first", 0.1, ["g"]).select(F.col("value").alias("b"))
-        return r.crossJoin(F.broadcast(b)).groupBy("question_id").agg(F.count_if(F.col("cumulative_tokens") <= F.col("b")).alias("size"))  # one row
+    def sizes(q, m, known, p):
+        b = study.upper_quantile(p, "tokens_to_first", 0.1, ["g"]).first().value
+        if b == float("inf"):
+            return known.select("question_id", F.col("size").alias("wanted"), F.col("all_tokens").alias("tokens"))
+        least = m.agg(F.min("tokens")).first()[0]
+        first = ranks.top(q, m, int(b // least) + 1)  # no more than that can fit
+        fits = first.where(F.col("cumulative_tokens") <= b).groupBy("question_id").agg(F.count("*").alias("wanted"), F.max("cumulative_tokens").alias("tokens"))
+        return known.select("question_id").join(fits, "question_id", "left").fillna(0)
 
-    return _policy(spark, d, sizes)
+    return study.aggregate(_policy(spark, d, sizes), [])
 
 
 @R.query("gap_policy", f"{PROFILES}, b AS (SELECT coalesce(value, 'inf'::DOUBLE) AS b FROM ({_stat_sql('gap', UPPER, 0.1)})), z AS (SELECT question_id, count(*) FILTER (round(top_score - score, 9) <= b) AS k FROM ranked JOIN p USING (question_id), b GROUP BY 1), {out_sql('k')} JOIN z USING (question_id) GROUP BY ALL) SELECT {AGG} FROM o")
 def gap_policy(spark, d):
-    def sizes(r, p):
-        b = study.upper_quantile(p, "gap", 0.1, ["g"]).select(F.col("value").alias("b"))
-        j = r.join(p.select("question_id", "top_score"), "question_id").crossJoin(F.broadcast(b))  # one row
-        return j.groupBy("question_id").agg(F.count_if(F.round(F.col("top_score") - F.col("score"), 9) <= F.col("b")).alias("size"))
+    def sizes(q, m, known, p):
+        return ranks.within_gap(q, m, known, study.upper_quantile(p, "gap", 0.1, ["g"]).first().value)
 
-    return _policy(spark, d, sizes)
+    return study.aggregate(_policy(spark, d, sizes), [])
 
 
 FLOOR = f"{TERC}, k0 AS (SELECT value AS k0 FROM ({_stat_sql('best_rank', RANK, 0.1)})), kb AS (SELECT g AS bin, value AS kb FROM ({_stat_sql('best_rank', RANK, 0.1, 'bin')})), z AS (SELECT question_id, greatest(kb, k0) AS k FROM p JOIN kb USING (bin), k0)"
 
 
-def floor_sizes(r, p):
+def floor_sizes(q, m, known, p):
     """The larger of the tercile's k and the global one."""
     t = terciles(p)
     k0 = study.rank_quantile(p, 0.1, ["g"]).select(F.col("value").alias("k0"))
     kb = study.rank_quantile(t, 0.1, ["bin"]).select("bin", F.col("value").alias("kb"))
-    return t.join(F.broadcast(kb), "bin").crossJoin(F.broadcast(k0)).select("question_id", F.greatest("kb", "k0").alias("size"))  # three rows; one row
+    wanted = kept(t.join(F.broadcast(kb), "bin").crossJoin(F.broadcast(k0)).select("question_id", F.greatest("kb", "k0").alias("wanted")), "wanted")  # three rows; one row
+    return ranks.first_tokens(ranks.top(q, m, wanted.agg(F.max("wanted")).first()[0] or 1), known, wanted)
 
 
 @R.query("floor_policy", f"{FLOOR}, {out_sql('k')} JOIN z USING (question_id) GROUP BY ALL) SELECT {AGG} FROM o")
 def floor_policy(spark, d):
-    return _policy(spark, d, floor_sizes)
+    return study.aggregate(_policy(spark, d, floor_sizes), [])
 
 
 @R.query("policy_outcomes", f"{FLOOR}, {out_sql('k')} JOIN z USING (question_id) GROUP BY ALL) SELECT question_id, question_type, coverage, round(recall, 9) AS recall, all_found, CAST(size AS BIGINT) AS size, CAST(tokens AS BIGINT) AS tokens FROM o")
 def policy_outcomes(spark, d):
-    r = _ranked(spark, d)
-    o = study.outcomes(r, floor_sizes(r, study.profiles(r).withColumn("g", F.lit(""))))
-    return o.select("question_id", "question_type", "coverage", F.round("recall", 9).alias("recall"), "all_found", "size", F.col("tokens").cast("long").alias("tokens"))
+    return _policy(spark, d, floor_sizes).select("question_id", "question_type", "coverage", F.round("recall", 9).alias("recall"), "all_found", "size", "tokens")
 
 
 FOLDS = "f AS (SELECT p.*, rep, (question_id * 31 + rep * 17 + (question_id // 50) * (rep + 1) + (question_id // 100) * rep) % 2 = 0 AS calibration FROM p, (SELECT unnest(range(200)) AS rep))"
@@ -243,12 +256,15 @@ def repetition_ranges(spark, d):
 
 @R.query("token_accounting", f"{RANKED} SELECT round(avg(tokens), 9) AS mean_tokens, CAST(max(tokens) AS BIGINT) AS max_tokens FROM ranked")
 def token_accounting(spark, d):
-    return _ranked(spark, d).agg(F.round(F.avg("tokens"), 9).alias("mean_tokens"), F.max("tokens").alias("max_tokens"))
+    """A line's tokens are the same for every question, so memories are counted once."""
+    return haystack(spark, d).agg(F.round(F.avg("tokens"), 9).alias("mean_tokens"), F.max("tokens").alias("max_tokens"))
 
 
 @R.query("dataset_stats", f"WITH {STUDY_SQL}, q AS (SELECT question_id, question_type, count(*) AS m, count(*) FILTER (evidence) AS e FROM study GROUP BY ALL) SELECT question_type, count(*) AS questions, round(avg(m), 9) AS mean_memories, quantile_cont(m::DOUBLE, 0.5) AS median_memories, round(avg(e), 9) AS mean_evidence, round(avg((e = 0)::INT), 9) AS without_evidence FROM q GROUP BY 1")
 def dataset_stats(spark, d):
-    q = rows_of(spark, d).groupBy("question_id", "question_type").agg(F.count("*").alias("m"), F.count_if("evidence").alias("e"))
+    """Memories are counted by topic, not by question."""
+    topics = haystack(spark, d).groupBy("topic").agg(F.count("*").alias("e"))
+    q = questions(spark, d).crossJoin(F.broadcast(topics.agg(F.sum("e").alias("m")))).join(topics, "topic", "left").fillna(0, "e")  # one row
     return q.groupBy("question_type").agg(F.count("*").alias("questions"), F.round(F.avg("m"), 9).alias("mean_memories"), F.percentile("m", 0.5).alias("median_memories"), F.round(F.avg("e"), 9).alias("mean_evidence"), F.round(F.avg((F.col("e") == 0).cast("int")), 9).alias("without_evidence"))
 
 
@@ -279,21 +295,19 @@ def prompt_compare(spark, d):
 
 @R.query("evidence_recall", f"{RANKED} SELECT question_id, round(avg((rk <= 5)::INT) FILTER (evidence), 9) AS recall, CAST(count(*) FILTER (rk <= 5) AS BIGINT) AS injected_lines FROM ranked GROUP BY 1")
 def evidence_recall(spark, d):
-    r = _ranked(spark, d)
-    return r.groupBy("question_id").agg(F.round(F.avg(F.when(F.col("evidence"), (F.col("rk") <= 5).cast("int"))), 9).alias("recall"), F.count_if(F.col("rk") <= 5).alias("injected_lines"))
+    return _at(spark, d, 5).select("question_id", F.round("recall", 9).alias("recall"), F.col("size").alias("injected_lines"))
 
 
 @R.query("pareto", f"{RANKED}, ks AS (SELECT unnest([1, 2, 4, 8, 16]) AS k), {out_sql('k', ', k')}, ks GROUP BY ALL) SELECT concat('top_', k) AS method, round(avg(coverage), 9) AS coverage, round(avg(tokens), 9) AS mean_tokens FROM o GROUP BY k")
 def pareto(spark, d):
-    r = _ranked(spark, d)
-    sizes = r.select("question_id").distinct().select("question_id", F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))).alias("k")).withColumn("size", F.col("k"))
-    return study.aggregate(study.outcomes(r, sizes), ["k"]).select(F.concat(F.lit("top_"), F.col("k").cast("string")).alias("method"), "coverage", "mean_tokens")
+    o = _at(spark, d, 1, 2, 4, 8, 16).withColumnRenamed("wanted", "k")
+    return study.aggregate(o, ["k"]).select(F.concat(F.lit("top_"), F.col("k").cast("string")).alias("method"), "coverage", "mean_tokens")
 
 
 def _deltas(spark, d):
     """Coverage at 5 of one score against another, by question."""
-    rows = kept(rows_of(spark, d), "study")
-    hit = lambda score, name: study.profiles(study.ranked(rows, score)).select("question_id", (F.col("best_rank") <= 5).cast("int").alias(name))
+    q, m = questions(spark, d), haystack(spark, d)
+    hit = lambda score, name: ranks.profiles(*ranks.ranked(q, m, score)).select("question_id", (F.col("best_rank") <= 5).cast("int").alias(name))
     return hit("decay_tiebreak", "a").join(hit("production", "b"), "question_id").select("question_id", (F.col("a") - F.col("b")).alias("delta"))
 
 
@@ -315,9 +329,8 @@ k AS (SELECT *, unnest(['overall', question_type]) AS kind FROM o JOIN b USING (
 SELECT kind, count(*) AS questions, round(avg(coverage), 9) AS coverage, round(avg(recall), 9) AS recall, round(avg(tokens), 9) AS mean_tokens, round(avg(size), 9) AS mean_lines, round(avg(coverage - before), 9) AS diff FROM k GROUP BY 1""")
 def type_summary(spark, d):
     """Eight results against three, overall and per type."""
-    r = _ranked(spark, d)
-    at = lambda k: study.outcomes(r, r.select("question_id").distinct().withColumn("size", F.lit(k)))
-    return study.summarize(at(8), at(3))
+    o = kept(_at(spark, d, 3, 8), "outcomes")
+    return study.summarize(o.where("wanted = 8"), o.where("wanted = 3"))
 
 
 @R.query("preloaded_store", f"WITH {STUDY_SQL} SELECT CAST(question_id AS VARCHAR) AS agent_id, id, round({NOW} - age_hours * 3600, 3) AS created_at, round({NOW} - age_hours * 3600, 3) AS updated_at FROM study")
@@ -336,7 +349,7 @@ m AS (SELECT rep, CASE WHEN youngest <= 168 THEN '<=7d' WHEN youngest <= 720 THE
 SELECT bucket, 'threshold' AS method, round(avg(a), 9) AS coverage, count(*) AS n FROM m GROUP BY 1 UNION ALL SELECT bucket, 'top_5', round(avg(b), 9), count(*) FROM m GROUP BY 1""")
 def age_metrics(spark, d):
     """By the age of the evidence, over 200 splits."""
-    return study.age_metrics(study.profiles(_ranked(spark, d, "production")), 0.1, 200)
+    return study.age_metrics(_profiles(spark, d, "production"), 0.1, 200)
 
 
 GRID = [(k, b) for k in (4, 8) for b in (200, 400)]
@@ -346,7 +359,9 @@ GRID = [(k, b) for k in (4, 8) for b in (200, 400)]
 def visibility_grid(spark, d):
     """What a line shows of its memory for each k and limit of bytes."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(b).alias("most")) for k, b in GRID))).alias("g")
-    r = _ranked(spark, d).select("*", each).select("rk", "evidence", "user_bytes", "assist_bytes", "g.k", "g.most").where("rk <= k")
+    q, m, _, known = _evidence(spark, d)
+    first = ranks.top(q, m, max(k for k, _ in GRID)).join(known.select("question_id"), "question_id", "left_semi").join(m.select("id", "user_bytes", "assist_bytes"), "id")
+    r = first.select("*", each).select("rk", "evidence", "user_bytes", "assist_bytes", "g.k", "g.most").where("rk <= k")
     shown = F.least("user_bytes", "most") + F.least("assist_bytes", "most")
     cut = (F.col("user_bytes") > F.col("most")) | (F.col("assist_bytes") > F.col("most"))
     return r.groupBy("k", "most").agg(F.round(F.avg(shown), 9).alias("mean_bytes"), F.round(F.avg(cut.cast("int")), 9).alias("truncated"), F.round(F.avg(F.col("evidence").cast("int")), 9).alias("evidence"))

@@ -7,27 +7,40 @@ from pyspark.sql import functions as F
 
 from ..config import NOW
 from ..operators.retrieval import best_pairs
+from ..operators.study import line_tokens
 from .scratch import kept
 from .store import MEMORIES_SQL, memories, table
 
 
-def study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question_id, question_type, id, raw, age_hours, evidence, user_bytes, assist_bytes).
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, question_type, query_emb, topic): the vectors whose ids are divisible by 50."""
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return q.select(F.col("vec_id").alias("question_id"), F.concat(F.lit("type"), (F.col("label") % 3).cast("string")).alias("question_type"), F.col("embedding").alias("query_emb"), F.col("label").cast("long").alias("topic"))
 
-    Questions are the vectors whose ids are divisible by 50. A question's haystack is the whole store; evidence shares its label.
-    Questions meet memories in blocks, and only the similarities leave those.
-    """
+
+def haystack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store, which is every question's haystack, with topic, age_hours, user_bytes, assist_bytes and tokens. Evidence has the question's topic; written."""
     vectors = table(spark, sf_dir, "embeddings")
-    q = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.concat(F.lit("type"), (F.col("label") % 3).cast("string")).alias("question_type"), F.col("embedding").alias("query_emb"), F.col("label").alias("asked"))
     n = vectors.agg(F.count("*").alias("n"))
     m = memories(spark, sf_dir).crossJoin(F.broadcast(n))  # one row
     conv, turn = F.floor(F.col("id") / 1000), F.col("id") % 1000
-    m = kept(m.join(vectors.select("vec_id", "label"), F.col("vec_id") == (conv * 37 + turn * 2) % F.col("n")), "haystack")
+    m = m.join(vectors.select("vec_id", F.col("label").cast("long").alias("topic")), F.col("vec_id") == (conv * 37 + turn * 2) % F.col("n"))
+    m = m.withColumns({"age_hours": (F.lit(NOW) - F.col("created_at")) / 3600, "user_bytes": F.octet_length("user_text"), "assist_bytes": F.octet_length("assist_text")})
+    return kept(m.select("id", "created_at", "user_emb", "assist_emb", "topic", "age_hours", "user_bytes", "assist_bytes", line_tokens().alias("tokens")), "haystack")
+
+
+def study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, question_type, id, raw, age_hours, evidence, user_bytes, assist_bytes): all pairs, for what is asked of each of them.
+
+    Questions meet memories in blocks, and only the similarities leave those.
+    """
+    q, m = questions(spark, sf_dir), haystack(spark, sf_dir)
     anyone = q.select(F.col("question_id").alias("query_id"), F.lit("").alias("agent_id"), "query_emb")
     pairs = best_pairs(anyone, m.withColumn("agent_id", F.lit(None).cast("string")), ["user_emb", "assist_emb"], 1 << 30, -2.0, decay_days=None, unit=True)
     pairs = pairs.select(F.col("query_id").alias("question_id"), "id", F.greatest("similarity", F.lit(-1.0)).alias("raw"))
-    light = m.select("id", ((F.lit(NOW) - F.col("created_at")) / 3600).alias("age_hours"), "label", F.octet_length("user_text").alias("user_bytes"), F.octet_length("assist_text").alias("assist_bytes"))
-    return pairs.join(light, "id").join(q.drop("query_emb"), "question_id").select("question_id", "question_type", "id", "raw", "age_hours", (F.col("label") == F.col("asked")).alias("evidence"), "user_bytes", "assist_bytes")
+    light = m.select("id", "age_hours", F.col("topic").alias("label"), "user_bytes", "assist_bytes")
+    asked = q.select("question_id", "question_type", F.col("topic").alias("asked"))
+    return pairs.join(light, "id").join(asked, "question_id").select("question_id", "question_type", "id", "raw", "age_hours", (F.col("label") == F.col("asked")).alias("evidence"), "user_bytes", "assist_bytes")
 
 
 STUDY_SQL = f"""{MEMORIES_SQL}, study AS (

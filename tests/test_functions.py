@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.config import ADAPTIVE_EDGES, ADAPTIVE_K, InjectMode, Settings
 from anamnesis.functions import embedding, scoring, temporal, text
-from anamnesis.operators import context, lexical, messages, retrieval, store, study
+from anamnesis.operators import context, lexical, messages, ranks, retrieval, store, study
 from anamnesis.streaming import ingest
 
 
@@ -160,17 +160,18 @@ def test_quantiles(spark):
     for alpha in (0.0, 0.1, 0.3, 0.6, 0.99):
         place = int(alpha * (len(scores) + 1) + 1e-9)
         assert study.conformal_threshold(p, alpha, ["g"]).first()["value"] == (sorted(scores)[min(place, len(scores)) - 1] if place else float("-inf"))
-    ranks = [3, 1, 1, 7, 20]
-    r = spark.createDataFrame([("g", x) for x in ranks], "g string, best_rank int")
+    best = [3, 1, 1, 7, 20]
+    r = spark.createDataFrame([("g", x) for x in best], "g string, best_rank int")
     for alpha in (0.1, 0.25, 0.5, 0.9):
-        place = min(max(1, int(np.ceil((1 - alpha) * (len(ranks) + 1) - 1e-9))), len(ranks))
-        assert study.rank_quantile(r, alpha, ["g"]).first()["value"] == sorted(ranks)[place - 1]
+        place = min(max(1, int(np.ceil((1 - alpha) * (len(best) + 1) - 1e-9))), len(best))
+        assert study.rank_quantile(r, alpha, ["g"]).first()["value"] == sorted(best)[place - 1]
     assert study.upper_quantile(r, "best_rank", 0.01, ["g"]).first()["value"] == float("inf")
     curves = [[0.75, 0.75, 0.25, 0.0], [1.0, 0.5, 0.5, 0.0], [0.0, 0.0, 0.0, 0.0], [1.0, 1.0, 0.0, 0.0]]
-    curve = spark.createDataFrame([(q, k + 1, 1 - x, 4) for q, line in enumerate(curves) for k, x in enumerate(line)], "question_id int, rk int, recall double, size int")
+    found = [(q, k + 1, 4) for q, line in enumerate(curves) for k, x in enumerate(line) for _ in range(round(4 * ((line[k - 1] if k else 1.0) - x)))]
+    rows, known = spark.createDataFrame(found, "question_id int, rk int, evidence_count int"), spark.createDataFrame([(q, 4) for q in range(4)], "question_id int, size int")
     for alpha in (0.8, 0.7, 0.4, 0.2, 0.05):
         want = next((k + 1 for k in range(4) if (sum(c[k] for c in curves) + 1) / (len(curves) + 1) <= alpha), 4)
-        assert study.crc_k(curve, alpha).first().k == want
+        assert ranks.crc_k(rows, known, alpha).first().k == want
 
 
 def test_supersession(spark):

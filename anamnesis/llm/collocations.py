@@ -48,8 +48,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SCALE = 1_000_000
 NOTHING = pa.scalar("", pa.large_string())
-#: Bytes of input per bucket, and windows that are dealt at a time.
-BUCKET_BYTES, DEALT_AT_ONCE = 2 << 20, 1_500_000
+#: Bytes of input per bucket, bytes of text that are counted and windows that are dealt at a time.
+BUCKET_BYTES, AT_ONCE, DEALT_AT_ONCE = 2 << 20, 5 << 20, 500_000
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -189,9 +189,10 @@ def windows(docs: DataFrame, longest: int, least: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in portions(batch.column(0)):
+            for i, j in portions(batch.column(0), AT_ONCE):
                 for lang, keys, n, hashed in count_windows(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), longest):
                     yield deal(lang, keys, n, hashed, buckets)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     def fold_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows are complete here: rare ones lose their last word. They are dealt by what is left, those of several buckets together."""
@@ -199,10 +200,11 @@ def windows(docs: DataFrame, longest: int, least: int) -> DataFrame:
         for lang, keys, n in met(batches):
             padded = glued(fewer(keys), NOTHING, by=" ")
             held.setdefault(lang, []).append(folded(keys, n, padded, n < least))
-            if sum(len(n) for _, n in held[lang]) >= DEALT_AT_ONCE:
-                yield dealt_by_beginning(lang, held.pop(lang))
-        for lang, lot in held.items():
-            yield dealt_by_beginning(lang, lot)
+            if sum(len(n) for lot in held.values() for _, n in lot) >= DEALT_AT_ONCE:
+                yield from (dealt_by_beginning(*lot) for lot in held.items())
+                held.clear()
+        yield from (dealt_by_beginning(*lot) for lot in held.items())
+        pa.default_memory_pool().release_unused()
 
     def dealt_by_beginning(lang: str, lot: list) -> pa.RecordBatch:
         keys, n = pa.concat_arrays([k for k, _ in lot]), np.concatenate([n for _, n in lot])

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from ..config import ADAPTIVE_EDGES, ADAPTIVE_K, CALIBRATED_K, NOW
 from ..functions import scoring, temporal, text
-from ..operators import lexical, retrieval, store
-from ..sources.scratch import kept
+from ..operators import clusters, lexical, retrieval, store
+from ..sources.scratch import kept, scratch
 from ..sources.store import DATED_SQL, FACTS_SQL, MEMORIES_SQL, QUERIES_SQL, TEXTS_SQL, dated, fact_inputs, memories, queries, query_texts, table
 from .registry import Registry
 
@@ -95,12 +95,36 @@ def fact_search(spark, d):
     return retrieval.search_facts(queries(spark, d), stored_facts(spark, d), 3, 0.3)
 
 
-@R.query("find_duplicates", f"""WITH {MEMORIES_SQL}, {QUERIES_SQL}, hits AS (SELECT q.query_id, m.id, round({dot('m.user_emb')}, 9) AS similarity FROM queries q JOIN memories m ON m.agent_id IS NULL OR m.agent_id = q.agent_id)
-SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rk FROM hits WHERE similarity >= 0.4) WHERE rk = 1""")
+DUPLICATES_SQL = f"""WITH {MEMORIES_SQL}, {QUERIES_SQL}, hits AS (SELECT q.query_id, m.id, round({dot('m.user_emb')}, 9) AS similarity FROM queries q JOIN memories m ON m.agent_id IS NULL OR m.agent_id = q.agent_id)
+SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rk FROM hits WHERE similarity >= 0.4) WHERE rk = 1"""
+
+
+@R.query("find_duplicates", DUPLICATES_SQL)
 def find_duplicates(spark, d):
     return retrieval.find_duplicates(queries(spark, d), memories(spark, d), 0.4)
 
 
+def _clusters(spark, d):
+    """The store's user vectors by cluster, in two batches."""
+    kept_ = clusters.Clusters(scratch(spark, "clusters"))
+    m = kept(memories(spark, d).select("id", "agent_id", F.col("user_emb").alias("vector")), "vectors")
+    kept_.append(m.where("floor(id / 1000) % 2 = 0"), 0)
+    kept_.append(m.where("floor(id / 1000) % 2 = 1"), 1)
+    return kept_
+
+
+@R.query("clustered_duplicates", DUPLICATES_SQL)
+def clustered_duplicates(spark, d):
+    """As find_duplicates, over the clusters within reach of each query."""
+    return _clusters(spark, d).alike(queries(spark, d), 0.4)
+
+
+@R.query("clustered_search", DUPLICATES_SQL.replace("similarity >= 0.4) WHERE rk = 1", "similarity >= 0.1) WHERE rk <= 5").replace("SELECT query_id, id, similarity FROM (SELECT *", "SELECT query_id, CAST(rk AS INTEGER) AS rk, id, similarity FROM (SELECT *"))
+def clustered_search(spark, d):
+    """The five nearest user vectors of at least 0.1, by clusters."""
+    return _clusters(spark, d).nearest(queries(spark, d), 5, 0.1)
+
+
 #: By a query's id: the coverage asked for (the last has no calibrated number) and the mode.
 ASKED_COVERAGE, MODES = (0.8, 0.9, 0.95, 0.5), ("tiebreak", "legacy")
 ASKED_SQL = f"asked AS (SELECT query_id, ([{', '.join(map(str, ASKED_COVERAGE))}]::DOUBLE[])[query_id // 50 % 4 + 1] AS coverage, ['tiebreak', 'legacy'][query_id // 200 % 2 + 1] AS mode FROM queries)"

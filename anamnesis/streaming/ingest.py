@@ -6,12 +6,15 @@ resolved as a set, see ``resolve``. No agent's rows are gathered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import both_mentioned_days
 from ..operators import retrieval
+from ..operators.clusters import Clusters
 from ..operators.components import components
 from ..schema import SAVE_EVENTS
 from ..sources.scratch import kept
@@ -82,10 +85,11 @@ def _settle_by_rounds(links: DataFrame) -> DataFrame:
     return out if out is not None else links.select("id").limit(0)
 
 
-def resolve(stored: DataFrame, incoming: DataFrame, threshold: float = 0.92) -> tuple[DataFrame, DataFrame]:
+def resolve(stored: DataFrame | Callable[[DataFrame], DataFrame], incoming: DataFrame, threshold: float = 0.92) -> tuple[DataFrame, DataFrame]:
     """(inserted rows of ``incoming``, touches (id, by, at)): ``at`` is the time of the row that touched a memory.
 
-    A row goes in if no stored memory and no earlier row that goes in is alike; else it touches the one most alike.
+    A row goes in if no stored memory and no earlier row that goes in is alike; else it touches the one most alike. What is stored is given as rows, or as a function that
+    finds the stored memory most alike to (query_id, agent_id, query_emb).
 
     The rows that no stored memory is like are compared with each other once. If no row has more than ``MOST_ALIKE`` earlier ones, these are all the links there
     are, and ``settle`` decides. In a denser batch the rows without any earlier one go in first and take those like them out of the
@@ -93,7 +97,8 @@ def resolve(stored: DataFrame, incoming: DataFrame, threshold: float = 0.92) ->
     leaves a task. Rows of an agent with equal vectors are one row until touches are told.
     """
     incoming = kept(incoming, "incoming")
-    known = kept(retrieval.find_duplicates(as_queries(incoming), stored, threshold).select("query_id", "id", "similarity"), "known")
+    found = stored(as_queries(incoming)) if callable(stored) else retrieval.find_duplicates(as_queries(incoming), stored, threshold)
+    known = kept(found.select("query_id", "id", "similarity"), "known")
     light = incoming.select("id", "agent_id", "user_emb").join(known.select(F.col("query_id").alias("id")), "id", "left_anti")
     # of equal vectors only the first can go in; null vectors are like nothing
     going = light.where("user_emb IS NOT NULL").groupBy("agent_id", "user_emb").agg(F.min("id").alias("id")).select("id", "agent_id", "user_emb")
@@ -125,16 +130,16 @@ def read_store(spark: SparkSession, target: str) -> DataFrame:
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, threshold: float = 0.92, files: int = 16):
     """A query that reads new files of exchanges, at most ``files`` a batch, into ``target``/memories and ``target``/touches.
 
-    Each batch writes folders of its own number, so a batch that runs again replaces what it wrote.
+    Each batch writes folders of its own number, so a batch that runs again replaces what it wrote. User vectors are also kept by cluster, and a batch reads only
+    the clusters within its reach.
     """
     columns = [f.name for f in SAVE_EVENTS.fields]
 
     def write(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        memory_schema = batch.schema
-        past = [f"{target}/memories/batch={i}" for i in range(number)]
-        stored = s.read.schema(memory_schema).parquet(*past) if past else s.createDataFrame([], memory_schema)
-        rows, touches = resolve(stored, batch, threshold)
+        near = Clusters(f"{target}/clusters")
+        rows, touches = resolve(lambda q: near.alike(q, threshold, before=number), batch, threshold)
+        rows = kept(rows, "new")
+        near.append(rows.select("id", "agent_id", F.col("user_emb").alias("vector")), number)
         days = both_mentioned_days(F.col("user_text"), F.col("assist_text"), F.col("created_at"))
         rows.select(*columns, F.lit(1).alias("access_count"), days.alias("mentioned_days")).write.mode("overwrite").parquet(f"{target}/memories/batch={number}")
         touches.write.mode("overwrite").parquet(f"{target}/touches/batch={number}")

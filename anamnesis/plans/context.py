@@ -252,17 +252,21 @@ def request_validation(spark, d):
     return b.select("conv_id", messages.request_status(F.col("body"), 1500).alias("chat"), messages.request_status(F.col("body"), 1500, True).alias("blocks"))
 
 
-@R.query("sse_accumulate", "SELECT conv_id * 1000 + turn AS stream_id, text FROM conversations WHERE role = 'assistant'")
-def sse_accumulate(spark, d):
-    """Replies as streamed lines of both formats, cut into chunks of 37 characters, and put together again."""
+def reply_chunks(spark, d):
+    """(stream_id, seq, chunk): replies as streamed lines of both formats, cut into chunks of 37 characters."""
     c = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.split("text", "(?<= )").alias("parts"))
     chat = lambda p: F.to_json(F.struct(F.array(F.struct(F.struct(p.alias("content")).alias("delta"))).alias("choices")))
     block = lambda p: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), p.alias("text")).alias("delta")))
     lines = F.transform("parts", lambda p: F.concat(F.lit("data: "), F.when(F.col("stream_id") % 2 == 0, chat(p)).otherwise(block(p)), F.lit("\r\n\r\n")))
     body = F.concat(F.array_join(lines, ""), F.lit("data: [DONE]\n"))
     chunks = c.select("stream_id", body.alias("body")).select("stream_id", "body", F.explode(F.sequence(F.lit(0), (F.length("body") / 37).cast("int"))).alias("seq"))
-    chunks = chunks.select("stream_id", "seq", F.substring("body", F.col("seq") * 37 + 1, F.lit(37)).alias("chunk"))
-    return messages.reply_of_chunks(chunks)
+    return chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), F.substring("body", F.col("seq") * 37 + 1, F.lit(37)).alias("chunk"))
+
+
+@R.query("sse_accumulate", "SELECT conv_id * 1000 + turn AS stream_id, text FROM conversations WHERE role = 'assistant'")
+def sse_accumulate(spark, d):
+    """Replies cut into chunks and put together again."""
+    return messages.reply_of_chunks(reply_chunks(spark, d))
 
 
 @R.query("response_text", "SELECT conv_id, turn, text || '!' AS text FROM conversations WHERE role = 'assistant'")

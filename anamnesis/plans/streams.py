@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import embedding, text
-from ..sources.scratch import scratch
+from ..sources.scratch import kept, scratch
 from ..sources.store import MEMORIES_SQL, memories, table
-from ..streaming import ingest, saving, windows
+from ..streaming import ingest, saving, state, windows
+from .context import reply_chunks
 from .registry import Registry
 
 R = Registry()
@@ -45,6 +46,45 @@ def save_path(spark, d):
     return saver.live(spark).select("id", "agent_id", "access_count")
 
 
+def _in_lots(spark, rows, lots: int, lot, make, columns: str):
+    """What a stream with state writes over files that arrive in lots, each taken up where the last run stopped."""
+    source, target, progress = (scratch(spark, f"lots-{x}") for x in ("in", "out", "progress"))
+    rows = kept(rows.withColumn("_lot", lot), "lots")
+    for n in range(lots):
+        rows.where(F.col("_lot") == n).drop("_lot").write.mode("append").parquet(source)
+        events = spark.readStream.schema(rows.drop("_lot").schema).parquet(source)
+        make(events).writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).outputMode("append").start(target).awaitTermination()
+    return spark.read.schema(columns).parquet(target)
+
+
+@R.query("stream_replies", "SELECT conv_id * 1000 + turn AS stream_id, text, true AS done FROM conversations WHERE role = 'assistant'")
+def stream_replies(spark, d):
+    """The chunks of all replies in three lots, which cut lines and texts; what was emitted, put together."""
+    found = _in_lots(spark, reply_chunks(spark, d), 3, F.least(F.floor(F.col("seq") / 5), F.lit(2)), state.replies, "stream_id long, seq long, text string, done boolean")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    return found.groupBy("stream_id").agg(F.array_join(parts, "").alias("text"), F.bool_or("done").alias("done"))
+
+
+@R.query("stream_sticky", """WITH e AS (SELECT event_id AS n, event_type AS cache, user_id AS k, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS p FROM events),
+d AS (SELECT e.n, count(DISTINCT x.k) AS others FROM e LEFT JOIN e x ON x.cache = e.cache AND x.n > e.p AND x.n < e.n GROUP BY e.n)
+SELECT n AS request_id, p IS NOT NULL AND others < 20 AS hit FROM e JOIN d USING (n)""")
+def stream_sticky(spark, d):
+    """Events as requests to a cache per type, of 20 users each, in three lots."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("key"), F.concat(F.lit("block "), F.col("event_id").cast("string")).alias("block"))
+    most = e.agg(F.max("request_id")).first()[0] or 0
+    found = _in_lots(spark, e, 3, F.least(F.floor(F.col("request_id") * 3 / (most + 1)), F.lit(2)), lambda s: state.recent_blocks(s, 20), "request_id long, hit boolean, block string")
+    return found.select("request_id", "hit")
+
+
+@R.query("stream_expiry", f"WITH {MEMORIES_SQL} SELECT id FROM memories WHERE created_at < (SELECT max(created_at) FROM memories) - 20 * 86400")
+def stream_expiry(spark, d):
+    """What has expired after 20 days, by timers, when all memories have arrived in three lots by their time."""
+    m = memories(spark, d, True).select("id", F.col("created_at").alias("at"))
+    span = m.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    lot = F.least(F.floor((F.col("at") - span.a) * 3 / ((span.b or 0) - (span.a or 0) + 1)), F.lit(2))
+    return _in_lots(spark, m, 3, lot, lambda s: state.expiries(s, 20), "id long")
+
+
 @R.query("embed_texts")
 def embed_texts(spark, d):
     """Unit vectors of user texts by the stand-in model."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import embedding, text
+from ..sources import memo
 from ..sources.scratch import kept, scratch
 from ..sources.store import MEMORIES_SQL, memories, table
 from ..streaming import ingest, saving, state, windows
@@ -92,6 +93,31 @@ def embed_texts(spark, d):
     return memories(spark, d, True).select("id", F.transform(embed("user_text"), lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 
 
+@R.query("embed_failures", f"WITH {MEMORIES_SQL} SELECT id, contains(user_text, 'qu') AS failed, CASE WHEN contains(user_text, 'qu') THEN 'ValueError: qu' END AS reason FROM memories")
+def embed_failures(spark, d):
+    """A model that fails for every batch with a certain text in it: only such texts lack a vector."""
+
+    def model(texts):
+        if any("qu" in t for t in texts):
+            raise ValueError("qu")
+        return embedding.hashing_model(16)(texts)
+
+    m = memories(spark, d, True).select("id", embedding.embedder(model, reasons=True)("user_text").alias("e"))
+    return m.select("id", F.col("e.vector").isNull().alias("failed"), "e.reason")
+
+
+@R.query("reply_memo", f"""WITH {MEMORIES_SQL}, t AS (SELECT user_text AS text, min(CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END) AS run FROM memories GROUP BY 1)
+SELECT sha256(text) AS key, concat('re: ', substr(text, 1, 20)) AS reply, CAST(run AS INTEGER) AS run FROM t""")
+def reply_memo(spark, d):
+    """Replies of a stand-in model to all user texts, of which a run before has answered some."""
+    texts = kept(memories(spark, d, True).select("id", F.col("user_text").alias("text")), "asked")
+    store = memo.Memo(scratch(spark, "memo"))
+    reply = lambda c: F.concat(F.lit("re: "), F.substring(c, 1, 20))
+    store.ask(texts.where("id % 3 = 0"), reply, 1)
+    store.ask(texts, reply, 2)
+    return store.read(spark).select("key", "reply", "run")
+
+
 @R.query("extract_facts", "SELECT conv_id * 1000 + turn AS id, 'user' AS subject, 'topic' AS attribute, substr(user_text, 1, 10) AS value FROM (SELECT conv_id, turn, role, text AS user_text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE role = 'user' AND n = 'assistant'")
 def extract_facts(spark, d):
     """Facts of a stand-in model that replies with the first letters of what the user said."""

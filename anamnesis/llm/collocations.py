@@ -48,8 +48,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SCALE = 1_000_000
 NOTHING = pa.scalar("", pa.large_string())
-#: Bytes of input per bucket, bytes of text that are counted and windows that are dealt at a time.
-BUCKET_BYTES, AT_ONCE, DEALT_AT_ONCE = 2 << 20, 5 << 20, 500_000
+#: Bytes of text per bucket, bytes of text that are counted and windows that are dealt at a time.
+BUCKET_BYTES, AT_ONCE, DEALT_AT_ONCE = 4 << 20, 5 << 20, 500_000
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -182,8 +182,8 @@ def folded(keys: pa.Array, counts: np.ndarray, by: pa.Array, rare: np.ndarray) -
 
 def windows(docs: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, w1..wn, n): how often each padded longest window comes; those that come less than ``least`` times have their ends padded further, as far as needed. Written."""
-    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate, for the number of buckets only
-    buckets = max(8, min(size // BUCKET_BYTES, 1 << 22))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, min(size // BUCKET_BYTES, 1 << 20))
     parts = max(min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), buckets // 4)
     names = [f"w{k + 1}" for k in range(longest)]
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import FACTS, estimate, facts_in_reply
+from .text import FACTS, estimate, facts_in_reply, sentence_spans
 
 Model = Callable[[list[str]], np.ndarray]
 MOST_TEXTS, MOST_TOKENS = 8, 2048
@@ -99,10 +99,19 @@ def fact_extractor(model: Callable[[list[str]], list[str]]):
     return run
 
 
+class SentenceRows:
+    """The sentences of a text as rows, with their byte spans."""
+
+    def eval(self, text: str):
+        for i, (start, end) in enumerate(sentence_spans(text)):
+            yield i, start, end
+
+
 def register(spark) -> None:
-    """Names for SQL users."""
+    """Names for SQL users. ``sentence_rows`` is a table function: FROM t, LATERAL sentence_rows(t.text)."""
     from .text import parse_facts, split_sentences
 
+    spark.udtf.register("sentence_rows", F.udtf(SentenceRows, returnType="idx int, start_byte int, end_byte int", useArrow=True))
     spark.udf.register("split_sentences", split_sentences)
     spark.udf.register("parse_facts", parse_facts)
     spark.udf.register("embed_text", embedder(hashing_model()))

@@ -104,6 +104,31 @@ def sentence_counts(spark, d):
     return store.sentences(m).groupBy("memory_id", "side").agg(F.count("*").alias("n"), F.array_join(spans, ",").alias("spans"))
 
 
+#: The sentences of plain texts, in SQL: (id, side, idx, start_byte, end_byte).
+SPANS_SQL = f"""p AS (SELECT id, {', '.join(PLAIN)} FROM memories), spans AS (SELECT id AS memory_id, 'u' AS side, 0 AS idx, 0 AS start_byte, strlen(user_text) AS end_byte FROM p
+UNION ALL SELECT id, 'a', 0, 0, strpos(assist_text, ' Its') - 1 FROM p UNION ALL SELECT id, 'a', 1, strpos(assist_text, ' Its'), strlen(assist_text) FROM p)"""
+SPAN = "memory_id, side, CAST(idx AS INTEGER) AS idx, CAST(start_byte AS INTEGER) AS start_byte"
+
+
+@R.query("sentence_rows", f"{M}, {SPANS_SQL} SELECT {SPAN}, CAST(end_byte AS INTEGER) AS end_byte FROM spans")
+def sentence_rows(spark, d):
+    """Sentences of plain texts by the table function, in SQL."""
+    from ..functions import embedding
+
+    embedding.register(spark)
+    plain = _m(spark, d).selectExpr("id", *PLAIN)
+    return spark.sql("SELECT id AS memory_id, side, s.* FROM (SELECT id, stack(2, 'u', user_text, 'a', assist_text) AS (side, text) FROM {plain}) t, LATERAL sentence_rows(t.text) s", plain=plain)
+
+
+@R.query("sentence_upsert_plain", f"{M}, {SPANS_SQL} SELECT {SPAN}, CAST(end_byte - (memory_id % 2 = 0)::INT AS INTEGER) AS end_byte FROM spans UNION ALL SELECT id, 'a', CAST(2 AS INTEGER), CAST(0 AS INTEGER), CAST(1 AS INTEGER) FROM p WHERE id % 2 = 0")
+def sentence_upsert_plain(spark, d):
+    """Spans of plain texts, of which those of even memories are replaced, and one is added to each of those."""
+    s = store.sentences(_m(spark, d).selectExpr("id", *PLAIN))
+    new = s.where("memory_id % 2 = 0").withColumn("end_byte", F.col("end_byte") - 1)
+    more = new.where("idx = 1").select("memory_id", "side", F.lit(2).alias("idx"), F.lit(0).alias("start_byte"), F.lit(1).alias("end_byte"))
+    return store.upsert(s, new.unionByName(more), ["memory_id", "side", "idx"])
+
+
 @R.query("sentence_backfill", f"{M} SELECT id, true AS u, true AS a FROM memories")
 def sentence_backfill(spark, d):
     """Memories that lack sentences get them; in the end none lacks any."""

@@ -9,6 +9,7 @@ from ..sources.store import MEMORIES_SQL, memories, table
 from ..streaming import ingest, saving, state, windows
 from .context import reply_chunks
 from .registry import Registry
+from .store import PLAIN
 
 R = Registry()
 COLUMNS = ["id", "agent_id", "created_at", "user_text", "assist_text", "user_emb", "assist_emb"]
@@ -47,6 +48,34 @@ def save_path(spark, d):
     return saver.live(spark).select("id", "agent_id", "access_count")
 
 
+WHOLE_SQL = f"""WITH {MEMORIES_SQL}, o AS (SELECT id, agent_id, id // 1000 % 7 AS k, row_number() OVER (ORDER BY id // 1000 % 3, id) AS n FROM memories),
+f AS (SELECT *, min(CASE WHEN agent_id IS NULL THEN n END) OVER (PARTITION BY k) AS g, min(n) OVER (PARTITION BY k, agent_id) AS a FROM o),
+i AS (SELECT *, CASE WHEN agent_id IS NULL THEN n = g ELSE n = a AND (g IS NULL OR g > n) END AS goes_in FROM f),
+t AS (SELECT r.id, min(m.id) AS touched FROM i r JOIN i m ON m.goes_in AND m.k = r.k AND m.n < r.n AND (m.agent_id IS NULL OR m.agent_id = r.agent_id) WHERE NOT r.goes_in GROUP BY r.id),
+x AS (SELECT id * 100 AS id, agent_id, concat('plain|k', (100000 + id) % 5) AS key, (100000 + id) // 5 % 3 AS v FROM memories), c AS (SELECT * FROM (SELECT *, lag(v) OVER (PARTITION BY agent_id, key ORDER BY id) AS b FROM x) WHERE b IS NULL OR b <> v)
+SELECT 'memory' AS kind, i.id, 1 + count(t.id) AS n FROM i LEFT JOIN t ON t.touched = i.id WHERE goes_in GROUP BY i.id UNION ALL SELECT 'sentences', id, 3 FROM i WHERE goes_in
+UNION ALL SELECT 'fact', id, coalesce(lead(id) OVER (PARTITION BY agent_id, key ORDER BY id), -1) FROM c"""
+
+
+@R.query("save_path_whole", WHOLE_SQL)
+def save_path_whole(spark, d):
+    """Plain texts with seven directions of vectors, in three lots: what goes in with its count of touches, the sentences of it, and the versions of facts of all exchanges."""
+    source, progress = scratch(spark, "save-events"), scratch(spark, "progress")
+    number = lambda prompt: F.regexp_extract(prompt, r"Reply number (\d+)", 1).cast("long")
+    fact = lambda p: F.array(F.struct(F.lit("Plain").alias("subject"), F.concat(F.lit("k"), (number(p) % 5).cast("string")).alias("attribute"), (F.floor(number(p) / 5) % 3).cast("string").alias("value")))
+    saver = saving.Saver(scratch(spark, "saved"), per_agent=1 << 30, per_global=1 << 30, embed=lambda part: F.array(F.length(part).cast("float")), extract=fact)
+    conv = F.floor(F.col("id") / 1000)
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: (i == conv % 7).cast("float"))
+    m = kept(memories(spark, d, True).selectExpr("id", "agent_id", "created_at", *PLAIN).withColumns({"user_emb": one_hot, "assist_emb": one_hot}).select(COLUMNS), "plain")
+    for lot in range(3):
+        m.where(conv % 3 == lot).write.mode("append").parquet(source)
+        saver.start(spark, source, progress, files=10_000).awaitTermination()
+    sentences = saver.sentences(spark).groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("n"))
+    parts = (("memory", saver.live(spark).select("id", F.col("access_count").cast("long").alias("n"))), ("sentences", sentences), ("fact", saver.facts(spark).select("id", F.coalesce("superseded_by", F.lit(-1)).alias("n"))))
+    rows = [part.select(F.lit(kind).alias("kind"), "id", "n") for kind, part in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def _in_lots(spark, rows, lots: int, lot, make, columns: str):
     """What a stream with state writes over files that arrive in lots, each taken up where the last run stopped."""
     source, target, progress = (scratch(spark, f"lots-{x}") for x in ("in", "out", "progress"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_tokens
+from ..sources.scratch import kept
 from .ordering import running_sums
 
 
@@ -138,3 +141,37 @@ def request_status(body: Column, most_bytes: int = 1 << 20, blocks: bool = False
         rows = F.from_json(messages, "array<struct<role:string>>")
         bad = bad | (F.size(rows) <= 0) | (F.try_element_at(rows, F.lit(-1))["role"] != "user")
     return F.when(F.octet_length(body) > most_bytes, 413).when(F.coalesce(bad, F.lit(True)), 400).otherwise(200)
+
+
+def block_texts(contents: DataFrame) -> DataFrame:
+    """(request_id, text): the texts of structured contents (request_id, content), where ``content`` is a VARIANT: a text, or blocks with texts and nested results of tools, put together in order.
+
+    Blocks are taken apart level by level; a level is written, and the next one has only what results of tools hold. Requests without any text aren't returned.
+    """
+    spark, is_a = contents.sparkSession, lambda c, kind: F.schema_of_variant(c).startswith(kind)
+    part = lambda c, path: F.try_variant_get(c, path, "variant")
+    open_, found = contents.select("request_id", F.array().cast("array<int>").alias("path"), "content").where("content IS NOT NULL"), []
+    while True:
+        found.append(open_.where(is_a(F.col("content"), "STRING")).select("request_id", "path", F.variant_get("content", "$", "string").alias("text")))
+        blocks = open_.where(is_a(F.col("content"), "ARRAY")).lateralJoin(spark.tvf.variant_explode(F.col("content").outer()))
+        blocks = blocks.select("request_id", F.concat("path", F.array("pos")).alias("path"), F.try_variant_get("value", "$.type", "string").alias("type"), part(F.col("value"), "$.text").alias("text"), part(F.col("value"), "$.content").alias("content"))
+        # as text, since a written VARIANT isn't read by every reader
+        level = kept(blocks.where("type IN ('text', 'tool_result')").select("request_id", "path", "type", F.to_json("text").alias("text"), F.to_json("content").alias("content")), "blocks")
+        texts = level.where("type = 'text' AND text IS NOT NULL").select("request_id", "path", F.parse_json("text").alias("text"))
+        found.append(texts.where(is_a(F.col("text"), "STRING")).select("request_id", "path", F.variant_get("text", "$", "string").alias("text")))
+        deeper = level.where("type = 'tool_result' AND content IS NOT NULL")
+        if deeper.isEmpty():
+            break
+        open_ = deeper.select("request_id", "path", F.parse_json("content").alias("content"))
+    parts = F.array_sort(F.collect_list(F.struct("path", "text")))
+    return reduce(DataFrame.unionByName, found).groupBy("request_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+
+
+def last_user_texts(bodies: DataFrame) -> DataFrame:
+    """(request_id, text) of (request_id, body): the text of the last user message of a request, empty for a body that can't be read or has none. No Python runs."""
+    spark = bodies.sparkSession
+    listed = bodies.select("request_id", F.try_variant_get(F.try_parse_json("body"), "$.messages", "variant").alias("messages")).where(F.schema_of_variant("messages").startswith("ARRAY"))
+    each = listed.lateralJoin(spark.tvf.variant_explode(F.col("messages").outer())).select("request_id", "pos", F.try_variant_get("value", "$.role", "string").alias("role"), F.to_json(F.try_variant_get("value", "$.content", "variant")).alias("content"))
+    last = each.where("role = 'user' AND content IS NOT NULL").groupBy("request_id").agg(F.max_by("content", "pos").alias("content"))
+    texts = block_texts(last.select("request_id", F.parse_json("content").alias("content")))
+    return bodies.select("request_id").join(texts, "request_id", "left").fillna("", "text")

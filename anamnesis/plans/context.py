@@ -301,6 +301,13 @@ def anthropic_text(spark, d):
     return _bodies(spark, d).select("conv_id", text.last_user_content("body").alias("text"))
 
 
+@R.query("block_texts", "SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def block_texts(spark, d):
+    """As anthropic_text, by VARIANT."""
+    found = messages.last_user_texts(_bodies(spark, d).select(F.col("conv_id").alias("request_id"), "body"))
+    return found.withColumnRenamed("request_id", "conv_id")
+
+
 @R.query("anthropic_inject", "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'ctx' ELSE 'be brief' || chr(10) || chr(10) || 'ctx' END AS system, CASE WHEN conv_id % 2 = 0 THEN 'ctx' || chr(10) || chr(10) || arg_max(text, turn) ELSE 'ctx' || arg_max(text, turn) END AS suffix FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def anthropic_inject(spark, d):
     b = _bodies(spark, d)

@@ -45,12 +45,12 @@ def impact(tf: Column, length: Column, average: Column) -> Column:
 
 @dataclass
 class Index:
-    """An index in a folder. ``terms`` cuts (user_text, assist_text) into words."""
+    """An index in a folder. ``terms`` cuts (user_text, assist_text) into words. ``span`` ids should hold some hundred memories, and a bucket's postings some hundred MB."""
 
     root: str
     terms: Column
-    buckets: int = 16
-    span: int = 1000
+    buckets: int = 4
+    span: int = 200_000
 
     def bucket(self, term: Column | str = "term") -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int").alias("bucket")
@@ -60,6 +60,10 @@ class Index:
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).option("basePath", f"{self.root}/{name}").option("ignoreMissingFiles", True).parquet(f"{self.root}/{name}")
 
+    @staticmethod
+    def _parts(spark: SparkSession) -> int:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small batches are spread too
+
     def words(self, memories: DataFrame) -> DataFrame:
         """(id, agent_id, block, term, length), a row for each word; a memory without words has one of the empty term and length 0."""
         own = memories.select("id", F.coalesce("agent_id", F.lit("")).alias("agent_id"), F.floor(F.col("id") / self.span).alias("block"), self.terms.alias("words"))
@@ -71,7 +75,7 @@ class Index:
         # the rows of a memory lie in one task, so most of this count is done before it shuffles
         found = self.words(memories).groupBy(*keys).agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", self.bucket())
         path = f"{self.root}/postings/batch={number}"
-        sorted_ = found.repartition("bucket", "term").sortWithinPartitions("bucket", "term", "agent_id", "block", "id")
+        sorted_ = found.repartition(self._parts(found.sparkSession), "bucket", "term").sortWithinPartitions("bucket", "term", "agent_id", "block", "id")
         sorted_.select("bucket", "term", "agent_id", "block", "id", "tf", "length").write.mode("overwrite").partitionBy("bucket").parquet(path)
         self._write_heads(found.sparkSession.read.schema(POSTINGS.rsplit(",", 1)[0]).option("basePath", path).parquet(path), number, 1)
 
@@ -107,7 +111,7 @@ class Index:
         new = Index(root, self.terms, self.buckets, self.span)
         path = f"{root}/postings/batch=0"
         rows = self.live(self.read(spark, "postings", POSTINGS)).drop("batch")
-        rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term", "agent_id", "block", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.repartition(self._parts(spark), "bucket", "term").sortWithinPartitions("bucket", "term", "agent_id", "block", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
         new._write_heads(spark.read.schema(POSTINGS.rsplit(",", 1)[0]).option("basePath", path).parquet(path), 0, 1)
         return new
 
@@ -119,19 +123,22 @@ class Index:
         average = F.lit(float(words or 0) / (n or 1))
         times = asked.select("query_id", F.col("agent_id").alias("asking"), F.explode("terms").alias("term")).groupBy("query_id", "asking", "term").agg(F.count("*").alias("times"))
         times = kept(times.withColumn("bucket", self.bucket()), "asked")
-        own = kept(heads.join(times.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").groupBy("bucket", "term", "agent_id", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("shortest").alias("shortest")), "heads")
+        own = heads.join(times.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").groupBy("bucket", "term", "agent_id", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("shortest").alias("shortest"))
         idf = F.log((F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         df = own.groupBy("bucket", "term").agg(F.sum("n").alias("df")).where("df > 0")
         weights = times.join(df, ["bucket", "term"]).withColumn("weight", F.col("times") * F.when(idf > 0, idf).otherwise(LEAST_IDF))
         most = F.col("weight") * impact(F.col("most"), F.col("shortest"), average)
         met = weights.select("query_id", "asking", "bucket", "term", "weight").join(own.where("n > 0"), ["bucket", "term"]).where("agent_id = '' OR agent_id = asking")
-        met = kept(met.select("query_id", "bucket", "term", "agent_id", "block", "weight", most.alias("most"), average.alias("average")), "met")
+        met = met.select("query_id", "bucket", "term", "agent_id", "block", "weight", most.alias("most"), average.alias("average"))
+        met = kept(met.repartition(self._parts(spark), "query_id"), "met")
         return met, met.groupBy("query_id", "agent_id", "block").agg(F.sum("most").alias("bound"))
 
-    def scores(self, met: DataFrame, blocks: DataFrame) -> DataFrame:
-        """(query_id, id, score) of the memories of some (query_id, agent_id, block)."""
-        postings = self.live(self.read(met.sparkSession, "postings", POSTINGS))
-        wanted = met.join(blocks, ["query_id", "agent_id", "block"], "left_semi")
+    def scores(self, met: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+        """(query_id, id, score) of the memories of some (query_id, agent_id, block), or of all."""
+        postings = self.read(met.sparkSession, "postings", POSTINGS)
+        if exists(met.sparkSession, f"{self.root}/removed"):
+            postings = self.live(postings)
+        wanted = met if blocks is None else met.join(blocks, ["query_id", "agent_id", "block"], "left_semi")
         parts = postings.join(wanted, ["bucket", "term", "agent_id", "block"])
         return parts.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * impact(F.col("tf"), F.col("length"), F.col("average"))), 9).alias("score"))
 
@@ -141,10 +148,14 @@ class Index:
         promising = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block", "agent_id")
         bounds = bounds.withColumn("place", F.row_number().over(promising))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        first = kept(self.scores(met, bounds.where(F.col("place") <= k)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first")
+        most = met.select("query_id", "agent_id", "block").distinct().groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+        ranked = lambda scores: scores.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0))
+        if most <= k:  # no query has more blocks than it would score first
+            return ranked(self.scores(met))
+        first = kept(ranked(self.scores(met, bounds.where(F.col("place") <= k))), "first")
         reached = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
         rest = bounds.where(F.col("place") > k).join(reached, "query_id", "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached") - SLACK))
-        return self.scores(met, rest).unionByName(first.drop("rank")).withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0))
+        return ranked(self.scores(met, rest).unionByName(first.drop("rank")))
 
     def ruled_out(self, asked: DataFrame, k: int) -> DataFrame:
         """(query_id, blocks, scored): how many blocks have a term of each query, and how many had to be scored."""

@@ -49,7 +49,7 @@ FOLD[65:91] += 32
 SCALE = 1_000_000
 NOTHING = pa.scalar("", pa.large_string())
 #: Bytes of text per bucket, bytes of text that are counted and windows that are dealt at a time.
-BUCKET_BYTES, AT_ONCE, DEALT_AT_ONCE = 4 << 20, 5 << 20, 500_000
+BUCKET_BYTES, AT_ONCE, DEALT_AT_ONCE = 2 << 20, 3 << 20, 250_000
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ is fitted on evidence by weights from the other folds, so no document vouches fo
 Labels are learned from at most ``sample`` toxic and as many other labelled documents; nothing else is capped.
 
 Defined results: null, empty and blank texts get the base score; repeated rows are
-scored each on its own; a null id is never learned from; labels that are null or
+scored each on its own; a token may have any length; a null id is never learned from; labels that are null or
 unknown are ignored; without toxic labels every score is the base score; empty tables
 give empty results; further columns are ignored.
 """
@@ -27,6 +27,7 @@ give empty results; further columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -58,6 +59,9 @@ BEGINNINGS, LEVELS, FOLDS = (4, 5), (2, 3), 4
 #: Costs of the channel, as negative natural logarithms.
 IMITATION, SEPARATION, REPETITION = 0.7, 1.0, 1.0
 
+#: Positions after which a decoder settles what all its paths share.
+SETTLE = 16_384
+
 EDGES = "".join(set("#%&*.,;:!?\"'()[]{}<>|/\\-_~`^=+“”«»¿¡…$@"))
 SPELLED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ \t]+(?:[^\W_]|[@$!|+€])){2,}(?!\S)")
 TRIPLED = re.compile(r"([^\W\d_])\1\1")
@@ -96,6 +100,42 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+class Trail:
+    """Back pointers of a decoder: for each state of each position, the state before it and the place of the letter added (0: none)."""
+
+    def __init__(self):
+        self.before, self.added, self.ends = array("H"), array("B"), array("Q")
+
+    def add(self, came) -> None:
+        for i, p in came:
+            self.before.append(i)
+            self.added.append(p)
+        self.ends.append(len(self.before))
+
+    def text(self, state: int, positions: int | None = None) -> str:
+        """What the path to a state of the last position, or of the one before ``positions``, has spelled."""
+        before, added, ends, out = self.before, self.added, self.ends, []
+        for k in range((len(ends) if positions is None else positions) - 1, -1, -1):
+            at = (ends[k - 1] if k else 0) + state
+            if added[at]:
+                out.append(LETTERS[added[at] - 1])
+            state = before[at]
+        return "".join(reversed(out))
+
+    def settle(self, states: int) -> str:
+        """The text up to the last position at which all paths to ``states`` states meet; it is dropped from the trail."""
+        alive = set(range(states))
+        for k in range(len(self.ends) - 1, -1, -1):
+            if len(alive) == 1:
+                found, cut = self.text(alive.pop(), k + 1), self.ends[k]
+                self.before, self.added = self.before[cut:], self.added[cut:]
+                self.ends = array("Q", (e - cut for e in self.ends[k + 1 :]))
+                return found
+            start = self.ends[k - 1] if k else 0
+            alive = {self.before[start + i] for i in alive}
+        return ""
+
+
 class Channel:
     """The decoder: trigram costs and the lattice of readings."""
 
@@ -108,31 +148,53 @@ class Channel:
         second = (two + 20 * one) / (two.sum(1, keepdims=True) + 20)
         third = (n + 20 * second[None]) / (n.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(third)).astype(np.float32)
+        self.flat = self.cost.ravel().tolist()
         self.place = {c: i + 1 for i, c in enumerate(LETTERS)}
+        self.readings: dict[str, list[tuple[int, float]]] = {c: [(p, 0.0)] for c, p in self.place.items()}
+        for c, letters in IMITATES.items():
+            self.readings.setdefault(c, []).extend((self.place[x], IMITATION) for x in letters)
 
     def decode(self, token: str) -> str:
-        """The likeliest reading of a lower-case token without white space."""
-        # a state is the last two places; its value is the cost and the letters so far
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        """The likeliest reading of a lower-case token without white space.
+
+        A state is the last two places, as one number. Each position keeps, for each of its states, which state before
+        it came from and the letter that it added; texts are read from these once, at the end. Every ``SETTLE`` positions
+        what all paths share is read and forgotten. So time is linear in the token's length, and memory is small unless paths
+        never meet (a few bytes a position and state then).
+        """
+        states, trail, settled, limit = {EDGE: 0.0}, Trail(), [], SETTLE
+        cost, readings = self.flat, self.readings
         for c in token:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-
-            def offer(state, cost, text):
-                if state not in after or cost < after[state][0]:
-                    after[state] = cost, text
-
-            readings = [(c, 0.0)] if c in self.place else []
-            readings += [(x, IMITATION) for x in IMITATES.get(c, "")]
-            for (a, b), (cost, text) in states.items():
-                for x, noise in readings:
-                    p = self.place[x]
-                    offer((b, p), cost + noise + float(self.cost[a, b, p]), text + x)
-                    if text and text[-1] == x:
-                        offer((a, b), cost + noise + REPETITION, text)
-                if c in SEPARATORS or not readings:
-                    offer((a, b), cost + SEPARATION * (1 if c in SEPARATORS else 6), text)
+            own = readings.get(c)
+            if own is None:  # an unknown sign costs all states the same and changes none
+                skipped = SEPARATION * (1 if c in SEPARATORS else 6)
+                states = {s: value + skipped for s, value in states.items()}
+                continue
+            skipped = SEPARATION if c in SEPARATORS else None
+            after: dict[int, float] = {}
+            came: dict[int, tuple[int, int]] = {}
+            for i, (s, value) in enumerate(states.items()):
+                row, last = s * SIZE, s % SIZE
+                for p, noise in own:
+                    t, v = last * SIZE + p, value + noise + cost[row + p]
+                    if t not in after or v < after[t]:
+                        after[t], came[t] = v, (i, p)
+                    if p == last:
+                        v = value + noise + REPETITION
+                        if s not in after or v < after[s]:
+                            after[s], came[s] = v, (i, 0)
+                if skipped is not None:
+                    v = value + skipped
+                    if s not in after or v < after[s]:
+                        after[s], came[s] = v, (i, 0)
             states = after
-        return min(((cost + float(self.cost[a, b, EDGE]), text) for (a, b), (cost, text) in states.items()), default=(0.0, ""))[1]
+            trail.add(came.values())
+            if len(trail.ends) > limit:
+                settled.append(trail.settle(len(states)))
+                limit = 2 * len(trail.ends) + SETTLE  # paths that never meet are not walked again and again
+        final = [value + cost[s * SIZE + EDGE] for s, value in states.items()]
+        least = min(final)
+        return "".join(settled) + min(trail.text(i) for i, value in enumerate(final) if value == least)
 
     def read(self, chunk: str) -> str:
         """A chunk as it is scored: without signs at its edges, decoded if it looks disguised."""
@@ -174,7 +236,9 @@ class Reader:
         for c in text.split():
             w = memo.get(c)
             if w is None:
-                w = memo[c] = self.channel.read(c)
+                w = self.channel.read(c)
+                if len(c) <= 64:  # so the memo is bounded in bytes too
+                    memo[c] = w
             out.append(w)
         return out
 
@@ -235,7 +299,8 @@ class Model:
             self.memo.clear()
         found = [word] if word in self.weights else []
         found += [f for n in BEGINNINGS if len(word) >= n and (f := f"^{word[:n]}") in self.begun]
-        self.memo[word] = found or None
+        if len(word) <= 64:
+            self.memo[word] = found or None
         return found or None
 
     def weighted(self, words: list[str]) -> set[str]:

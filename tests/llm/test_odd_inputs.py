@@ -2,6 +2,8 @@
 
 import decimal
 import random
+import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -155,6 +157,31 @@ def test_decoding_against_every_reading():
         assert channel.decode(token) in {t for cost, t in all_readings if cost < least + 1e-4}, token
 
 
+def test_decoding_of_very_long_tokens():
+    """Time in proportion to the length, and settling what all paths share changes nothing."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abelostw") for _ in range(rng.randrange(1, 7))) for _ in range(2_000))
+    n = np.zeros(toxicity.SIZE**3, np.int64)
+    p = np.concatenate([[0, 0], toxicity.places(text), [0]])
+    np.add.at(n, (p[:-2] * toxicity.SIZE + p[1:-1]) * toxicity.SIZE + p[2:], 1)
+    channel = toxicity.Channel(np.arange(toxicity.SIZE**3), n)
+    tokens = ["".join(rng.choice(chars) for _ in range(rng.randrange(50, 900))) for chars in ("abelost0134$!*.-#", "w*.1l", "w", "abc+/19") for _ in range(20)]
+    whole = [channel.decode(t) for t in tokens]
+    before, toxicity.SETTLE = toxicity.SETTLE, 7
+    try:
+        assert [channel.decode(t) for t in tokens] == whole
+    finally:
+        toxicity.SETTLE = before
+    letters = string.ascii_lowercase + string.digits + "+/"
+    for token in ("".join(rng.choice(letters) for _ in range(2_000_000)), "w" * 2_000_000, "a1" + "." * 2_000_000 + "b"):
+        start = time.monotonic()
+        assert channel.read(token)
+        assert time.monotonic() - start < 30
+    reader = toxicity.Reader(channel)
+    reader.words("x" * 65 + "1 ab1e")
+    assert list(reader.memo) == ["ab1e"]
+
+
 def test_weights_against_counting(spark):
     """What is learned by all, and by all but one fold, against plain counting."""
     ship(spark)

@@ -1,19 +1,24 @@
 """Operator 1, mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents' ids. A queue earns credit in proportion to
-its weight, and the next id always comes from the queue with the largest unpaid
-credit, so every window holds each source's share to within one id and what a
-window can't pay is carried into the next. By default the weights are the corpus's
-own token shares, under which all queues run dry together; other weights hold
-until a queue is empty, whose share the rest then split.
-
-The schedule has a closed form. Id j of queue s is due at virtual time
-(j + 1/2) / weight(s), and ids go out in the order of (due time, queue). Hence the
-number of ids that each queue has given before window w, its deficit included,
-follows from the queues' totals alone. A partition needs no more than where its
-documents start in their queues: partial sums of a small table of totals by (block,
-queue). So partitions cut their documents independently and yet carry deficits on
-exactly as one long loop would; no text or id is shuffled.
+Each source is a queue of its documents' ids, which go out ``quantum`` at a time. A queue
+earns credit in proportion to its weight, and the next quantum always comes from the queue
+with the largest unpaid credit, so every window holds each source's share to within a quantum
+and what a window can't pay is carried into the next. By default the weights are the
+corpus's own token shares, under which all queues run dry together; other weights hold
+until a queue is empty, whose share the rest then split. A larger quantum cuts documents
+less often and holds the mixture less evenly within a window, but as well over windows.
+
+The schedule has a closed form. Quantum j of queue s is due at virtual time
+(j + 1/2) / weight(s), and quanta go out in the order of (due time, queue). Hence the
+number of ids that go out before a quantum follows from the queues' totals alone, with one
+division for each queue. Weights are whole numbers (scaled, and rounded to about nine digits of
+the largest), so that order is exact: all tasks agree on it to the last id. A
+partition needs no more than where its documents start in their queues: partial sums of
+a small table of totals by (block, queue). So partitions cut their documents
+independently and yet carry deficits on exactly as one long loop would; no text or id is shuffled.
+
+The work is quanta times queues, in numpy. Every task gets a total and a weight for each queue, so the queues
+should number thousands rather than millions: a source per host, not per page.
 
 Windows hold exactly ``window`` ids. What is left at the end goes into sequences
 whose lengths are falling powers of two, so nothing is padded at all.
@@ -41,75 +46,82 @@ from .wordpiece import ChunkTable, portions, vocabulary
 #: Rows of the table of totals by (block, queue) up to which it is broadcast; it is joined by shuffling beyond.
 BROADCAST_ROWS = 200_000
 
+#: Quanta that are placed at once.
+PORTION = 500_000
+
 
 class Schedule:
-    """How many ids each queue has given before each sequence."""
+    """Where each quantum of each queue goes."""
 
-    def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = 2048):
+    def __init__(self, totals: list[int], weights: list[float] | None = None, window: int = 2048, quantum: int = 1):
         self.totals = np.array(totals, np.int64)
-        self.weights = np.array(totals if weights is None else weights, float)
-        if len(self.weights) != len(self.totals) or (self.weights[self.totals > 0] <= 0).any():
+        given = self.totals.astype(float) if weights is None else np.array(weights, float)
+        if len(given) != len(self.totals) or not (given[self.totals > 0] > 0).all() or not np.isfinite(given).all():
             raise ValueError("each queue that has ids needs a positive weight")
-        self.weights = np.maximum(self.weights, 1e-300)
-        self.window, self.total = window, int(self.totals.sum())
+        if quantum < 1 or window < 1:
+            raise ValueError("a quantum and a window have at least one id")
+        self.window, self.quantum, self.total = window, quantum, int(self.totals.sum())
+        self.quanta = -(-self.totals // quantum)
+        # whole weights such that (2j + 1) * weight stays below 2 ** 62 for every quantum j
+        bits = min(30, 61 - int(2 * self.quanta.max(initial=0) + 1).bit_length())
+        self.weights = np.maximum(np.rint(given / max(given.max(initial=0.0), 1e-300) * (1 << bits)), 1).astype(np.int64)
         full, rest = divmod(self.total, window)
         powers = [1 << i for i in reversed(range(rest.bit_length())) if rest >> i & 1]
         self.full, self.tail = full, full * window + np.cumsum([0, *powers])
         self.sequences = full + len(powers)
-        self.latest = float((self.totals / self.weights).max(initial=0.0)) + 1.0
 
     def ends(self, w: np.ndarray) -> np.ndarray:
         """Ids before sequence w, over all queues."""
         return np.where(w <= self.full, w * self.window, self.tail[np.clip(w - self.full, 0, len(self.tail) - 1)])
 
-    def counts(self, v: np.ndarray) -> np.ndarray:
-        """Ids of each queue that are due by the virtual times v."""
-        return np.minimum(np.floor(v[:, None] * self.weights + 0.5), self.totals).astype(np.int64)
-
-    def given(self, w: np.ndarray) -> np.ndarray:
-        """Ids that each queue has given before each sequence in w: a row per sequence."""
-        goal = self.ends(w)
-        low, high = np.full(len(w), -1.0), np.full(len(w), self.latest)
-        low[:] = 0.0
-        for _ in range(80):
-            mid = (low + high) / 2
-            over = self.counts(mid).sum(1) > goal
-            low, high = np.where(over, low, mid), np.where(over, mid, high)
-        out = self.counts(low)
-        missing = goal - out.sum(1)
-        for k in np.flatnonzero(missing):  # ids that are due at the same moment go out in the order of the queues
-            due = np.flatnonzero(self.counts(high[k : k + 1])[0] > out[k])
-            if len(due) >= missing[k]:
-                out[k, due[: missing[k]]] += 1
-            else:
-                room = self.counts(high[k : k + 1])[0] - out[k]
-                take = np.clip(missing[k] - (np.cumsum(room) - room), 0, room)
-                out[k] += take
+    def sequence(self, at: np.ndarray) -> np.ndarray:
+        """The sequence of the ids at these places of the order of all ids."""
+        return np.where(at < self.full * self.window, at // self.window, self.full + np.searchsorted(self.tail, at, "right") - 1)
+
+    def places(self, queue: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """How many ids, of all queues, go out before each of these quanta."""
+        out = np.empty(len(queue), np.int64)
+        portion = max(1, 1_000_000 // len(self.totals))
+        order = np.argsort(queue, kind="stable")
+        bounds = np.flatnonzero(np.diff(queue[order], prepend=-1)).tolist() + [len(order)]
+        for a, b in zip(bounds, bounds[1:]):
+            s = int(queue[order[a]])
+            later = (np.arange(len(self.totals)) >= s).astype(np.int64)  # of quanta that are due together, the lower queue's goes first
+            for x in range(a, b, portion):
+                rows = order[x : min(b, x + portion)]
+                # quantum k of queue t is due earlier if (2k + 1) * weight(s) < (2 * number + 1) * weight(t)
+                due = (2 * number[rows, None] + 1) * self.weights - later
+                due //= self.weights[s]
+                due += 1
+                due //= 2
+                np.minimum(due, self.quanta, out=due)
+                due *= self.quantum
+                out[rows] = np.minimum(due, self.totals, out=due).sum(1)
         return out
 
-    def sequence_of(self, queue: int, position: np.ndarray) -> np.ndarray:
-        """A first guess at the sequence of each position in a queue; off by one at most."""
-        rank = self.counts((position + 0.5) / self.weights[queue]).sum(1) - 1
-        return np.where(rank < self.full * self.window, rank // self.window, self.full + np.searchsorted(self.tail, rank, "right") - 1)
-
-    def cut(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, from, count, sequence, offset) of each piece; rows are stretches of queues with at least one id."""
-        for s in np.unique(queue):
-            rows = np.flatnonzero(queue == s)
-            first = self.sequence_of(s, start[rows])
-            last = self.sequence_of(s, start[rows] + length[rows] - 1)
-            need = np.unique(np.concatenate([np.arange(max(0, a - 1), min(self.sequences, b + 2) + 1) for a, b in zip(first, last)]))
-            given = self.given(need)
-            mine, before = given[:, s], given[:, :s].sum(1)
-            for r in rows:
-                at, end = int(start[r]), int(start[r] + length[r])
-                i = int(np.searchsorted(mine, at, "right")) - 1
-                while at < end:
-                    upto = min(end, int(mine[i + 1]))
-                    if upto > at:
-                        yield r, at - int(start[r]), upto - at, int(need[i]), int(before[i + 1] - before[i]) + at - int(mine[i])
-                        at = upto
-                    i += 1
+    def cut(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, from, count, sequence, offset) of the pieces of each row, a stretch of a queue with at least one id; a row's pieces are in order."""
+        q = self.quantum
+        row, number = _spread(start // q, (start + length - 1) // q)
+        begin = np.maximum(number * q, start[row])
+        count = np.minimum((number + 1) * q, (start + length)[row]) - begin
+        at = self.places(queue[row], number) + begin - number * q
+        part, sequence = _spread(self.sequence(at), self.sequence(at + count - 1))  # borders of sequences cut once more
+        edges = self.ends(sequence)
+        low, high = np.maximum(at[part], edges), np.minimum((at + count)[part], self.ends(sequence + 1))
+        row, begin, offset, count = row[part], (begin - at)[part] + low - start[row[part]], low - edges, high - low
+        # what goes on where the piece before it ended belongs to that piece
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (sequence[1:] != sequence[:-1]) | (offset[1:] != offset[:-1] + count[:-1])
+        first = np.flatnonzero(fresh)
+        return row[first], begin[first], np.add.reduceat(count, first), sequence[first], offset[first]
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, value) for every value from ``first`` to ``last`` of each index."""
+    n = last - first + 1
+    index = np.repeat(np.arange(len(n)), n)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n) + first[index]
 
 
 @cache
@@ -145,7 +157,7 @@ def tokenise(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, sourc
 
 def pack(
     docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    window: int = 2048, end_id: int = 1, weights: dict[str | None, float] | None = None,
+    window: int = 2048, end_id: int = 1, weights: dict[str | None, float] | None = None, quantum: int = 1,
 ) -> DataFrame:
     """Pieces of documents, placed in sequences: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids).
 
@@ -156,7 +168,7 @@ def pack(
     sums = materialise(tokens.groupBy("queue", "block").agg(F.sum("n").alias("n")), "queue-sums")
     totals = sorted(((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0]))
     names = [q for q, _ in totals]
-    schedule = Schedule([n for _, n in totals], None if weights is None else [weights[q] for q in names], window)
+    schedule = Schedule([n for _, n in totals], None if weights is None else [weights[q] for q in names], window, quantum)
     before = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("queue", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if sums.count() <= BROADCAST_ROWS:
@@ -171,15 +183,19 @@ def pack(
                 continue
             keys, queues, at, n, raw = (batch.column(i) for i in range(5))
             queue = np.array([number[q] for q in queues.to_pylist()], np.int64)
-            n, raw = n.to_numpy(), raw.to_pylist()
-            rows = list(schedule.cut(queue, at.to_numpy(), n))
-            ids = [raw[r][2 * x : 2 * (x + k)] for r, x, k, _, _ in rows]
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids]
-            r, x, k, w, o = (np.array(c, np.int64) for c in zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(r)), pa.array(x), pa.array(k), pa.array(crc, pa.int64()), pa.array(n[r]), pa.array(w), pa.array(o), queues.take(pa.array(r)), pa.array(ids, pa.binary())],
-                [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"],
-            )
+            n, at = n.to_numpy(), at.to_numpy()
+            share = np.cumsum(n // quantum + 1) // PORTION  # so many quanta at a time
+            bounds = np.flatnonzero(np.diff(share, prepend=-1)).tolist() + [len(n)]
+            for low, high in zip(bounds, bounds[1:]):
+                r, x, k, w, o = schedule.cut(queue[low:high], at[low:high], n[low:high])
+                texts = raw.slice(low, high - low).to_pylist()
+                ids = [texts[i][2 * a : 2 * (a + c)] for i, a, c in zip(r.tolist(), x.tolist(), k.tolist())]
+                crc = [zlib.crc32(np.frombuffer(i, "<u2").astype("<u4").tobytes()) for i in ids]
+                chosen = pa.array(r + low)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(chosen), pa.array(x), pa.array(k), pa.array(crc, pa.int64()), pa.array(n[r + low]), pa.array(w), pa.array(o), queues.take(chosen), pa.array(ids, pa.binary())],
+                    [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"],
+                )
 
     chosen = placed.select(id_col, "queue", (F.col("base") + F.col("start_in_block")).alias("at"), "n", "ids")
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids binary")

@@ -15,8 +15,13 @@ def vocab(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Ids that a source hands out at a time; a window holds 32 such.
+QUANTUM = 64
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(ship(spark), sf_dir, "documents"), vocab()).drop("queue", "ids")
+    """Each source's share of a window holds to within a quantum, and over windows exactly."""
+    return packing.pack(table(ship(spark), sf_dir, "documents"), vocab(), quantum=QUANTUM).drop("queue", "ids")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

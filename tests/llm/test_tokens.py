@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -59,16 +61,45 @@ def test_round_trip_of_odd_rows(spark, documents, nothing, vocab):
     assert decoded[1].startswith("the</w> quick</w>") and decoded[2] == ""
 
 
-@pytest.mark.parametrize("weights", [None, [3.0, 1.0, 1e-6, 5.0]])
-def test_schedule_against_a_loop(weights):
-    totals = [700, 1300, 5, 90]
-    s = packing.Schedule(totals, weights, 64)
-    due = sorted(((j + 0.5) / (totals if weights is None else weights)[q], q) for q in range(4) for j in range(totals[q]))
-    ends = s.ends(np.arange(s.sequences + 1))
-    for w, given in enumerate(s.given(np.arange(s.sequences + 1))):
-        counts = np.bincount([q for _, q in due[: ends[w]]], minlength=4)
-        assert given.sum() == ends[w] and np.abs(given - counts).max() <= 1
-    assert s.given(np.array([s.sequences]))[0].tolist() == totals
+@pytest.mark.parametrize("quantum", [1, 7, 64, 200])
+@pytest.mark.parametrize("weights", [None, [3.0, 1.0, 1e-6, 5.0, 1.0, 1.0]])
+def test_schedule_against_a_loop(weights, quantum):
+    totals = [700, 1300, 5, 90, 0, 90]
+    s = packing.Schedule(totals, weights, 64, quantum)
+    exact = [Fraction(int(w)) for w in s.weights]
+    shares = totals if weights is None else weights
+    assert all(abs(float(w) / max(map(float, exact)) - x / max(shares)) < 1e-9 for w, x in zip(exact, shares) if x)
+    due = sorted(((2 * (i // quantum) + 1) / exact[q], q, i) for q in range(6) for i in range(totals[q]))
+    place = {(q, i): k for k, (_, q, i) in enumerate(due)}
+    queue, start, length = [], [], []
+    for q in range(6):  # stretches of many lengths
+        at = 0
+        while at < totals[q]:
+            n = min(totals[q] - at, 1 + (at * 7 + q) % 150)
+            queue, start, length, at = [*queue, q], [*start, at], [*length, n], at + n
+    seen = []
+    ends = s.ends(np.arange(s.sequences + 1)).tolist()
+    for r, x, k, w, o in zip(*map(np.ndarray.tolist, s.cut(*map(np.array, (queue, start, length))))):
+        want = [place[queue[r], start[r] + x + i] for i in range(k)]
+        assert want == list(range(ends[w] + o, ends[w] + o + k)) and want[-1] < ends[w + 1]
+        seen += want
+    assert sorted(seen) == list(range(sum(totals)))
+
+
+def test_schedule_of_huge_and_of_many_queues():
+    """No overflow at 10 ** 14 ids, and thousands of queues in time."""
+    s = packing.Schedule([10**14, 3 * 10**13, 1, 64], None, 2048, 64)
+    r, x, k, w, o = s.cut(np.array([0, 1, 2, 3]), np.array([10**14 - 300, 5, 0, 0]), np.array([300, 900, 1, 64]))
+    assert np.bincount(r, k).tolist() == [300, 900, 1, 64] and (w >= 0).all() and (w < s.sequences).all() and (o + k <= 2048).all()
+    totals = [400 + i % 50 for i in range(5_000)]
+    s = packing.Schedule(totals, None, 2048, 64)
+    began = time.monotonic()
+    r, x, k, w, o = s.cut(np.arange(5_000), np.zeros(5_000, np.int64), np.array(totals))
+    assert time.monotonic() - began < 20 and len(r) < 10 * 5_000
+    at = np.sort(s.ends(w) + o)
+    assert at[0] == 0 and len(np.unique(at)) == len(at) and k.sum() == sum(totals)
+    order = np.argsort(s.ends(w) + o)
+    assert ((s.ends(w) + o + k)[order][:-1] == at[1:]).all()
 
 
 def check_pieces(rows, texts, vocab, window):
@@ -117,6 +148,14 @@ def test_packing_holds_the_mixture(spark, vocab):
     assert all(abs(r[2] - 64) <= 1 for r in weighted)
     with pytest.raises(ValueError):
         packing.pack(d, vocab, weights={"a": 1.0, "b": 0.0})
+    larger = packing.pack(d, vocab, window=128, quantum=16)
+    check_pieces(larger.collect(), {i: t for i, t, _ in rows}, vocab, 128)
+    assert larger.count() < got.count() / 3
+    given = defaultdict(int)  # of the first windows together the shares hold as well as of one
+    for r in larger.groupBy("sequence_id", "queue").sum("length").collect():
+        for last in range(r.sequence_id, sum(share.values()) // 128):
+            given[last, r.queue] += r[2]
+    assert all(abs(n - 128 * (last + 1) * share[q] / sum(share.values())) <= 16.01 for (last, q), n in given.items())
 
 
 def brute_sections(text, ends, starts, size, rule):

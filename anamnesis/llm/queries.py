@@ -61,11 +61,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the archive of all pages and put its records together again; sizes and digests are those of the rebuilt records' blocks, or of the payload that a revisit refers to."""
+    """Write the archive of all pages and put its records together again; sizes and digests are those of the rebuilt responses' blocks, and for revisits those of the payload that they refer to, taken once where it is stored."""
     path = warc.write_archive(table(ship(spark), sf_dir, "pages"))
     records = warc.blocks(warc.read_archive(spark, path))
-    whole = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("block"))
-    return records.withColumn("whole", whole).select(F.col("id").alias("page_id"), F.octet_length("whole").cast("long").alias("payload_bytes"), warc.base32(F.sha1("whole")).alias("payload_digest"), "record_type", "refers_to")
+    revisit = F.col("record_type") == "revisit"
+    size = F.when(revisit, F.col("payload_bytes")).otherwise(F.octet_length("block").cast("long"))
+    digest = F.when(revisit, F.col("payload_digest")).otherwise(warc.base32(F.sha1("block")))
+    return records.select(F.col("id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,13 @@ the largest id is the response and the others revisit it. Records are put togeth
 again by joining the two tables, after every stored payload has been hashed anew and
 compared with its address. All of it is DataFrame functions.
 
-Equal payloads meet in a grouped aggregation that combines map-side, and the join
-from headers to payloads is one that adaptive execution can split, so one page may be
-a third of all.
+One page may be a third of all. Equal payloads meet in a grouped aggregation that combines map-side. When
+records are put together, an address with more than ``hot_records`` of them is hot: its
+records are dealt over salts and its payload is copied once for each salt, while the others meet their
+payloads in the buckets where these are stored. Sizes and digests are taken once for each stored payload, not for each record.
+
+A session that writes an archive enters its payloads in the catalogue, as table ``warc_<digest of the path>``, so
+that reads know the buckets; it may be dropped, and other sessions read the files. Writing needs the right to create tables.
 
 Defined results: a null payload is an empty one; empty payloads are equal to each
 other; a URL's control characters are written as %XX in the header, so it can't forge a field; repeated rows become
@@ -87,7 +91,29 @@ def write_archive(
     return path
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+#: Hot addresses at most; they are broadcast with their numbers of salts.
+MOST_HOT = 100_000
+
+
+def _hot(headers: DataFrame, hot_records: int) -> DataFrame:
+    """(address, salts) of the addresses with more records than ``hot_records`` and than a ``MOST_HOT``-th of all, so there are at most ``MOST_HOT``."""
+    least = max(1, hot_records, headers.count() // MOST_HOT)
+    many = headers.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return materialise(many.select("address", F.ceil(F.col("n") / least).cast("int").alias("salts")), "hot-addresses")
+
+
+def _together(records: DataFrame, stored: DataFrame, hot: DataFrame) -> DataFrame:
+    """Records joined with their stored payloads, those of hot addresses by salts."""
+    if hot.isEmpty():
+        return records.join(stored, "address")
+    hot = F.broadcast(hot)  # at most MOST_HOT rows
+    cold = records.join(hot, "address", "left_anti").join(stored, "address")
+    dealt = records.join(hot, "address").withColumn("salt", (F.monotonically_increasing_id() % F.col("salts")).cast("int")).drop("salts")
+    copies = stored.join(hot, "address").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return cold.unionByName(dealt.join(copies.hint("merge"), ["address", "salt"]).drop("salt"))
+
+
+def read_archive(spark: SparkSession, path: str, hot_records: int = 1000) -> DataFrame:
     """(id, record_type, refers_to, url, payload_bytes, payload_digest, payload, record, header_bytes): every record with its full payload.
 
     ``record`` is the record's exact bytes. A payload whose bytes don't hash to its address, or to its header's digest, raises an error.
@@ -95,17 +121,18 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     payloads = spark.table(_table(path)) if spark.catalog.tableExists(_table(path)) else spark.read.parquet(f"{path}/payloads")
     sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
     # hashed where it is stored, once for all records
-    stored = payloads.select("address", sound.alias("payload"), base32(F.sha1("payload")).alias("found"))
+    stored = payloads.select("address", sound.alias("payload"), base32(F.sha1("payload")).alias("found"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     text = F.col("header").cast("string")
     field = lambda name, value: F.nullif(F.regexp_extract(text, rf"(?:^|\n){name}: {value}\r\n", 1), F.lit(""))
-    records = spark.read.parquet(f"{path}/headers").select(
+    headers = spark.read.parquet(f"{path}/headers")
+    records = headers.select(
         "id", "url", "header", "address", field("WARC-Type", "(.*)").alias("record_type"), field("WARC-Refers-To", "<urn:page:(.*)>").alias("refers"), field("WARC-Payload-Digest", "sha1:(.*)").alias("told"))
     digest = F.when(F.col("told") == F.col("found"), F.col("found")).otherwise(F.raise_error(F.lit("a header's digest isn't its payload's")))
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     record = F.concat("header", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")), end)
     kind = records.schema["id"].dataType
-    return records.join(stored, "address").select(
-        "id", "record_type", F.col("refers").cast(kind).alias("refers_to"), "url", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "payload", record.alias("record"), F.length("header").alias("header_bytes"))
+    return _together(records, stored, _hot(headers, hot_records)).select(
+        "id", "record_type", F.col("refers").cast(kind).alias("refers_to"), "url", "payload_bytes", digest.alias("payload_digest"), "payload", record.alias("record"), F.length("header").alias("header_bytes"))
 
 
 def blocks(records: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from anamnesis.llm import orderhash, quality, sharding, toxicity, warc
 from anamnesis.llm.queries import ORACLES, remainder
@@ -36,6 +37,25 @@ def test_archive(spark, tmp_path):
     assert sorted(con.execute(f"SELECT page_id, payload_digest, record_type FROM ({ORACLES['op2_warc']})").fetchall()) == sorted((r.id, r.payload_digest, r.record_type) for r in got.values())
 
 
+def test_archive_with_a_hot_page(spark, tmp_path):
+    """A page that is a third of all, and rows that repeat an id: the records of one address are put together in many tasks."""
+    rows = [(i, f"http://x/{i}", "hot page" if i % 3 == 0 else f"page {i // 2}") for i in range(3_000)] + [(3, "http://x/3", "hot page")] * 500
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    path = warc.write_archive(d, f"file://{tmp_path}/a")
+    plain = sorted(tuple(r) for r in warc.read_archive(spark, path, hot_records=10**9).collect())
+    own = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    for key, value in zip(own, ("false", "16")):
+        spark.conf.set(key, value)
+    try:
+        split = warc.read_archive(spark, path, hot_records=50)
+        tasks = [r["count"] for r in split.where("url IS NOT NULL AND CAST(payload AS STRING) = 'hot page'").groupBy(F.spark_partition_id()).count().collect()]
+        assert sorted(tuple(r) for r in split.collect()) == plain and len(plain) == len(rows)
+        assert sum(tasks) == 1_500 and len(tasks) > 8 and max(tasks) < 500
+    finally:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+
+
 def test_order_minhash(spark, documents, nothing):
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     one = documents.where("doc_id <> 5 OR doc_id IS NULL")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from anamnesis.llm import alike, packing, quality, toxicity
 from anamnesis.llm.durable import materialise, ship, table
-from anamnesis.llm.queries import remainder, vocab
+from anamnesis.llm.queries import QUANTUM, remainder, vocab
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 ids."""
     ship(spark)
-    return packing.pack(docs.select("doc_id", "text", "source"), vocab()).drop("queue", "ids")
+    return packing.pack(docs.select("doc_id", "text", "source"), vocab(), quantum=QUANTUM).drop("queue", "ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near-duplicates", drop_copies), ("packing", pack)]

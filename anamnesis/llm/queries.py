@@ -15,8 +15,8 @@ def vocab(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Ids that a source hands out at a time; a window holds 32 such.
-QUANTUM = 64
+#: Ids that a source hands out at a time; a window holds 16 such.
+QUANTUM = 128
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,19 @@ def test_conversations_that_begin_alike(spark, tmp_path):
     """Only those with a block of their own get one."""
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for c in range(4) for t in range(6)]
     against_sql(spark, tmp_path, "sticky_history", conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+
+
+def test_thresholds_are_not_rounded(spark):
+    """A pair that is a ten-billionth short of a threshold isn't counted."""
+    q = spark.createDataFrame([(0, "", [1.0, 0.0])], "query_id long, agent_id string, query_emb array<double>")
+    short, enough = 0.5 - 1e-10, 0.5 + 1e-10
+    m = spark.createDataFrame([(i, None, 0.0, [s, (1 - s * s) ** 0.5]) for i, s in enumerate((short, enough))], "id long, agent_id string, created_at double, user_emb array<double>")
+    assert [tuple(r) for r in retrieval.count_pairs(q, m, ["user_emb"], [0.5]).collect()] == [(0.5, 1)]
+
+
+def test_equal_vectors_under_a_threshold_that_nothing_reaches(spark):
+    """All go in; with one that they reach, the first."""
+    rows = spark.createDataFrame([(i, "a", float(i), "t", "t", [0.6, 0.8], [0.6, 0.8]) for i in range(4)], EVENTS)
+    for threshold, new in ((2.0, {0, 1, 2, 3}), (0.92, {0})):
+        inserted, touches = ingest.resolve(rows.limit(0), rows, threshold)
+        assert {r.id for r in inserted.collect()} == new and touches.count() == 4 - len(new)

@@ -13,20 +13,22 @@ Everything is written as batch=<number>, so that a batch that runs again replace
 files. A removal counts for postings of earlier batches only, so a memory can be put in anew. What was removed stays in
 the files, and loosens bounds, until ``rebuild``.
 
-A search reads the heads and postings of its terms alone (the bucket is a folder). The score of a memory is at most what
-its block's heads allow. Each query first scores its ``k`` most promising blocks; the k-th score of those rules out every
-block whose bound is lower, and only the rest is scored. Nothing passes through the driver but two numbers; sides are
-broadcast only where Spark knows them to be small.
+A search reads the heads and postings of its terms alone (the bucket is a folder), deals the postings by memory once and keeps
+them so on disk. Queries come in lots, each small enough to broadcast, and a task sums up the scores of its memories for a lot: no pair of
+query and memory is shuffled but those that can be among the best. The k-th best score in some chunks of memories is what pairs of further chunks have to
+reach, and each step takes ``FURTHER`` times as many chunks, so that about ``FURTHER`` times ``k`` pairs of a query go on. Disk grows with postings and
+results, time with queries times memories. Nothing passes through the driver but a few numbers and the lots that are broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import exists, kept
+from ..sources.scratch import exists, kept, scratch
 
 #: BM25's parameters, and the weight of a term that over half of the documents have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -34,8 +36,11 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 POSTINGS = "bucket int, term string, agent_id string, block long, id long, tf int, length int, batch int"
 HEADS = "bucket int, term string, agent_id string, block long, n long, most long, shortest long, batch int, sign int"
 REMOVED = "id long, batch int"
+FOUND = "query_id long, id long, score double, rank int"
 #: More than rounding can add to a score.
 SLACK = 1e-8
+#: The memories of a chunk, the terms of the queries of a lot, by how much each step of a search has more chunks than those before, and the share of light terms.
+CHUNK, LOT, FURTHER, LIGHT = 256, 400_000, 16, 0.3
 
 
 def impact(tf: Column, length: Column, average: Column) -> Column:
@@ -115,50 +120,106 @@ class Index:
         new._write_heads(spark.read.schema(POSTINGS.rsplit(",", 1)[0]).option("basePath", path).parquet(path), 0, 1)
         return new
 
-    def bounds(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(query_id, bucket, term, agent_id, block, weight) and (query_id, agent_id, block, bound) of what each query may see. ``asked`` is (query_id, agent_id, terms)."""
-        spark = asked.sparkSession
-        heads = self.read(spark, "heads", HEADS)
-        n, words = heads.where((F.col("term") == "") & (F.col("bucket") == self.bucket(F.lit("")))).agg(F.sum("n"), F.sum("most")).first()
-        average = F.lit(float(words or 0) / (n or 1))
+    def size(self, spark: SparkSession) -> tuple[int, float]:
+        """The number of memories, and their words on average."""
+        whole = self.read(spark, "heads", HEADS).where((F.col("term") == "") & (F.col("bucket") == self.bucket(F.lit(""))))
+        n, words = whole.agg(F.sum("n"), F.sum("most")).first()
+        return n or 0, float(words or 0) / (n or 1)
+
+    def weights(self, asked: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, asking, bucket, term, weight), and the heads of these terms by block. ``asked`` is (query_id, agent_id, terms)."""
+        heads = self.read(asked.sparkSession, "heads", HEADS)
         times = asked.select("query_id", F.col("agent_id").alias("asking"), F.explode("terms").alias("term")).groupBy("query_id", "asking", "term").agg(F.count("*").alias("times"))
         times = kept(times.withColumn("bucket", self.bucket()), "asked")
         own = heads.join(times.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").groupBy("bucket", "term", "agent_id", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("shortest").alias("shortest"))
-        idf = F.log((F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        own = kept(own, "own")
+        idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         df = own.groupBy("bucket", "term").agg(F.sum("n").alias("df")).where("df > 0")
         weights = times.join(df, ["bucket", "term"]).withColumn("weight", F.col("times") * F.when(idf > 0, idf).otherwise(LEAST_IDF))
+        return weights.select("query_id", "asking", "bucket", "term", "weight"), own
+
+    def bounds(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(query_id, bucket, term, agent_id, block, weight) and (query_id, agent_id, block, bound) of what each query may see. ``asked`` is (query_id, agent_id, terms)."""
+        spark = asked.sparkSession
+        n, average = self.size(spark)
+        average = F.lit(average)
+        weights, own = self.weights(asked, n)
         most = F.col("weight") * impact(F.col("most"), F.col("shortest"), average)
-        met = weights.select("query_id", "asking", "bucket", "term", "weight").join(own.where("n > 0"), ["bucket", "term"]).where("agent_id = '' OR agent_id = asking")
+        met = weights.join(own.where("n > 0"), ["bucket", "term"]).where("agent_id = '' OR agent_id = asking")
         met = met.select("query_id", "bucket", "term", "agent_id", "block", "weight", most.alias("most"), average.alias("average"))
         met = kept(met.repartition(self._parts(spark), "query_id"), "met")
         return met, met.groupBy("query_id", "agent_id", "block").agg(F.sum("most").alias("bound"))
 
+    def present(self, spark: SparkSession) -> DataFrame:
+        """The postings of memories that weren't removed."""
+        postings = self.read(spark, "postings", POSTINGS)
+        return self.live(postings) if exists(spark, f"{self.root}/removed") else postings
+
     def scores(self, met: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score) of the memories of some (query_id, agent_id, block), or of all."""
-        postings = self.read(met.sparkSession, "postings", POSTINGS)
-        if exists(met.sparkSession, f"{self.root}/removed"):
-            postings = self.live(postings)
+        postings = self.present(met.sparkSession)
         wanted = met if blocks is None else met.join(blocks, ["query_id", "agent_id", "block"], "left_semi")
         parts = postings.join(wanted, ["bucket", "term", "agent_id", "block"])
         return parts.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * impact(F.col("tf"), F.col("length"), F.col("average"))), 9).alias("score"))
 
     def search(self, asked: DataFrame, k: int) -> DataFrame:
         """(query_id, id, score, rank): the best k memories of each query that its agent may see, ties to the lower id."""
-        met, bounds = self.bounds(asked)
-        promising = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block", "agent_id")
-        bounds = bounds.withColumn("place", F.row_number().over(promising))
+        spark = asked.sparkSession
+        n, average = self.size(spark)
+        weights, own = self.weights(asked, n)
+        # a number for each term of an agent, with the most that it adds to a score
+        most = F.max(impact(F.col("most"), F.col("shortest"), F.lit(average))).alias("most")
+        codes = kept(own.groupBy("bucket", "term", "agent_id").agg(most).withColumn("code", F.monotonically_increasing_id()), "codes")
+        seen = weights.withColumn("agent_id", F.explode(F.array_distinct(F.array(F.lit(""), "asking")))).join(codes, ["bucket", "term", "agent_id"])
+        # a memory is seen with one agent, so a term adds the most of either
+        most = F.max(F.col("weight") * F.col("most")).over(Window.partitionBy("query_id", "term")).alias("most")
+        seen = kept(seen.select("query_id", "term", "code", "weight", most, F.row_number().over(Window.partitionBy("query_id", "term").orderBy("code")).alias("nth")), "seen")
+        chunks, lots = max(1, -(-n // CHUNK)), max(1, -(-seen.count() // LOT))
+        dealt = self.present(spark).join(codes, ["bucket", "term", "agent_id"]).select(
+            F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "code", "id", impact(F.col("tf"), F.col("length"), F.lit(average)).alias("impact"))
+        dealt = dealt.repartition(chunks, "id").persist(StorageLevel.DISK_ONLY)
+        dealt.count()  # once it is kept, Spark knows how it is dealt and shuffles no pairs
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        most = met.select("query_id", "agent_id", "block").distinct().groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-        ranked = lambda scores: scores.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0))
-        if most <= k:  # no query has more blocks than it would score first
-            return ranked(self.scores(met))
-        first = kept(ranked(self.scores(met, bounds.where(F.col("place") <= k))), "first")
-        reached = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
-        rest = bounds.where(F.col("place") > k).join(reached, "query_id", "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached") - SLACK))
-        return ranked(self.scores(met, rest).unionByName(first.drop("rank")))
+        paths = []
+        for lot in range(lots):
+            terms, found, low = seen.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot), None, 0
+            while low < chunks:
+                high = min(chunks, max(1, low * FURTHER))
+                scored = self._scored(dealt.where((F.col("chunk") >= low) & (F.col("chunk") < high)), terms, found, k).where("score > 0")
+                path, low = scratch(spark, "found"), high
+                scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).write.option("compression", "zstd").parquet(path)
+                found = spark.read.schema(FOUND).parquet(path)
+            paths.append(path)
+        dealt.unpersist()
+        return spark.read.schema(FOUND).parquet(*paths)
+
+    @staticmethod
+    def _scored(dealt: DataFrame, terms: DataFrame, found: DataFrame | None, k: int) -> DataFrame:
+        """(query_id, id, score) of pairs in some chunks, and what was found before; of those in the chunks, all that reach the k-th found.
+
+        Terms that add little, together under ``LIGHT`` of that score, are added only to pairs that can still reach it.
+        """
+        pair, adds = ["query_id", "id"], F.sum(F.col("weight") * F.col("impact"))
+        if found is None:
+            return dealt.join(F.broadcast(terms.select("query_id", "code", "weight")), "code").groupBy(*pair).agg(F.round(adds, 9).alias("score"))
+        reached = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+        below = Window.partitionBy("query_id").orderBy("most", "term", "nth")
+        terms = terms.join(F.broadcast(reached), "query_id", "left").withColumn("upto", F.sum(F.when(F.col("nth") == 1, F.col("most")).otherwise(0.0)).over(below))
+        terms = terms.withColumn("light", F.coalesce(F.col("upto") < LIGHT * F.col("reached"), F.lit(False)))
+        rest = F.max(F.when(F.col("light"), F.col("upto")).otherwise(0.0)).over(Window.partitionBy("query_id"))
+        terms = kept(terms.withColumn("need", F.col("reached") - rest - SLACK), "terms")
+        heavy = terms.where("NOT light").select("query_id", "code", "weight", "need")
+        light = terms.where("light").groupBy("query_id").agg(F.collect_list(F.struct("code", "weight")).alias("lights"))
+        part = dealt.join(F.broadcast(heavy), "code").groupBy(*pair).agg(adds.alias("part"), F.first("need").alias("need")).where("need IS NULL OR part >= need")
+        words = dealt.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("code", "impact"))).alias("words"))
+        more = part.join(words.hint("shuffle_hash"), "id").join(F.broadcast(light), "query_id", "left")
+        total = F.aggregate(F.coalesce("lights", F.array()), F.col("part"), lambda t, x: t + x["weight"] * F.coalesce(F.try_element_at("words", x["code"]), F.lit(0.0)))
+        scored = more.select(*pair, F.round(total, 9).alias("score"))
+        scored = scored.join(F.broadcast(reached), "query_id", "left").where("reached IS NULL OR score >= reached").drop("reached")
+        return scored.unionByName(found.drop("rank"))
 
     def ruled_out(self, asked: DataFrame, k: int) -> DataFrame:
-        """(query_id, blocks, scored): how many blocks have a term of each query, and how many had to be scored."""
+        """(query_id, blocks, scored): how many blocks have a term of each query, and how many heads can't rule out once the most promising are scored."""
         met, bounds = self.bounds(asked)
         bounds = kept(bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block", "agent_id"))), "bounds")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

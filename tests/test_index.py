@@ -98,3 +98,29 @@ def test_no_rows_through_the_driver():
 
     code = inspect.getsource(index) + inspect.getsource(lexical)
     assert not re.search("toLocalIterator|collect\\(|mapInArrow|udf", code)
+
+
+def test_pairs_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Many lots and steps find the same, with light terms of all shares, and no step shuffles pairs of query and memory."""
+    from anamnesis.operators import index as module
+
+    rng = random.Random(3)
+    memories = some(rng, range(90))
+    queries = [(q, ["", "a", "c"][q % 3], " ".join(rng.choices(WORDS, k=rng.randrange(1, 9)))) for q in range(20)]
+    texts = spark.createDataFrame(queries, "query_id long, agent_id string, text string")
+    plans, scored = [], module.Index._scored
+
+    def noted(*args):
+        found = scored(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(module.Index, "_scored", staticmethod(noted))
+    monkeypatch.setattr(module, "CHUNK", 9)
+    monkeypatch.setattr(module, "LOT", 60)
+    monkeypatch.setattr(module, "FURTHER", 3)
+    monkeypatch.setattr(module, "LIGHT", 0.9)
+    held = lexical.indexed(frame(spark, memories), f"file://{tmp_path}/index")
+    got = {(r.query_id, r.id): r.lexical_rank for r in lexical.bm25(texts, held, 3).collect()}
+    assert got == {x: r for x, (_, r) in plain(memories, queries, 3).items()}
+    assert len(plans) > 5 and not any(re.search(r"hashpartitioning\([^)]*\bquery_id#[^)]*\bid#|hashpartitioning\([^)]*\bid#[^)]*\bquery_id#", p) for p in plans)

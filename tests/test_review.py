@@ -35,6 +35,15 @@ def test_thresholds_are_not_rounded(spark):
     assert [tuple(r) for r in retrieval.count_pairs(q, m, ["user_emb"], [0.5]).collect()] == [(0.5, 1)]
 
 
+def test_a_pair_at_a_threshold_is_summed_in_order(spark, tmp_path):
+    """Its similarity is 0.4999999999999999 in the SQL's order and 0.5 if the query is made a unit vector first."""
+    vectors = [(0, [3.0, 4.0]), (1, [0.7, 0.1]), (2, [0.7, 0.1])]
+    talk = [(8, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for t in range(2)]
+    against_sql(
+        spark, tmp_path, "score_threshold", conversations=spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"),
+        embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+
+
 def test_equal_vectors_under_a_threshold_that_nothing_reaches(spark):
     """All go in; with one that they reach, the first."""
     rows = spark.createDataFrame([(i, "a", float(i), "t", "t", [0.6, 0.8], [0.6, 0.8]) for i in range(4)], EVENTS)

@@ -28,7 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import exists, kept, scratch
+from ..sources.scratch import exists, kept, release, scratch
 
 #: BM25's parameters, and the weight of a term that over half of the documents have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -179,6 +179,7 @@ class Index:
             F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "code", "id", impact(F.col("tf"), F.col("length"), F.lit(average)).alias("impact"))
         dealt = dealt.repartition(chunks, "id").persist(StorageLevel.DISK_ONLY)
         dealt.count()  # once it is kept, Spark knows how it is dealt and shuffles no pairs
+        release(spark)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         paths = []
         for lot in range(lots):
@@ -190,6 +191,8 @@ class Index:
                 scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).write.option("compression", "zstd").parquet(path)
                 found = spark.read.schema(FOUND).parquet(path)
             paths.append(path)
+            scored = None
+            release(spark)  # so that the disk holds the shuffles of a lot and not of all
         dealt.unpersist()
         return spark.read.schema(FOUND).parquet(*paths)
 
@@ -207,7 +210,7 @@ class Index:
         terms = terms.join(F.broadcast(reached), "query_id", "left").withColumn("upto", F.sum(F.when(F.col("nth") == 1, F.col("most")).otherwise(0.0)).over(below))
         terms = terms.withColumn("light", F.coalesce(F.col("upto") < LIGHT * F.col("reached"), F.lit(False)))
         rest = F.max(F.when(F.col("light"), F.col("upto")).otherwise(0.0)).over(Window.partitionBy("query_id"))
-        terms = kept(terms.withColumn("need", F.col("reached") - rest - SLACK), "terms")
+        terms = kept(terms.select("query_id", "code", "weight", "light", (F.col("reached") - rest - SLACK).alias("need")), "terms")
         heavy = terms.where("NOT light").select("query_id", "code", "weight", "need")
         light = terms.where("light").groupBy("query_id").agg(F.collect_list(F.struct("code", "weight")).alias("lights"))
         part = dealt.join(F.broadcast(heavy), "code").groupBy(*pair).agg(adds.alias("part"), F.first("need").alias("need")).where("need IS NULL OR part >= need")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.scratch import release, scratch
 from .index import Index
 
 #: Letters that lose their marks, and what they become.
@@ -36,6 +36,7 @@ def indexed(memories: DataFrame, root: str | None = None, **options) -> Index:
     """An index of memories as its first batch, in a folder or in the scratch folder."""
     index = Index(root or scratch(memories.sparkSession, "index"), memory_terms(), **options)
     index.add(memories, 0)
+    release(memories.sparkSession)
     return index
 
 
@@ -65,11 +66,17 @@ def fuse(texts: DataFrame, dense: DataFrame, lexical: DataFrame, k: int, rrf_k:
 
     Queries without terms keep their dense ranks and scores.
     """
-    top = dense.where("rk = 1").select("query_id", F.col("similarity").alias("dense_top_similarity"))
-    both = dense.select("query_id", "id", F.col("rk").alias("d"), "similarity", F.col("score").alias("dense_score")).join(lexical.select("query_id", "id", F.col("lexical_rank").alias("l")), ["query_id", "id"], "full_outer")
-    both = both.join(texts.select("query_id", F.size(query_terms(F.col("text"))).alias("terms")), "query_id").where((F.col("terms") > 0) | F.col("d").isNotNull())
+    nothing = lambda kind: F.lit(None).cast(kind)
+    ours = dense.select("query_id", "id", F.col("rk").alias("d"), "similarity", F.col("score").alias("dense_score"), nothing("int").alias("l"), nothing("int").alias("terms"))
+    theirs = lexical.select("query_id", "id", nothing("int").alias("d"), nothing("double").alias("similarity"), nothing("double").alias("dense_score"), F.col("lexical_rank").alias("l"), nothing("int").alias("terms"))
+    asking = texts.select("query_id", nothing("long").alias("id"), nothing("int").alias("d"), nothing("double").alias("similarity"), nothing("double").alias("dense_score"), nothing("int").alias("l"), F.coalesce(F.size(query_terms(F.col("text"))), F.lit(0)).alias("terms"))
+    # each side is computed once, and all that follows is by query
+    of = ours.unionByName(theirs).unionByName(asking).repartition("query_id")
+    both = of.groupBy("query_id", "id").agg(*(F.max(c).alias(c) for c in ("d", "similarity", "dense_score", "l", "terms")))
+    query = Window.partitionBy("query_id")
+    both = both.withColumn("terms", F.max("terms").over(query)).withColumn("dense_top_similarity", F.max(F.when(F.col("d") == 1, F.col("similarity"))).over(query))
+    both = both.where("id IS NOT NULL AND terms IS NOT NULL").where((F.col("terms") > 0) | F.col("d").isNotNull())
     rrf = F.coalesce(1.0 / (rrf_k + F.col("d")), F.lit(0.0)) + F.coalesce(1.0 / (rrf_k + F.col("l")), F.lit(0.0))
     scored = both.withColumn("score", F.round(F.when(F.col("terms") > 0, rrf).otherwise(F.col("dense_score")), 9))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-    return found.join(top, "query_id", "left").select("query_id", "rk", "id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "score", F.coalesce("dense_top_similarity", F.lit(0.0)).alias("dense_top_similarity"))
+    found = scored.withColumn("rk", F.row_number().over(query.orderBy(F.desc("score"), "id"))).where(F.col("rk") <= k)
+    return found.select("query_id", "rk", "id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "score", F.coalesce("dense_top_similarity", F.lit(0.0)).alias("dense_top_similarity"))

@@ -1,6 +1,10 @@
 """Cases of a review: inputs on which results once differed from the SQL."""
 
+import math
+import re
+
 import duckdb
+import numpy as np
 
 from anamnesis.operators import retrieval
 from anamnesis.plans import catalog
@@ -44,6 +48,46 @@ def test_a_pair_at_a_threshold_is_summed_in_order(spark, tmp_path):
         embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
 
 
+def test_a_task_leaves_the_best_k_of_all_its_batches(spark, monkeypatch):
+    """Of many batches k rows a query, not k of each batch; the best of all stay the best, with what is held handed on or not, broadcast or dealt."""
+    q = spark.createDataFrame([(i, "", [1.0, float(i)]) for i in range(3)], "query_id long, agent_id string, query_emb array<double>")
+    m = spark.createDataFrame([(i, "a" if i % 3 == 0 else None, 0.0, [math.cos(i % 60 / 40), math.sin(i % 60 / 40)]) for i in range(200)], "id long, agent_id string, created_at double, user_emb array<double>").coalesce(1)
+    find = lambda: retrieval.best_pairs(q, m, ["user_emb"], 2, 0.1)
+    want = sorted(map(tuple, retrieval.ranked(find(), 2).collect()))
+    assert len(want) == 6
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert find().count() == 6
+        monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
+        assert sorted(map(tuple, retrieval.ranked(find(), 2).collect())) == want
+        assert sorted(_handed_on()) == [(0, 0, 9.0), (0, 1, 9.0), (1, 2, 8.0), (1, 11, 9.0)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _handed_on():
+    """(query, id, score) that a task holds after two additions; the first fills query 0."""
+    best = retrieval.Best(retrieval.Queries([0, 1], ["", ""], [[1.0], [1.0]]), 2)
+    best.AT_ONCE = 3
+    rows = lambda *x: (*(np.array(c, t) for c, t in zip(zip(*x), (int, np.int64, float, float))),)
+    got = list(best.add(*rows((0, 5, 0.0, 9.0), (0, 1, 0.0, 9.0), (0, 0, 0.0, 9.0), (1, 2, 0.0, 8.0))))
+    assert not got and best.reached[0] == 9.0 and best.reached[1] == -np.inf
+    got += [*best.add(*rows((1, 11, 0.0, 9.0))), *best.rest()]
+    return [(r["query_id"], r["id"], r["score"]) for b in got for r in b.to_pylist()]
+
+
+def test_hybrid_search_scores_dense_pairs_once(spark, tmp_path):
+    """The dense ranks and the similarity of the first come from one search; the result is that of the SQL."""
+    talk = [(c, t, "user" if t % 2 == 0 else "assistant", f"word{c % 3} of {t} and {c}" if c % 5 else "--") for c in range(12) for t in range(4)]
+    vectors = [(i, [math.cos(i * 1.3), math.sin(i * 1.3)]) for i in range(30)]
+    against_sql(
+        spark, tmp_path, "hybrid_rrf", conversations=spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"),
+        embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    plan = catalog.QUERIES["hybrid_rrf"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1
+
+
 def test_equal_vectors_under_a_threshold_that_nothing_reaches(spark):
     """All go in; with one that they reach, the first."""
     rows = spark.createDataFrame([(i, "a", float(i), "t", "t", [0.6, 0.8], [0.6, 0.8]) for i in range(4)], EVENTS)

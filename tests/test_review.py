@@ -48,6 +48,41 @@ def test_a_pair_at_a_threshold_is_summed_in_order(spark, tmp_path):
         embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
 
 
+def test_a_long_vector_at_a_threshold_is_summed_in_order(spark):
+    """The longer a stored vector, the more the order of its sum changes; each threshold here is one pair's own similarity."""
+    rng = np.random.default_rng(5)
+    asked, held = rng.normal(size=16), rng.normal(size=(40, 16)) * 1e6
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a.tolist(), b.tolist()):
+            total += x * y
+        return total
+
+    base = [dot(asked, v) / math.sqrt(dot(asked, asked)) for v in held]
+    q = spark.createDataFrame([(0, "", asked.tolist())], "query_id long, agent_id string, query_emb array<double>")
+    m = spark.createDataFrame([(i, None, 0.0, v.tolist()) for i, v in enumerate(held)], "id long, agent_id string, created_at double, user_emb array<double>")
+    got = retrieval.count_pairs(q, m, ["user_emb"], base).collect()
+    assert sorted(map(tuple, got)) == [(x, len(base) - i) for i, x in enumerate(sorted(base))]
+
+
+def test_similarities_that_are_no_numbers(spark, tmp_path):
+    """Vectors of length zero, with infinite components or NaN, or missing, as queries (0, 50, ...) and in the store: as in the SQL."""
+    odd = {0: [0.0, 0.0], 7: [0.0, 0.0], 8: [math.inf, 0.1], 9: [-math.inf, 0.1], 10: [math.nan, 0.1], 11: None, 50: [math.inf, 1.0], 100: [math.nan, 1.0], 150: None, 200: [1e-30, 1e-30]}
+    vectors = [(i, odd.get(i, [math.cos(i * 1.3), math.sin(i * 1.3)])) for i in range(260)]
+    talk = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {t}") for c in range(60) for t in range(4)]
+    against_sql(
+        spark, tmp_path, "score_threshold", conversations=spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"),
+        embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
+
+
+def test_a_reply_without_a_turn_comes_last(spark, tmp_path):
+    """So it answers the last question, as in the SQL."""
+    talk = [(8, 0, "user", "a"), (8, None, "assistant", "b"), (9, 0, "user", "a"), (9, 1, "assistant", "b")]
+    against_sql(
+        spark, tmp_path, "score_threshold", conversations=spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"),
+        embeddings=spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "vec_id long, embedding array<float>"))
+
+
 def test_a_task_leaves_the_best_k_of_all_its_batches(spark, monkeypatch):
     """Of many batches k rows a query, not k of each batch; the best of all stay the best, with what is held handed on or not, broadcast or dealt."""
     q = spark.createDataFrame([(i, "", [1.0, float(i)]) for i in range(3)], "query_id long, agent_id string, query_emb array<double>")
